@@ -1,0 +1 @@
+"""Nothing here: the comparison is a batch operation and the system it matches has no streaming operators."""
