@@ -176,9 +176,14 @@ class DiffEngine:
 
     def counts(self) -> DataFrame:
         """One row: the three counts and both totals."""
-        totals = self.profiles().groupBy().pivot("side", ["SOURCE", "TARGET"]).agg(F.first("total"))
-        totals = totals.select(F.col("SOURCE").alias("total_rows_source"), F.col("TARGET").alias("total_rows_target"))
-        return self._tallies(self._joined(False)).drop(*[f"m{n}" for n in range(len(self.compared))]).join(totals, how="inner")
+        names = ["added_count", "removed_count", "changed_count"]
+        tallies = self._tallies(self._joined(False)).select(*names, F.lit(0).alias("total_rows_source"), F.lit(0).alias("total_rows_target"))
+        totals = self.profiles().select(
+            *[F.lit(0).alias(name) for name in names],
+            *[F.when(F.col("side") == side.upper(), F.col("total")).otherwise(0).alias(f"total_rows_{side}") for side in ("source", "target")],
+        )
+        every = [*names, "total_rows_source", "total_rows_target"]
+        return tallies.unionByName(totals).agg(*[F.sum(name).cast("bigint").alias(name) for name in every])
 
     def column_mismatches(self) -> DataFrame:
         """``column, position, mismatches`` of the columns that have any."""
