@@ -115,13 +115,17 @@ def link_fingerprints(fps: DataFrame, scratch: Scratch, max_distance: int = MAX_
     """
     points = fps.select("fp", embedding(F.col("fp")).alias("point"))
     cells = _cells(points, max_distance, blocks)
-    hubs = cells.groupBy("grid", "cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
-    shared = scratch.save(cells.join(hubs, ["grid", "cell"]), "cells")
-
-    hub_links = None
+    met = cells.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("n > 1")
+    met = scratch.save(met, "met")
+    # A cell of two is settled by its hubs; only larger ones need their members. Written, their list has a size that
+    # Spark can see, and members need not move to meet a short one.
+    larger = scratch.save(met.where("n > 2").select("grid", "cell", "low", "high"), "larger")
+    shared = scratch.save(cells.join(larger, ["grid", "cell"]), "cells")
+
+    hub_links = met.where(distance(F.col("low"), F.col("high")) <= max_distance).select(F.col("low").alias("u"), F.col("high").alias("v"))
     for hub in ("low", "high"):
-        one = shared.where((F.col("fp") != F.col(hub)) & (distance(F.col("fp"), F.col(hub)) <= max_distance)).select(F.col("fp").alias("u"), F.col(hub).alias("v"))
-        hub_links = one if hub_links is None else hub_links.unionAll(one)
+        near = (F.col("fp") != F.col(hub)) & (distance(F.col("fp"), F.col(hub)) <= max_distance)
+        hub_links = hub_links.unionAll(shared.where(near).select(F.col("fp").alias("u"), F.col(hub).alias("v")))
     first = scratch.save(connected_components(hub_links, scratch, "hubs"), "first")
 
     labelled = shared.drop("low", "high").join(first, F.col("fp") == F.col("node"), "left")
@@ -144,7 +148,7 @@ def link_fingerprints(fps: DataFrame, scratch: Scratch, max_distance: int = MAX_
     over = second.select(F.col("node").alias("over"), F.col("root").alias("top"))
     linked = roots.join(over, F.col("root") == F.col("over"), "left").select("node", F.coalesce("top", "root").alias("root"))
     out = scratch.save(linked.groupBy("node").agg(F.min("root").alias("root")), "linked")
-    for name in ("cells", "labelled", "open"):
+    for name in ("met", "larger", "cells", "labelled", "open"):
         scratch.drop(name)
     return out
 
