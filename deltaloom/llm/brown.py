@@ -7,8 +7,9 @@ time, all against the same class bigram counts, which Spark makes anew from the
 holds counts of types by classes, which the parameters bound. The best assignment by that likelihood is kept.
 
 A text's probability is the product, over its words and its end, of the class given the class before and the word given
-its class. The first is summed where the text is read, as types are few. The second needs each word's own count: the
-word frequencies of all texts, as an index, are joined to the vocabulary, which is never gathered anywhere.
+its class. The first is summed where the text is read, as types are few, and so is the second for words with types of
+their own. For all others it needs each word's own count: the frequencies of these words in all texts, as an index, are
+joined to the vocabulary, which is never gathered anywhere. No word of the join is common, by the definition of types.
 """
 
 from __future__ import annotations
@@ -244,20 +245,29 @@ def transitions(table: np.ndarray, model: BrownModel) -> np.ndarray:
 # -- scores ---------------------------------------------------------------------------------------------------------
 
 
+#: What is summed of a document where its text is read: the log10 probability of its classes and, of its end and the
+#: words with types of their own, of the emissions and of the plain frequencies; and how many words that are.
+_MEASURES = 4
+
+
 def text_index(docs: DataFrame, own: Broadcast, steps: Broadcast, model: BrownModel) -> DataFrame:
-    """Word frequencies of all documents; a document's extra is its number of words and its measure the log10
-    probability of its classes."""
+    """Frequencies, in all documents, of the words without types of their own; a document's extra is its number of
+    words, and its measures are the sums above."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types, chunks = _Types(own.value, model), Chunks()
-        classes, table = steps.value
+        classes, table, emission, base = steps.value
+        n_own = len(own.value)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found, of = types.of(text.as_py())
-                of = classes[of]
+                in_class, of = classes[of], of[1:]
                 chunk = chunks.open
-                counts = {chunk.number(w.decode("utf-8", "surrogatepass")): n for w, n in Counter(found).items()}
-                chunk.add(doc_id, len(found), float(table[of[:-1], of[1:]].sum()), counts, sum(map(len, found)) + 1)
+                rare = Counter(found[k] for k in np.flatnonzero(of > n_own).tolist())
+                counts = {chunk.number(w.decode("utf-8", "surrogatepass")): n for w, n in rare.items()}
+                n_known = int(((of <= n_own) & (of != END_TYPE)).sum())
+                measures = (float(table[in_class[:-1], in_class[1:]].sum()), float(emission[of].sum()), float(base[of].sum()), float(n_known))
+                chunk.add(doc_id, len(found), measures, counts, sum(map(len, found)) + 1)
                 yield from chunks.full()
         yield from chunks.rest()
 
@@ -282,8 +292,6 @@ def score(docs: DataFrame, model: BrownModel = BrownModel()) -> DataFrame:
     n_types = 1 + len(listed) + model.shapes
     bigrams = scratch.save(type_bigrams(plain, own, model), "bigrams")
     classes, table = exchange(bigrams, n_types, model)
-    steps = spark.sparkContext.broadcast((classes, transitions(table, model)))
-    index = scratch.save(text_index(plain, own, steps, model), "index")
 
     # Types and classes are bounded by the parameters, so they may be broadcast; words are not, and are joined.
     own_types = F.broadcast(spark.createDataFrame([(word, k) for k, (word, _) in enumerate(listed, start=1)], "own string, own_type int"))
@@ -293,32 +301,40 @@ def score(docs: DataFrame, model: BrownModel = BrownModel()) -> DataFrame:
     words = words.select("word", "c", F.coalesce("own_type", shape_type).alias("type"))
     totals = words.join(of_type, "type").groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()  # one row per class
     size = {c: (0, 0) for c in range(model.classes + 1)} | {r["class"]: (r["n"], r["v"]) for r in totals}
-    weights = [(t, size[int(c)][0] + model.alpha * (size[int(c)][1] + 1)) for t, c in enumerate(classes)]
-    of_type = F.broadcast(spark.createDataFrame([(t, float(w)) for t, w in weights], "type int, weight double"))
+    weight = np.array([size[int(c)][0] + model.alpha * (size[int(c)][1] + 1) for c in classes])
+    n_own, all_tokens = np.array([c for _, c in listed], dtype=float), float(tokens + vocabulary + 1)
+    emission, base = np.zeros(n_types), np.zeros(n_types)
+    emission[1 : 1 + len(listed)] = np.log10((n_own + model.alpha) / weight[1 : 1 + len(listed)])
+    base[1 : 1 + len(listed)] = np.log10((n_own + 1) / all_tokens)
+    base[END_TYPE] = np.log10((ends + 1) / all_tokens)
+    steps = spark.sparkContext.broadcast((classes, transitions(table, model), emission, base))
+    index = scratch.save(text_index(plain, own, steps, model), "index")
 
+    of_type = F.broadcast(spark.createDataFrame([(t, float(w)) for t, w in enumerate(weight)], "type int, weight double"))
     held = index.where(F.col("key").isNotNull()).select(F.col("key").alias("word"), "chunk", "places", "counts")
-    known = words.select(F.col("word").alias("known"), "c", F.col("type").alias("known_type"))
-    met = held.join(known, F.col("word") == F.col("known"), "left").withColumn("type", F.coalesce("known_type", shape_type)).join(of_type, "type")
+    met = held.join(counts.select(F.col("word").alias("known"), "c"), F.col("word") == F.col("known"), "left")
+    met = met.withColumn("type", shape_type).join(of_type, "type")
     c = F.coalesce("c", F.lit(0))
     per_word = met.select(
         "chunk",
-        F.log10((c + 1) / F.lit(float(tokens + vocabulary + 1))).alias("base"),
+        F.log10((c + 1) / F.lit(all_tokens)).alias("base"),
         F.log10((c + model.alpha) / F.col("weight")).alias("emission"),
         (c > 0).cast("bigint").alias("seen"),
         F.explode(F.arrays_zip("places", "counts")).alias("x"),
     )
     n = F.col("x.counts")
     sums = per_word.groupBy("chunk", F.col("x.places").alias("place")).agg(F.sum(n * F.col("base")).alias("base"), F.sum(n * F.col("emission")).alias("emission"), F.sum(n * F.col("seen")).alias("seen"))
-    texts = index.where(F.col("key").isNull()).select("chunk", F.posexplode(F.arrays_zip("doc_ids", "extras", "measures")).alias("place", "x"))
-    both = texts.select("chunk", "place", "x.*").join(sums, ["chunk", "place"], "left")
+    texts = index.where(F.col("key").isNull()).select("chunk", "measures", F.posexplode(F.arrays_zip("doc_ids", "extras")).alias("place", "x"))
+    measured = texts.select("chunk", "place", "x.*", *[F.get("measures", F.col("place") * _MEASURES + k).alias(f"m{k}") for k in range(_MEASURES)])
+    both = measured.join(sums, ["chunk", "place"], "left")
     none = F.lit(0.0)
     fold = F.pmod(F.crc32(F.col("doc_ids").cast("string").cast("binary")), F.lit(model.folds))
     return both.select(
         F.col("doc_ids").alias("doc_id"),
         F.coalesce(fold == model.held_fold, F.lit(False)).alias("held_out"),
         (F.col("extras") + 1).alias("n_tokens"),
-        (F.coalesce("seen", F.lit(0)) + int(ends > 0)).cast("bigint").alias("n_known"),
+        (F.coalesce("seen", F.lit(0)) + F.col("m3").cast("bigint") + int(ends > 0)).cast("bigint").alias("n_known"),
         F.lit(tokens).cast("bigint").alias("train_tokens"),
-        (F.coalesce("base", none) + F.lit(float(np.log10((ends + 1) / (tokens + vocabulary + 1))))).alias("base_score"),
-        (F.coalesce("emission", none) + F.col("measures")).alias("score"),
+        (F.coalesce("base", none) + F.col("m2")).alias("base_score"),
+        (F.coalesce("emission", none) + F.col("m0") + F.col("m1")).alias("score"),
     )

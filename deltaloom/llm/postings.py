@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
 
 #: A task hands on its index when it has seen so many bytes of text, which bounds its memory.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 24 << 20
 CHUNK_BITS = 24
 
 #: A row per key and chunk: where in the chunk the documents stand that hold it, and how often; and per chunk one row
-#: without key that lists its documents with a number (extra) and a measure of each.
+#: without key that lists its documents with a number (extra) of each and, on end, a few measures of each.
 INDEX = "key string, chunk bigint, places array<int>, counts array<int>, doc_ids array<bigint>, extras array<bigint>, measures array<double>"
 _ARROW = pa.schema(
     [
@@ -41,12 +41,12 @@ class Chunk:
     def number(self, key: str) -> int:
         return self.numbers.setdefault(key, len(self.numbers))
 
-    def add(self, doc_id: int | None, extra: int, measure: float, counts: Mapping[int, int], size: int) -> None:
+    def add(self, doc_id: int | None, extra: int, measures: Iterable[float], counts: Mapping[int, int], size: int) -> None:
         """counts: by number() of the key."""
         place = len(self.doc_ids)
         self.doc_ids.append(doc_id)
         self.extras.append(extra)
-        self.measures.append(measure)
+        self.measures.extend(measures)
         self.bytes += size
         self.words.extend(counts.keys())
         self.counts.extend(counts.values())
