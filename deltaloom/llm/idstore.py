@@ -78,7 +78,7 @@ def read_files(manifest: DataFrame) -> DataFrame:
                 crcs = [zlib.crc32(plain[b - n : b].tobytes()) for b, n in zip(ends.tolist(), held.lengths.tolist(), strict=True)]
                 yield pd.DataFrame({"doc_id": pd.array(held.doc_ids, dtype="Int64"), "start": first + ends - held.lengths, "n_tokens": held.lengths, "ids_crc32": np.array(crcs, dtype=np.int64)})
 
-    return placed.repartition("path").mapInPandas(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return placed.repartition(max(1, manifest.count())).mapInPandas(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def store_and_read(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, path: str | None = None) -> DataFrame:
