@@ -31,6 +31,8 @@ SHINGLE_WORDS = 4
 SEED = 42
 MAX_DISTANCE = 4
 BLOCKS = 8
+#: A list of cells is broadcast up to this length, some 20 MB, and joined by shuffle beyond it.
+BROADCAST_CELLS = 500_000
 _LOW_BITS = 0x5555555555555555
 
 
@@ -117,10 +119,10 @@ def link_fingerprints(fps: DataFrame, scratch: Scratch, max_distance: int = MAX_
     cells = _cells(points, max_distance, blocks)
     met = cells.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("n > 1")
     met = scratch.save(met, "met")
-    # A cell of two is settled by its hubs; only larger ones need their members. Written, their list has a size that
-    # Spark can see, and members need not move to meet a short one.
+    # A cell of two is settled by its hubs; only larger ones need their members, which need not move to meet a short list.
     larger = scratch.save(met.where("n > 2").select("grid", "cell", "low", "high"), "larger")
-    shared = scratch.save(cells.join(larger, ["grid", "cell"]), "cells")
+    short = larger.count() <= BROADCAST_CELLS
+    shared = scratch.save(cells.join(F.broadcast(larger) if short else larger, ["grid", "cell"]), "cells")
 
     hub_links = met.where(distance(F.col("low"), F.col("high")) <= max_distance).select(F.col("low").alias("u"), F.col("high").alias("v"))
     for hub in ("low", "high"):
