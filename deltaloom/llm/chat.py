@@ -5,8 +5,9 @@ assistant. Each turn may keep its role or be relabelled, open a turn of its own
 empty turns may be inserted; dynamic programming over the automaton's states finds the cheapest way.
 
 One turn is a matrix of costs from state to state, and a run of turns is the product of theirs in (min, +). So a long
-conversation is cut into pieces: each piece yields its product, a conversation's products give the states at the cuts,
-and each piece is then repaired between its two states. No task ever holds more than a piece.
+conversation, or one that two partitions share, is cut into pieces: each piece yields its product, a conversation's
+products give the states at the cuts, and each piece is then repaired between its two states. All others are repaired
+where they lie, each sequence of roles once. Texts stay out of all this and are joined to the repairs at the end.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deltaloom.llm.text import column
@@ -28,7 +30,7 @@ ROLES = ("system", "user", "assistant")
 START = 3
 #: Roles that stand for one of the three.
 SYNONYMS = {"human": USER, "prompter": USER, "bot": ASSISTANT, "gpt": ASSISTANT, "ai": ASSISTANT, "model": ASSISTANT, "developer": SYSTEM}
-PIECE_TURNS = 4096
+PIECE_TURNS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -127,104 +129,196 @@ def repaired(codes: list[int], roles: list[int], first: int, costs: Costs) -> It
         state = role
 
 
+@dataclass(frozen=True)
+class _Way:
+    """What comes out of a run of turns: per row the turn it is of, its place within that turn, its role and action."""
+
+    turn: np.ndarray
+    sub: np.ndarray
+    role: np.ndarray
+    action: np.ndarray
+
+
+_ACTIONS = ("keep", "relabel", "merge", "insert")
+_INSERT = _ACTIONS.index("insert")
+
+
+def _way(codes: list[int], first: int, last: int, closes: bool, costs: Costs) -> _Way:
+    """Inserted rows take the places 0 to 3 before their turn, the turn place 4, closing rows those from 5."""
+    rows, sub = [], 0
+    for k, role, action in repaired(codes, roles_between(codes, first, last, costs), first, costs):
+        rows.append((k, sub if action == "insert" else 4, role, _ACTIONS.index(action)))
+        sub = sub + 1 if action == "insert" else 0
+    rows += [(len(codes) - 1, 5 + k, role, _INSERT) for k, role in enumerate(_AFTER[last])] if closes else []
+    return _Way(*np.array(rows, dtype=np.int64).reshape(-1, 4).T)
+
+
+class _Ways:
+    """The repairs of whole short conversations, each sequence of roles once. Emptied beyond a bound."""
+
+    def __init__(self, costs: Costs, most: int = 20_000) -> None:
+        self.costs, self.most, self.known = costs, most, {}
+
+    def of(self, codes: bytes) -> _Way:
+        way = self.known.get(codes)
+        if way is None:
+            if len(self.known) >= self.most:
+                self.known = {}
+            listed = np.frombuffer(codes, dtype=np.int8).tolist()
+            states = cuts([product(listed, self.costs)], self.costs)
+            way = self.known[codes] = _way(listed, states[0], states[1], True, self.costs)
+        return way
+
+
 def opening(role: str) -> str:
     return f"<|{role}|>\n"
 
 
 _CLOSE = "\n"
-_PIECES = "conv_id bigint, piece bigint, place bigint, turn bigint, code int, role string, text string"
-_OUT = "conv_id bigint, turn bigint, ordinal bigint, old_role string, role string, action string, text string, rendered string"
-
+_KEYS = ("conv_id", "turn", "role", "tie")
+_DONE, _OPEN, _PIECE = range(3)
+#: Rows that are settled, turns that are still open, and the costs of each piece of these, in one table.
+_STEPS = "kind int, conv_id bigint, turn bigint, role string, tie bigint, piece bigint, place bigint, code int, new_role int, action int, costs array<double>"
+_SETTLED = "conv_id bigint, turn bigint, role string, tie bigint, place bigint, new_role int, action int"
 
-def _in_pieces(turns: DataFrame) -> DataFrame:
-    """Turns in order, with a number that rises along each conversation and the piece they belong to.
 
-    The sort is by range of conversation and turn together, so a conversation of any length is spread over partitions.
-    """
-    plain = turns.select(
+def _plain(turns: DataFrame) -> DataFrame:
+    text = F.coalesce(column(turns, "text").cast("string"), F.lit(""))
+    return turns.select(
         column(turns, "conv_id").cast("bigint").alias("conv_id"),
         column(turns, "turn").cast("bigint").alias("turn"),
         column(turns, "role").cast("string").alias("role"),
-        F.coalesce(column(turns, "text").cast("string"), F.lit("")).alias("text"),
+        F.xxhash64(text).alias("tie"),
+        text.alias("text"),
     )
-    keys = ["conv_id", "turn", "role", "tie"]
-    ordered = plain.withColumn("tie", F.xxhash64("text")).repartitionByRange(*keys).sortWithinPartitions(*keys)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
 
-        first = TaskContext.get().partitionId() << 40
-        place = 0
-        for batch in batches:
-            if not len(batch):
-                continue
-            places = first + place + np.arange(len(batch))
-            place += len(batch)
-            yield pd.DataFrame(
-                {
-                    "conv_id": batch["conv_id"].astype("Int64"),
-                    "piece": places // PIECE_TURNS,
-                    "place": places,
-                    "turn": batch["turn"].astype("Int64"),
-                    "code": [role_code(r) for r in batch["role"]],
-                    "role": batch["role"],
-                    "text": batch["text"],
-                }
-            )
-
-    return ordered.drop("tie").mapInPandas(run, _PIECES)
+def _settle(plain: DataFrame, costs: Costs) -> DataFrame:
+    """Sorts turns, without their texts, by range of conversation and turn together, so a conversation of any length is
+    spread over partitions, and repairs what lies within one. Open are a partition's first and last conversation, which
+    may go on in another, and those of more than PIECE_TURNS."""
+    most, schema = PIECE_TURNS, pa.schema([("kind", pa.int32()), ("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("tie", pa.int64()), ("piece", pa.int64()), ("place", pa.int64()), ("code", pa.int32()), ("new_role", pa.int32()), ("action", pa.int32()), ("costs", pa.list_(pa.float64()))])
 
+    def batch_of(n: int, **columns: object) -> pa.RecordBatch:
+        arrays = [columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema]
+        arrays = [a.combine_chunks() if isinstance(a, pa.ChunkedArray) else pa.array(a, f.type) if not isinstance(a, pa.Array) else a for a, f in zip(arrays, schema, strict=True)]
+        return pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
 
-def repair(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
-    """The repaired turns of conversations (conv_id, turn, role, text): one row per turn given or inserted.
+    def codes_of(table: pa.Table) -> np.ndarray:
+        roles = table["role"].combine_chunks().dictionary_encode()
+        known = np.array([*map(role_code, roles.dictionary.to_pylist()), -1], dtype=np.int8)
+        return known[roles.indices.fill_null(-1).to_numpy(zero_copy_only=False)]
 
-    A conversation in order of ``ordinal`` is legal; joining ``rendered`` in that order gives its text. action is keep,
-    relabel, merge (into the turn before) or insert (empty; turn is that of the neighbour it was made for). Turns of
-    equal number are ordered by role and text. A null role is of no known role, a null text empty, a null turn first,
-    and rows without conv_id are one conversation. No turns give no rows.
-    """
-    scratch = Scratch(turns.sparkSession, "chat")
-    cut = scratch.save(_in_pieces(turns), "pieces")
+    def kept_columns(table: pa.Table) -> dict[str, object]:
+        return {name: table[name] for name in _KEYS}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        ways = _Ways(costs)
+        place, begun, rest = TaskContext.get().partitionId() << 40, False, None
 
-    def table(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        codes = group.sort_values("place")["code"].tolist()
-        return pd.DataFrame({"conv_id": pd.array([key[0]], dtype="Int64"), "piece": [key[1]], "costs": [product(codes, costs).ravel().tolist()]})
+        def opened(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            nonlocal place
+            for k in range(0, len(table), most):
+                part = table.slice(k, most)
+                n, codes = len(part), codes_of(part)
+                yield batch_of(n, kind=[_OPEN] * n, **kept_columns(part), piece=[place] * n, place=place + np.arange(n), code=codes)
+                table_of = product(codes.tolist(), costs).ravel().tolist()
+                yield batch_of(1, kind=[_PIECE], conv_id=part["conv_id"].slice(0, 1), piece=[place], costs=[table_of])
+                place += n
 
-    products = cut.select("conv_id", "piece", "place", "code").groupBy("conv_id", "piece").applyInPandas(table, "conv_id bigint, piece bigint, costs array<double>")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            now = pa.concat_tables([rest, now]) if rest is not None else now
+            conv = now["conv_id"].combine_chunks()
+            ids, null = conv.fill_null(0).to_numpy(), conv.is_null().to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (null[1:] != null[:-1])]))
+            if not begun and len(starts) > 1:  # the first conversation may have begun in another partition
+                yield from opened(now.slice(0, int(starts[1])))
+                now, starts, begun = now.slice(int(starts[1])), starts[1:] - starts[1], True
+            whole = int(starts[-1])
+            if whole:
+                codes, found, offsets = codes_of(now.slice(0, whole)), [], []
+                for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                    found.append(ways.of(codes[a:b].tobytes()))
+                    offsets.append(a)
+                sizes = [len(w.turn) for w in found]
+                at = np.concatenate([w.turn for w in found]) + np.repeat(offsets, sizes)
+                rows = now.slice(0, whole).take(pa.array(at))
+                ordinals = (place + at) * 8 + np.concatenate([w.sub for w in found])
+                yield batch_of(len(at), kind=[_DONE] * len(at), **kept_columns(rows), place=ordinals, new_role=np.concatenate([w.role for w in found]), action=np.concatenate([w.action for w in found]))
+                place += whole
+            rest = now.slice(whole)
+            if len(rest) >= most:  # what follows is taken as going on with it
+                yield from opened(rest)
+                rest, begun = None, False
+        if rest is not None and len(rest):
+            yield from opened(rest)
+
+    ordered = plain.select(*_KEYS).repartitionByRange(*_KEYS).sortWithinPartitions(*_KEYS)
+    return ordered.mapInArrow(run, _STEPS)
+
+
+def _settle_open(steps: DataFrame, costs: Costs) -> DataFrame:
+    """The open turns: a conversation's products give the states at its cuts, then each piece is repaired alone."""
 
     def ends(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("piece")
         states = cuts([np.array(c).reshape(4, 4) for c in group["costs"]], costs)
         closes = [False] * (len(group) - 1) + [True]
-        return pd.DataFrame({"conv": pd.array([key[0]] * len(group), dtype="Int64"), "of_piece": group["piece"].to_numpy(), "first": states[:-1], "last": states[1:], "closes": closes})
-
-    between = products.groupBy("conv_id").applyInPandas(ends, "conv bigint, of_piece bigint, first int, last int, closes boolean")
-    stated = cut.join(between, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("piece") == F.col("of_piece"))).drop("conv", "of_piece")
+        return pd.DataFrame({"of_piece": group["piece"].to_numpy(), "first": states[:-1], "last": states[1:], "closes": closes})
 
     def rewrite(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("place")
-        codes, first, last = group["code"].tolist(), int(group["first"].iloc[0]), int(group["last"].iloc[0])
-        roles = roles_between(codes, first, last, costs)
-        rows = list(zip(group["turn"], group["place"], group["role"], group["text"], strict=True))
-        out, sub = [], 0
-        for k, role, action in repaired(codes, roles, first, costs):
-            turn, place, old, text = rows[k]
-            name = ROLES[role]
-            if action == "insert":
-                out.append((turn, place * 8 + sub, None, name, action, "", opening(name) + _CLOSE))
-                sub += 1
-            else:
-                out.append((turn, place * 8 + 4, old, name, action, text, ("" if action == "merge" else opening(name)) + text + _CLOSE))
-                sub = 0
-        if bool(group["closes"].iloc[0]):
-            turn, place, *_ = rows[-1]
-            for k, role in enumerate(_AFTER[last]):
-                out.append((turn, place * 8 + 5 + k, None, ROLES[role], "insert", "", opening(ROLES[role]) + _CLOSE))
-        frame = pd.DataFrame(out, columns=["turn", "ordinal", "old_role", "role", "action", "text", "rendered"])
-        frame.insert(0, "conv_id", pd.array([key[0]] * len(frame), dtype="Int64"))
-        return frame.astype({"turn": "Int64"})
-
-    return stated.groupBy("conv_id", "piece").applyInPandas(rewrite, _OUT)
+        way = _way(group["code"].tolist(), int(group["first"].iloc[0]), int(group["last"].iloc[0]), bool(group["closes"].iloc[0]), costs)
+        out = group.iloc[way.turn][[*_KEYS, "place"]].astype({"conv_id": "Int64", "turn": "Int64"})
+        return out.assign(place=out["place"].to_numpy() * 8 + way.sub, new_role=way.role, action=way.action)
+
+    between = steps.where(F.col("kind") == _PIECE).select("conv_id", "piece", "costs").groupBy("conv_id").applyInPandas(ends, "of_piece bigint, first int, last int, closes boolean")
+    stated = steps.where(F.col("kind") == _OPEN).select(*_KEYS, "piece", "place", "code").join(between, F.col("piece") == F.col("of_piece"))
+    return stated.groupBy("piece").applyInPandas(rewrite, _SETTLED)
+
+
+def _named(column_: str, names: tuple[str, ...]) -> Column:
+    return F.element_at(F.array(*map(F.lit, names)), F.col(column_) + 1)
+
+
+def repair(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
+    """The repaired turns of conversations (conv_id, turn, role, text): one row per turn given or inserted.
+
+    A conversation in order of ``ordinal`` is legal; joining ``rendered`` in that order gives its text. action is keep,
+    relabel, merge (into the turn before) or insert (empty; turn is that of the neighbour it was made for). Turns of
+    equal number are ordered by role and a hash of the text. A null role is of no known role, a null text empty, a null
+    turn first, and rows without conv_id are one conversation. No turns give no rows. Repeated rows are turns of their
+    own; the text of a repeated turn moves once. Texts meet their repairs by conversation, turn, role and hash.
+    """
+    scratch, plain = Scratch(turns.sparkSession, "chat"), _plain(turns)
+    steps = scratch.save(_settle(plain, costs), "steps")
+    settled = steps.where(F.col("kind") == _DONE).select(*[c.split()[0] for c in _SETTLED.split(", ")]).unionAll(_settle_open(steps, costs))
+    settled = scratch.save(settled, "settled")
+
+    # Keys without nulls, so that one shuffle serves both the distinct texts and the join.
+    missing = sum((F.when(F.col(c).isNull(), 1 << k).otherwise(0) for k, c in enumerate(_KEYS[:3])), F.lit(0))
+    keys = [F.coalesce("conv_id", F.lit(0)).alias("a"), F.coalesce("turn", F.lit(0)).alias("b"), F.coalesce("role", F.lit("")).alias("c"), F.col("tie").alias("d"), missing.alias("e")]
+    texts = plain.select(*keys, "text").dropDuplicates(["a", "b", "c", "d", "e"])
+    given = settled.where(F.col("action") != _INSERT).select("*", *keys).join(texts, ["a", "b", "c", "d", "e"])
+    added = settled.where(F.col("action") == _INSERT).withColumn("role", F.lit(None).cast("string")).withColumn("text", F.lit(""))
+    columns = ["conv_id", "turn", "place", "role", "new_role", "action", "text"]
+    every = given.select(*columns).unionAll(added.select(*columns))
+    start = F.when(F.col("action") == _ACTIONS.index("merge"), "").otherwise(_named("new_role", tuple(map(opening, ROLES))))
+    return every.select(
+        "conv_id",
+        "turn",
+        F.col("place").alias("ordinal"),
+        F.col("role").alias("old_role"),
+        _named("new_role", ROLES).alias("role"),
+        _named("action", _ACTIONS).alias("action"),
+        "text",
+        F.concat(start, "text", F.lit(_CLOSE)).alias("rendered"),
+    )
 
 
 def render(repaired_turns: DataFrame) -> DataFrame:

@@ -180,6 +180,32 @@ def test_chat_table(spark):
     assert chat.repair(turns.where("false")).count() == 0
 
 
+def test_chat_spread_over_partitions_equals_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PIECE_TURNS", 7)
+    draw, rows = np.random.default_rng(5), []
+    for conv in [None, *range(60)]:
+        n = 500 if conv == 7 else int(draw.integers(1, 9))
+        rows += [(conv, k, ["user", "gpt", "system", "odd", None][d], f"{conv}-{k}") for k, d in enumerate(draw.integers(0, 5, n))]
+    rows += [(3, 0, "user", "3-0"), (3, 0, "user", "3-0")]
+    found = {}
+    for r in sorted(chat.repair(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).collect(), key=lambda r: r.ordinal):
+        found.setdefault(r.conv_id, []).append(r)
+    costs, given = chat.Costs(), {}
+    for row in sorted(rows, key=lambda r: (r[0] or -1, r[1], r[2] or "")):
+        given.setdefault(row[0], []).append(row)
+    assert found.keys() == given.keys()
+    for conv, turns in given.items():
+        codes = [chat.role_code(r[2]) for r in turns]
+        assert [(r.turn, r.old_role, r.text) for r in found[conv] if r.action != "insert"] == [r[1:] for r in turns]
+        roles = [r.role for r in found[conv] if r.action != "merge"]
+        roles = roles[1:] if roles[0] == "system" else roles
+        assert roles == ["user", "assistant"] * (len(roles) // 2) and roles
+        actions = Counter(r.action for r in found[conv])
+        changed = sum((costs.unknown if chat.role_code(r.old_role) < 0 else costs.relabel) for r in found[conv] if r.action != "insert" and chat.role_code(r.old_role) != chat.ROLES.index(r.role))
+        least = (chat.product(codes, costs)[chat.START] + chat.closing(costs)).min()
+        assert actions["merge"] * costs.merge + actions["insert"] * costs.insert + changed == pytest.approx(least)
+
+
 def test_warc_round_trip(spark):
     long, short = "<p>" + "z" * 200, "tiny"
     rows = [(3, "http://a/3", long), (1, "http://a/1", long), (2, None, short), (5, "u", short), (4, "u", None), (None, "u", long), (6, "u", "é" * 90_000)]
