@@ -3,15 +3,16 @@
 A file holds documents one after another. Its ids are cut into blocks of ``block_ids``, each coded by a model that
 starts afresh, with a checksum of its own, so blocks can be read alone and damage stays in one. For each id the model
 has an order-2 prediction (what last followed the two ids before), an order-1 prediction (what last followed the id
-before) and an order-0 distribution over all ids, learnt as the block goes. The three are mixed: a distribution over
-"as order 2 says", "as order 1 says" and "by order 0" gives their weights, and adapts in a context of how often either
-prediction has lately held. An arithmetic coder codes the choice and, by order 0, the id: its first two groups of four
-bits by adaptive distributions, its last eight bits as they are.
+before) and an order-0 distribution over classes of ids, learnt as the block goes. The three are mixed: adaptive
+weights of "as order 2 says", "as order 1 says" and "by order 0", in a context of how often either prediction has lately
+held. An arithmetic coder codes the choice with, by order 0, the id's class, and then the id's place in its class. A
+class holds ids of the same leading bits; it is the finer the smaller the ids, as vocabularies list frequent ids first.
 
 All blocks of a file go through the coder in step, one id of every block at a time, as vector operations over blocks.
+Predictions follow each id; weights and distributions are counted anew at fixed steps.
 
     file:   magic, header (JSON), blocks, documents (doc_id, its ids), directory, footer
-    block:  number of ids, number of code words, crc32 of the ids, code words of 16 bits
+    block:  number of ids, number of code words, crc32 of the ids, code words of 32 bits
 """
 
 from __future__ import annotations
@@ -23,171 +24,184 @@ from dataclasses import dataclass
 
 import numpy as np
 
-MAGIC = b"IDCM0001"
+MAGIC = b"IDCM0002"
 BLOCK_IDS = 4096
-_BITS = 15
-_TOTAL = (1 << _BITS) - 1
-_RATE = 5
-_FLOOR = 40
-_SLOTS_LOG = 10
+_BITS = 10
+_TOTAL = 1 << _BITS
+_SLOTS_LOG = 12
+_CONTEXTS = 32
+_CHOICE_GAIN, _CLASS_GAIN = 4, 4
+_FINE = 3
 _U64 = np.uint64
+_WORD = _U64(32)
 _LOW32 = _U64(0xFFFFFFFF)
-#: The choice of a prediction and, where neither holds, the id's highest four of 16 bits are one symbol.
-_BY_ORDER_2, _BY_ORDER_1, _BY_ORDER_0 = 0, 1, 2
-_Lane = slice | np.ndarray
 
 
 class IdFileError(ValueError):
     """The file breaks the format or a checksum."""
 
 
-class _Adaptive:
-    """Adaptive distributions over a few symbols, one set of contexts per lane, as cumulative frequencies."""
-
-    def __init__(self, lanes: int, contexts: int, symbols: int) -> None:
-        self.contexts, self.width = contexts, symbols + 1
-        place = np.arange(symbols + 1)
-        self.rows = np.tile((place * _TOTAL // symbols).astype(np.int16), (lanes * contexts, 1))
-        # Per symbol the distribution that an update moves towards; no symbol ever falls to nothing.
-        rest = _TOTAL - symbols * _FLOOR
-        self.goals = (place[None, :] * _FLOOR + rest * (place[None, :] > np.arange(symbols)[:, None])).astype(np.int16)
-        self.base = np.arange(lanes)
-
-    def row_numbers(self, lanes: _Lane, contexts: np.ndarray | int) -> np.ndarray:
-        return self.base[lanes] * self.contexts + contexts
-
-    def learn(self, at: np.ndarray, rows: np.ndarray, symbols: np.ndarray) -> None:
-        step = self.goals[symbols]
-        step -= rows
-        step >>= _RATE
-        step += rows
-        self.rows[at] = step
-
-    def interval(self, rows: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        flat = self.base[: len(symbols)] * self.width + symbols
-        low = rows.take(flat)
-        return low.astype(_U64), (rows.take(flat + 1) - low).astype(_U64)
-
-    def encode(self, lanes: _Lane, contexts: np.ndarray | int, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The interval of each symbol, out of 2^15; learns the symbols."""
-        at = self.row_numbers(lanes, contexts)
-        rows = self.rows[at]
-        self.learn(at, rows, symbols)
-        return self.interval(rows, symbols)
-
-    def decode(self, lanes: _Lane, contexts: np.ndarray | int, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The symbols that hold the targets, and their intervals; learns the symbols."""
-        at = self.row_numbers(lanes, contexts)
-        rows = self.rows[at]
-        symbols = np.count_nonzero(rows[:, 1:-1] <= target[:, None], axis=1)
-        self.learn(at, rows, symbols)
-        return symbols, *self.interval(rows, symbols)
+class _Classes:
+    """Classes of ids below ``vocabulary``: those of one bit length and one following few bits, counted from id + 2^few."""
+
+    def __init__(self, vocabulary: int) -> None:
+        offset = 1 << _FINE
+        longest = max(vocabulary - 1, 0) + offset
+        spare = np.arange(longest.bit_length() - _FINE)
+        self.bits = np.repeat(spare, offset)
+        self.first = ((offset + np.tile(np.arange(offset), len(spare))) << self.bits) - offset
+        self.count = len(self.bits)
+        self.of_id = np.repeat(np.arange(self.count), 1 << self.bits)
+        #: With few bits, a class and a place in it fit between two outputs of the coder.
+        self.wide = 2 * _BITS + int(self.bits[-1]) > 32
 
 
 class _Lanes:
-    """The interval of each lane: low, and a size that is kept at 2^32 or more between symbols."""
+    """The interval of each lane; its size is kept at 2^32 or more between ids."""
 
     def __init__(self, lanes: int) -> None:
-        self.low = np.zeros(lanes, dtype=_U64)
         self.size = np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=_U64)
+        self.used = np.zeros(lanes, dtype=np.int64)
+
+    def widen(self, m: int) -> None:
+        short = np.flatnonzero(self.size[:m] <= _LOW32)
+        if len(short):
+            self.size[short] <<= _WORD
+            self.shift(short)
 
-    def narrow(self, lanes: _Lane, step: np.ndarray, low: np.ndarray, width: np.ndarray) -> None:
-        self.low[lanes] += step * low
-        size = step * width
-        self.size[lanes] = size
-        short = np.flatnonzero(size <= _LOW32)
-        if isinstance(lanes, np.ndarray):
-            short = lanes[short]
-        while len(short):
-            low, size = self.low[short], self.size[short]
-            # Where the first 16 bits are not settled yet, the interval is cut so that they are.
-            split = ((low ^ (low + (size - _U64(1)))) >> _U64(48)) != 0
-            size = np.where(split, (~low + _U64(1)) & _LOW32, size) << _U64(16)
-            self.shift(short, low)
-            self.low[short] = low << _U64(16)
-            self.size[short] = size
-            short = short[size <= _LOW32]
-
-    def shift(self, lanes: np.ndarray, low: np.ndarray) -> None:
+    def shift(self, lanes: np.ndarray) -> None:
         raise NotImplementedError
 
 
 class _Encoder(_Lanes):
     def __init__(self, lanes: int, most: int) -> None:
         super().__init__(lanes)
-        self.out = np.zeros((lanes, most), dtype="<u2")
-        self.used = np.zeros(lanes, dtype=np.int64)
-
-    def put(self, lanes: _Lane, bits: int, low: np.ndarray, width: np.ndarray) -> None:
-        self.narrow(lanes, self.size[lanes] >> _U64(bits), low, width)
-
-    def shift(self, lanes: np.ndarray, low: np.ndarray) -> None:
-        used = self.used[lanes]
-        if used.max() >= self.out.shape[1]:
-            self.out = np.concatenate([self.out, np.zeros_like(self.out)], axis=1)
-        self.out[lanes, used] = low >> _U64(48)
+        self.low = np.zeros(lanes, dtype=_U64)
+        self.words = np.zeros((lanes, most), dtype=np.uint32)
+        self.carries = np.zeros((lanes, most), dtype=np.uint32)
+
+    def put(self, m: int, bits: np.ndarray | int, low: np.ndarray, width: np.ndarray | None = None) -> None:
+        """Narrows the first m lanes to ``width`` parts (one, if not given) of 2^bits."""
+        step = self.size[:m] >> (bits.view(_U64) if isinstance(bits, np.ndarray) else _U64(bits))
+        more = step * low.view(_U64)
+        at = self.low[:m]
+        at += more
+        over = np.flatnonzero(at < more)
+        if len(over):
+            self.carries[over, self.used[over] - 1] += 1
+        self.size[:m] = step if width is None else step * width.view(_U64)
+
+    def shift(self, lanes: np.ndarray) -> None:
+        used, low = self.used[lanes], self.low[lanes]
+        if used.max() >= self.words.shape[1]:
+            self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
+            self.carries = np.concatenate([self.carries, np.zeros_like(self.carries)], axis=1)
+        self.words[lanes, used] = low >> _WORD
+        self.low[lanes] = low << _WORD
         self.used[lanes] = used + 1
 
     def finish(self) -> list[bytes]:
-        everyone = np.arange(len(self.low))
-        for _ in range(4):
-            self.shift(everyone, self.low)
-            self.low = self.low << _U64(16)
-        return [self.out[k, :n].tobytes() for k, n in enumerate(self.used.tolist())]
+        for _ in range(2):
+            self.shift(np.arange(len(self.low)))
+        out = []
+        for k, n in enumerate(self.used.tolist()):
+            code, carries = self.words[k, :n].astype(">u4").tobytes(), self.carries[k, :n]
+            if carries.any():
+                code = (int.from_bytes(code) + int.from_bytes(carries.astype(">u4").tobytes())).to_bytes(4 * n)
+            out.append(code)
+        return out
 
 
 class _Decoder(_Lanes):
     def __init__(self, codes: list[np.ndarray]) -> None:
         super().__init__(len(codes))
-        self.codes = np.zeros((len(codes), max(map(len, codes)) + 4), dtype=np.uint16)
+        self.width = max(map(len, codes)) + 4
+        self.words = np.zeros((len(codes), self.width), dtype=_U64)
         for k, code in enumerate(codes):
-            self.codes[k, : len(code)] = code
-        self.at = np.full(len(codes), 4, dtype=np.int64)
-        self.value = np.zeros(len(codes), dtype=_U64)
-        for k in range(4):
-            self.value = (self.value << _U64(16)) | self.codes[:, k].astype(_U64)
+            self.words[k, : len(code)] = code
+        self.used += 2
+        self.code = (self.words[:, 0] << _WORD) | self.words[:, 1]  # counted from the interval's low end
 
-    def target(self, lanes: _Lane, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    def target(self, m: int, bits: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
         """Where each lane's code stands, out of 2^bits, and the size of one part."""
-        step = self.size[lanes] >> _U64(bits)
-        return ((self.value[lanes] - self.low[lanes]) // step).astype(np.int64), step
+        step = self.size[:m] >> (bits.view(_U64) if isinstance(bits, np.ndarray) else _U64(bits))
+        return (self.code[:m] // step).view(np.int64), step
+
+    def take(self, m: int, step: np.ndarray, low: np.ndarray, width: np.ndarray | None = None) -> None:
+        self.code[:m] -= step * low.view(_U64)
+        self.size[:m] = step if width is None else step * width.view(_U64)
 
-    def shift(self, lanes: np.ndarray, low: np.ndarray) -> None:
-        at = self.at[lanes]
-        words = self.codes[lanes, np.minimum(at, self.codes.shape[1] - 1)]
-        self.value[lanes] = (self.value[lanes] << _U64(16)) | words
-        self.at[lanes] = at + 1
+    def shift(self, lanes: np.ndarray) -> None:
+        used = self.used[lanes]
+        self.code[lanes] = (self.code[lanes] << _WORD) | self.words[lanes, np.minimum(used, self.width - 1)]
+        self.used[lanes] = used + 1
 
 
 class _Model:
-    """Predictions and weights of all lanes. Encoder and decoder drive it alike."""
-
-    def __init__(self, lanes: int, wide: bool) -> None:
-        self.slots = np.arange(lanes) << _SLOTS_LOG
-        self.last = [np.zeros(lanes << _SLOTS_LOG, dtype=np.uint32 if wide else np.uint16) for _ in range(2)]  # by order 1 and order 2
-        self.trust = [np.zeros(lanes << _SLOTS_LOG, dtype=np.uint8) for _ in range(2)]
-        self.before = np.zeros((2, lanes), dtype=_U64)  # the id before, and the one before that
-        self.choice = _Adaptive(lanes, 32, 18)
-        self.top = _Adaptive(lanes, 1, 16) if wide else None
-        self.second = _Adaptive(lanes, 16, 16)
+    """Predictions, weights and distributions of all lanes. Encoder and decoder drive it alike."""
+
+    def __init__(self, lanes: int, classes: _Classes, reading: bool) -> None:
+        self.n, self.classes, self.reading = lanes, classes, reading
+        self.lanes = np.arange(lanes)
+        self.slots = self.lanes << _SLOTS_LOG
+        self.contexts = self.lanes * _CONTEXTS
+        self.rows = self.lanes * (classes.count + 1)
+        # By order 1 and by order 2: what followed, times four, plus how far it is trusted.
+        self.seen = [np.zeros(lanes << _SLOTS_LOG, dtype=np.uint32) for _ in range(2)]
+        self.one, self.two = np.zeros(lanes, dtype=_U64), np.zeros(lanes, dtype=_U64)
+        sure = np.arange(_CONTEXTS)
+        # Weights to begin with: by trust in order 2, by trust in order 1 where it says another id, and the rest.
+        begin = np.stack([1 + 4 * (sure >> 3), 1 + 2 * (sure >> 1 & 3) * (1 - (sure & 1)), np.full(_CONTEXTS, 4)], axis=1)
+        self.choices = np.tile(begin, (lanes, 1))
+        self.counts = np.ones((lanes, classes.count), dtype=np.int64)
+        self.chosen: list[np.ndarray] = []
+        self.fell: list[np.ndarray] = []
+        self.step, self.next = 0, 16
+        self.weigh()
+
+    def weigh(self) -> None:
+        """Counts become weights of the choices and cumulative frequencies of the classes, all of one or more."""
+        sums = np.cumsum(self.choices, axis=1)
+        scaled = sums[:, :2] * (_TOTAL - 3) // sums[:, 2:]
+        self.to_two, self.to_one = scaled[:, 0] + 1, scaled[:, 1] + 2
+        below = np.zeros((self.n, self.classes.count + 1), dtype=np.int64)
+        np.cumsum(self.counts, axis=1, out=below[:, 1:])
+        below *= _TOTAL - self.classes.count
+        below //= below[:, -1:] // (_TOTAL - self.classes.count)
+        below += np.arange(self.classes.count + 1)
+        self.below = below.ravel()
+        if self.reading:
+            self.class_at = np.repeat(np.tile(np.arange(self.classes.count, dtype=np.uint8), self.n), np.diff(below, axis=1).ravel())
 
     def predict(self, m: int) -> None:
         """For the first m lanes."""
-        one, two = self.before[0, :m], self.before[1, :m]
-        hashed = (one * _U64(0x9E3779B97F4A7C15), (one + (two << _U64(20))) * _U64(0xD6E8FEB86659FD93))
-        self.slot = [self.slots[:m] + (h >> _U64(64 - _SLOTS_LOG)).astype(np.int64) for h in hashed]
-        self.guess = [self.last[k][self.slot[k]] for k in range(2)]
-        self.sure = [self.trust[k][self.slot[k]] for k in range(2)]
-        self.context = self.sure[1] * 8 + self.sure[0] * 2 + (self.guess[0] == self.guess[1])
-
-    def learn(self, m: int, ids: np.ndarray) -> None:
+        one, two = self.one[:m], self.two[:m]
+        keys = (one * _U64(0x9E3779B97F4A7C15), (one + (two << _U64(20))) * _U64(0xD6E8FEB86659FD93))
+        self.slot = [self.slots[:m] + (key >> _U64(64 - _SLOTS_LOG)).view(np.int64) for key in keys]
+        self.entry = [seen.take(slot) for seen, slot in zip(self.seen, self.slot, strict=True)]
+        self.guess = [entry >> 2 for entry in self.entry]
+        self.sure = [entry & 3 for entry in self.entry]
+        self.context = self.contexts[:m] + (self.sure[1] * 8 + self.sure[0] * 2 + (self.guess[0] == self.guess[1]))
+        self.two_end, self.one_end = self.to_two.take(self.context), self.to_one.take(self.context)
+
+    def learn(self, m: int, ids: np.ndarray, choice: np.ndarray, classes: np.ndarray) -> None:
+        """ids: what came; choice: 0 by order 2, 1 by order 1, 2 by order 0; classes: of the ids, of use where that is 2."""
+        fresh = ids << 2
         for k in range(2):
-            sure = self.sure[k]
-            hit = self.guess[k] == ids
-            self.last[k][self.slot[k]] = np.where(hit | (sure < 2), ids, self.guess[k])
-            self.trust[k][self.slot[k]] = np.where(hit, np.minimum(sure + 1, 3), sure >> 1)
-        self.before[1, :m] = self.before[0, :m]
-        self.before[0, :m] = ids
+            entry, sure = self.entry[k], self.sure[k]
+            missed = np.where(sure < 2, fresh, (entry | 3) - 2)
+            self.seen[k][self.slot[k]] = np.where(self.guess[k] == ids, entry + (sure < 3), missed)
+        self.two[:m] = self.one[:m]
+        self.one[:m] = ids
+        self.chosen.append(self.context * 3 + choice)
+        self.fell.append((self.lanes[:m] * self.classes.count + classes)[choice == 2])
+        self.step += 1
+        if self.step == self.next:
+            self.choices += _CHOICE_GAIN * np.bincount(np.concatenate(self.chosen), minlength=self.choices.size).reshape(self.choices.shape)
+            self.counts += _CLASS_GAIN * np.bincount(np.concatenate(self.fell), minlength=self.counts.size).reshape(self.counts.shape)
+            self.weigh()
+            self.chosen, self.fell = [], []
+            self.next += min(self.step, 128)
 
 
 def _live_lanes(sizes: np.ndarray, steps: int) -> list[int]:
@@ -195,7 +209,7 @@ def _live_lanes(sizes: np.ndarray, steps: int) -> list[int]:
     return np.searchsorted(-sizes, -np.arange(steps), side="left").tolist()
 
 
-def encode_blocks(blocks: list[np.ndarray], wide: bool) -> list[bytes]:
+def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     """The code of each block of one id or more."""
     if not blocks:
         return []
@@ -205,21 +219,26 @@ def encode_blocks(blocks: list[np.ndarray], wide: bool) -> list[bytes]:
     ids = np.zeros((steps, n), dtype=np.uint32)
     for lane, k in enumerate(order):
         ids[: len(blocks[k]), lane] = blocks[k]
-    model, coder = _Model(n, wide), _Encoder(n, steps + steps // 4 + 16)
+    classes = _Classes(vocabulary)
+    model, coder = _Model(n, classes, reading=False), _Encoder(n, steps // 2 + 16)
     for step, m in enumerate(_live_lanes(sizes, steps)):
         now = ids[step, :m]
         model.predict(m)
         by_2, by_1 = model.guess[1] == now, model.guess[0] == now
-        symbols = np.where(by_2, _BY_ORDER_2, np.where(by_1, _BY_ORDER_1, _BY_ORDER_0 + (now >> 12 & 15)))
-        coder.put(slice(0, m), _BITS, *model.choice.encode(slice(0, m), model.context, symbols))
-        missed = np.flatnonzero(symbols >= _BY_ORDER_0)
-        if len(missed):
-            plain = now[missed]
-            if model.top is not None:
-                coder.put(missed, _BITS, *model.top.encode(missed, 0, plain >> 16 & 15))
-            low, width = model.second.encode(missed, plain >> 12 & 15, plain >> 8 & 15)
-            coder.put(missed, _BITS + 8, (low << _U64(8)) + (plain & 255) * width, width)
-        model.learn(m, now)
+        of = classes.of_id.take(now)
+        at = model.rows[:m] + of
+        begin = model.below.take(at)
+        end_2, end_1 = model.two_end, model.one_end
+        rest = _TOTAL - end_1
+        low = np.where(by_2, 0, np.where(by_1, end_2 << _BITS, (end_1 << _BITS) + rest * begin))
+        width = np.where(by_2, end_2 << _BITS, np.where(by_1, (end_1 - end_2) << _BITS, rest * (model.below.take(at + 1) - begin)))
+        plain = ~(by_2 | by_1)
+        coder.put(m, 2 * _BITS, low, width)
+        if classes.wide:
+            coder.widen(m)
+        coder.put(m, classes.bits.take(of) * plain, (now - classes.first.take(of)) * plain)
+        coder.widen(m)
+        model.learn(m, now, np.where(by_2, 0, np.where(by_1, 1, 2)), of)
     codes = coder.finish()
     out = [b""] * n
     for lane, k in enumerate(order):
@@ -227,36 +246,37 @@ def encode_blocks(blocks: list[np.ndarray], wide: bool) -> list[bytes]:
     return out
 
 
-def decode_blocks(codes: list[np.ndarray], sizes: list[int], wide: bool) -> list[np.ndarray]:
+def decode_blocks(codes: list[np.ndarray], sizes: list[int], vocabulary: int) -> list[np.ndarray]:
     if not codes:
         return []
     order = sorted(range(len(codes)), key=lambda k: -sizes[k])
     by_lane = np.array([sizes[k] for k in order])
     n, steps = len(codes), int(by_lane[0])
     ids = np.zeros((steps, n), dtype=np.uint32)
-    model, coder = _Model(n, wide), _Decoder([codes[k] for k in order])
+    classes = _Classes(vocabulary)
+    model, coder = _Model(n, classes, reading=True), _Decoder([codes[k] for k in order])
     for step, m in enumerate(_live_lanes(by_lane, steps)):
         model.predict(m)
-        target, part = coder.target(slice(0, m), _BITS)
-        symbols, low, width = model.choice.decode(slice(0, m), model.context, target)
-        coder.narrow(slice(0, m), part, low, width)
-        now = np.where(symbols == _BY_ORDER_2, model.guess[1], model.guess[0])
-        missed = np.flatnonzero(symbols >= _BY_ORDER_0)
-        if len(missed):
-            first = symbols[missed] - _BY_ORDER_0
-            plain = first << 12
-            if model.top is not None:
-                target, part = coder.target(missed, _BITS)
-                top, low, width = model.top.decode(missed, 0, target)
-                coder.narrow(missed, part, low, width)
-                plain |= top << 16
-            target, part = coder.target(missed, _BITS + 8)
-            second, low, width = model.second.decode(missed, first, target >> 8)
-            byte = (target.astype(_U64) - (low << _U64(8))) // width
-            coder.narrow(missed, part, (low << _U64(8)) + byte * width, width)
-            now[missed] = plain | second << 8 | byte.astype(np.int64)
+        end_2, end_1 = model.two_end, model.one_end
+        target, part = coder.target(m, 2 * _BITS)
+        target = np.minimum(target, (1 << 2 * _BITS) - 1)  # damaged code may stand beyond
+        high = target >> _BITS
+        by_2, plain = high < end_2, high >= end_1
+        rest = _TOTAL - end_1
+        of = model.class_at.take((model.lanes[:m] << _BITS) + (target - (end_1 << _BITS)) * plain // rest).astype(np.int64)
+        at = model.rows[:m] + of
+        begin = model.below.take(at)
+        low = np.where(by_2, 0, np.where(plain, (end_1 << _BITS) + rest * begin, end_2 << _BITS))
+        width = np.where(by_2, end_2 << _BITS, np.where(plain, rest * (model.below.take(at + 1) - begin), (end_1 - end_2) << _BITS))
+        coder.take(m, part, low, width)
+        if classes.wide:
+            coder.widen(m)
+        place, part = coder.target(m, classes.bits.take(of) * plain)
+        coder.take(m, part, place)
+        coder.widen(m)
+        now = np.where(by_2, model.guess[1], np.where(plain, classes.first.take(of) + place, model.guess[0])).astype(np.uint32)
         ids[step, :m] = now
-        model.learn(m, now)
+        model.learn(m, now, np.where(by_2, 0, 1 + plain), of)
     out: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * n
     for lane, k in enumerate(order):
         out[k] = ids[: sizes[k], lane]
@@ -276,17 +296,16 @@ class Documents:
 
 
 def write_ids(held: Documents, vocabulary: int, block_ids: int = BLOCK_IDS) -> bytes:
-    """A whole file. Ids must be below 2^20."""
-    if len(held.ids) and int(held.ids.max()) >= 1 << 20:
-        raise IdFileError("ids of 2^20 and more are not supported")
-    wide = vocabulary > 1 << 16
+    """A whole file. Ids must be below ``vocabulary``, which may be 2^20 at most."""
+    if vocabulary > 1 << 20 or (len(held.ids) and int(held.ids.max()) >= vocabulary):
+        raise IdFileError("ids must be below the vocabulary's size, and that 2^20 at most")
     blocks = [held.ids[k : k + block_ids] for k in range(0, len(held.ids), block_ids)]
-    head = json.dumps({"vocabulary": vocabulary, "block_ids": block_ids, "wide": wide}).encode()
+    head = json.dumps({"vocabulary": vocabulary, "block_ids": block_ids}).encode()
     out = [MAGIC, struct.pack("<I", len(head)), head]
     at, directory = sum(map(len, out)), []
-    for block, code in zip(blocks, encode_blocks(blocks, wide), strict=True):
+    for block, code in zip(blocks, encode_blocks(blocks, vocabulary), strict=True):
         directory.append(at)
-        out += [struct.pack(_BLOCK, len(block), len(code) // 2, zlib.crc32(block.astype("<u4").tobytes())), code]
+        out += [struct.pack(_BLOCK, len(block), len(code) // 4, zlib.crc32(block.astype("<u4").tobytes())), code]
         at += struct.calcsize(_BLOCK) + len(code)
     listed = b"".join(struct.pack(_DOCUMENT, d is not None, d or 0, n) for d, n in zip(held.doc_ids, held.lengths.tolist(), strict=True))
     where = struct.pack(f"<{len(directory)}Q", *directory)
@@ -303,15 +322,15 @@ def read_ids(data: bytes) -> Documents:
     if zlib.crc32(tail) != checksum or len(tail) != n_docs * struct.calcsize(_DOCUMENT) + n_blocks * 8:
         raise IdFileError("the directory is damaged")
     (n,) = struct.unpack_from("<I", data, len(MAGIC))
-    wide = json.loads(data[len(MAGIC) + 4 : len(MAGIC) + 4 + n])["wide"]
+    vocabulary = json.loads(data[len(MAGIC) + 4 : len(MAGIC) + 4 + n])["vocabulary"]
     documents = list(struct.iter_unpack(_DOCUMENT, tail[: n_docs * struct.calcsize(_DOCUMENT)]))
     codes, sizes, sums = [], [], []
     for place in struct.unpack(f"<{n_blocks}Q", tail[n_docs * struct.calcsize(_DOCUMENT) :]):
         size, words, crc = struct.unpack_from(_BLOCK, data, place)
-        codes.append(np.frombuffer(data, dtype="<u2", count=words, offset=place + struct.calcsize(_BLOCK)))
+        codes.append(np.frombuffer(data, dtype=">u4", count=words, offset=place + struct.calcsize(_BLOCK)))
         sizes.append(size)
         sums.append(crc)
-    blocks = decode_blocks(codes, sizes, wide)
+    blocks = decode_blocks(codes, sizes, vocabulary)
     for k, (block, crc) in enumerate(zip(blocks, sums, strict=True)):
         if zlib.crc32(block.astype("<u4").tobytes()) != crc:
             raise IdFileError(f"block {k} is damaged")
