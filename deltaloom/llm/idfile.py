@@ -25,11 +25,11 @@ from dataclasses import dataclass
 import numpy as np
 
 MAGIC = b"IDCM0002"
-BLOCK_IDS = 4096
+BLOCK_IDS = 2048
 _BITS = 10
 _TOTAL = 1 << _BITS
-_SLOTS_LOG = 12
-_CONTEXTS = 32
+_SLOTS_LOG = 11
+_CONTEXTS = 8
 _CHOICE_GAIN, _CLASS_GAIN = 4, 4
 _FINE = 3
 _U64 = np.uint64
@@ -52,8 +52,10 @@ class _Classes:
         self.first = ((offset + np.tile(np.arange(offset), len(spare))) << self.bits) - offset
         self.count = len(self.bits)
         self.of_id = np.repeat(np.arange(self.count), 1 << self.bits)
+        # After the last: an id that a prediction gives.
+        self.bits, self.first = np.append(self.bits, 0), np.append(self.first, 0)
         #: With few bits, a class and a place in it fit between two outputs of the coder.
-        self.wide = 2 * _BITS + int(self.bits[-1]) > 32
+        self.wide = 2 * _BITS + int(self.bits.max()) > 32
 
 
 class _Lanes:
@@ -142,16 +144,16 @@ class _Model:
 
     def __init__(self, lanes: int, classes: _Classes, reading: bool) -> None:
         self.n, self.classes, self.reading = lanes, classes, reading
-        self.lanes = np.arange(lanes)
-        self.slots = self.lanes << _SLOTS_LOG
-        self.contexts = self.lanes * _CONTEXTS
-        self.rows = self.lanes * (classes.count + 1)
-        # By order 1 and by order 2: what followed, times four, plus how far it is trusted.
+        self.slots = np.arange(lanes) << _SLOTS_LOG
+        self.contexts = np.arange(lanes) * (_CONTEXTS * 4)
+        self.rows = np.arange(lanes) * (classes.count + 1)
+        self.places = np.arange(lanes) << _BITS
+        # By order 1 and by order 2: what followed last, times two, plus whether that was foreseen.
         self.seen = [np.zeros(lanes << _SLOTS_LOG, dtype=np.uint32) for _ in range(2)]
         self.one, self.two = np.zeros(lanes, dtype=_U64), np.zeros(lanes, dtype=_U64)
-        sure = np.arange(_CONTEXTS)
-        # Weights to begin with: by trust in order 2, by trust in order 1 where it says another id, and the rest.
-        begin = np.stack([1 + 4 * (sure >> 3), 1 + 2 * (sure >> 1 & 3) * (1 - (sure & 1)), np.full(_CONTEXTS, 4)], axis=1)
+        context = np.arange(_CONTEXTS)
+        # Weights to begin with: more for a prediction that held last, none for one that says the same id.
+        begin = np.stack([1 + 8 * (context >> 2), (1 + 4 * (context >> 1 & 1)) * (1 - (context & 1)), np.full(_CONTEXTS, 4)], axis=1)
         self.choices = np.tile(begin, (lanes, 1))
         self.counts = np.ones((lanes, classes.count), dtype=np.int64)
         self.chosen: list[np.ndarray] = []
@@ -160,45 +162,59 @@ class _Model:
         self.weigh()
 
     def weigh(self) -> None:
-        """Counts become weights of the choices and cumulative frequencies of the classes, all of one or more."""
-        sums = np.cumsum(self.choices, axis=1)
-        scaled = sums[:, :2] * (_TOTAL - 3) // sums[:, 2:]
-        self.to_two, self.to_one = scaled[:, 0] + 1, scaled[:, 1] + 2
-        below = np.zeros((self.n, self.classes.count + 1), dtype=np.int64)
+        """Counts become ends of the choices and cumulative frequencies of the classes, all of one or more."""
+        ends = np.zeros((len(self.choices), 4), dtype=np.int64)
+        np.cumsum(self.choices, axis=1, out=ends[:, 1:])
+        ends *= _TOTAL - 3
+        ends //= ends[:, 3:] // (_TOTAL - 3)
+        self.ends = (ends + np.arange(4)).ravel()
+        n = self.classes.count
+        below = np.zeros((self.n, n + 1), dtype=np.int64)
         np.cumsum(self.counts, axis=1, out=below[:, 1:])
-        below *= _TOTAL - self.classes.count
-        below //= below[:, -1:] // (_TOTAL - self.classes.count)
-        below += np.arange(self.classes.count + 1)
-        self.below = below.ravel()
+        below *= _TOTAL - n
+        below //= below[:, -1:] // (_TOTAL - n)
+        below += np.arange(n + 1)
+        # The last of a row is no class: it stands for an id that a prediction gives, and has the whole range.
+        parts = np.full((self.n, n + 1), _TOTAL)
+        np.subtract(below[:, 1:], below[:, :-1], out=parts[:, :-1])
         if self.reading:
-            self.class_at = np.repeat(np.tile(np.arange(self.classes.count, dtype=np.uint8), self.n), np.diff(below, axis=1).ravel())
+            self.class_at = np.repeat(np.tile(np.arange(n, dtype=np.uint8), self.n), parts[:, :-1].ravel())
+        below[:, -1] = 0
+        self.below, self.parts = below.ravel(), parts.ravel()
 
     def predict(self, m: int) -> None:
         """For the first m lanes."""
         one, two = self.one[:m], self.two[:m]
         keys = (one * _U64(0x9E3779B97F4A7C15), (one + (two << _U64(20))) * _U64(0xD6E8FEB86659FD93))
         self.slot = [self.slots[:m] + (key >> _U64(64 - _SLOTS_LOG)).view(np.int64) for key in keys]
-        self.entry = [seen.take(slot) for seen, slot in zip(self.seen, self.slot, strict=True)]
-        self.guess = [entry >> 2 for entry in self.entry]
-        self.sure = [entry & 3 for entry in self.entry]
-        self.context = self.contexts[:m] + (self.sure[1] * 8 + self.sure[0] * 2 + (self.guess[0] == self.guess[1]))
-        self.two_end, self.one_end = self.to_two.take(self.context), self.to_one.take(self.context)
-
-    def learn(self, m: int, ids: np.ndarray, choice: np.ndarray, classes: np.ndarray) -> None:
-        """ids: what came; choice: 0 by order 2, 1 by order 1, 2 by order 0; classes: of the ids, of use where that is 2."""
-        fresh = ids << 2
-        for k in range(2):
-            entry, sure = self.entry[k], self.sure[k]
-            missed = np.where(sure < 2, fresh, (entry | 3) - 2)
-            self.seen[k][self.slot[k]] = np.where(self.guess[k] == ids, entry + (sure < 3), missed)
+        entry = [seen.take(slot).astype(np.int64) for seen, slot in zip(self.seen, self.slot, strict=True)]
+        self.guess = [x >> 1 for x in entry]
+        self.context = self.contexts[:m] + (((entry[1] & 1) << 4) + ((entry[0] & 1) << 3) + ((self.guess[0] == self.guess[1]).view(np.int8) << 2))
+
+    def share(self, choice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where choices begin, and their widths."""
+        begin = self.ends.take(choice)
+        return begin, self.ends.take(choice + 1) - begin
+
+    def interval(self, begin: np.ndarray, share: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of a choice and a class, out of 2^20."""
+        return (begin << _BITS) + share * self.below.take(at), share * self.parts.take(at)
+
+    def learn(self, m: int, ids: np.ndarray, choice: np.ndarray, at: np.ndarray) -> None:
+        """ids: what came; choice and at: the numbers of the choice and the class in the lanes' tables."""
+        double = ids << 1
+        for seen, slot, guess in zip(self.seen, self.slot, self.guess, strict=True):
+            seen[slot] = double + (guess == ids)
         self.two[:m] = self.one[:m]
         self.one[:m] = ids
-        self.chosen.append(self.context * 3 + choice)
-        self.fell.append((self.lanes[:m] * self.classes.count + classes)[choice == 2])
+        self.chosen.append(choice)
+        self.fell.append(at)
         self.step += 1
         if self.step == self.next:
-            self.choices += _CHOICE_GAIN * np.bincount(np.concatenate(self.chosen), minlength=self.choices.size).reshape(self.choices.shape)
-            self.counts += _CLASS_GAIN * np.bincount(np.concatenate(self.fell), minlength=self.counts.size).reshape(self.counts.shape)
+            chosen = np.bincount(np.concatenate(self.chosen), minlength=len(self.ends)).reshape(-1, 4)
+            self.choices += _CHOICE_GAIN * chosen[:, :3]
+            fell = np.bincount(np.concatenate(self.fell), minlength=len(self.below)).reshape(self.n, -1)
+            self.counts += _CLASS_GAIN * fell[:, :-1]
             self.weigh()
             self.chosen, self.fell = [], []
             self.next += min(self.step, 128)
@@ -222,23 +238,19 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     classes = _Classes(vocabulary)
     model, coder = _Model(n, classes, reading=False), _Encoder(n, steps // 2 + 16)
     for step, m in enumerate(_live_lanes(sizes, steps)):
-        now = ids[step, :m]
+        now = ids[step, :m].astype(np.int64)
         model.predict(m)
-        by_2, by_1 = model.guess[1] == now, model.guess[0] == now
-        of = classes.of_id.take(now)
+        by_0 = model.guess[1] != now
+        choice = model.context + ((model.guess[0] != now).view(np.int8) + by_0.view(np.int8)) * by_0
+        by_0 &= model.guess[0] != now
+        of = np.where(by_0, classes.of_id.take(now), classes.count)
         at = model.rows[:m] + of
-        begin = model.below.take(at)
-        end_2, end_1 = model.two_end, model.one_end
-        rest = _TOTAL - end_1
-        low = np.where(by_2, 0, np.where(by_1, end_2 << _BITS, (end_1 << _BITS) + rest * begin))
-        width = np.where(by_2, end_2 << _BITS, np.where(by_1, (end_1 - end_2) << _BITS, rest * (model.below.take(at + 1) - begin)))
-        plain = ~(by_2 | by_1)
-        coder.put(m, 2 * _BITS, low, width)
+        coder.put(m, 2 * _BITS, *model.interval(*model.share(choice), at))
         if classes.wide:
             coder.widen(m)
-        coder.put(m, classes.bits.take(of) * plain, (now - classes.first.take(of)) * plain)
+        coder.put(m, classes.bits.take(of), (now - classes.first.take(of)) * by_0)
         coder.widen(m)
-        model.learn(m, now, np.where(by_2, 0, np.where(by_1, 1, 2)), of)
+        model.learn(m, now, choice, at)
     codes = coder.finish()
     out = [b""] * n
     for lane, k in enumerate(order):
@@ -257,26 +269,24 @@ def decode_blocks(codes: list[np.ndarray], sizes: list[int], vocabulary: int) ->
     model, coder = _Model(n, classes, reading=True), _Decoder([codes[k] for k in order])
     for step, m in enumerate(_live_lanes(by_lane, steps)):
         model.predict(m)
-        end_2, end_1 = model.two_end, model.one_end
         target, part = coder.target(m, 2 * _BITS)
-        target = np.minimum(target, (1 << 2 * _BITS) - 1)  # damaged code may stand beyond
+        np.minimum(target, (1 << 2 * _BITS) - 1, out=target)  # damaged code may stand beyond
         high = target >> _BITS
-        by_2, plain = high < end_2, high >= end_1
-        rest = _TOTAL - end_1
-        of = model.class_at.take((model.lanes[:m] << _BITS) + (target - (end_1 << _BITS)) * plain // rest).astype(np.int64)
+        not_2, by_0 = high >= model.ends.take(model.context + 1), high >= model.ends.take(model.context + 2)
+        choice = model.context + (not_2.view(np.int8) + by_0.view(np.int8))
+        begin, share = model.share(choice)
+        place = (target - (begin << _BITS)) // share
+        of = np.where(by_0, model.class_at.take(model.places[:m] + place), classes.count)
         at = model.rows[:m] + of
-        begin = model.below.take(at)
-        low = np.where(by_2, 0, np.where(plain, (end_1 << _BITS) + rest * begin, end_2 << _BITS))
-        width = np.where(by_2, end_2 << _BITS, np.where(plain, rest * (model.below.take(at + 1) - begin), (end_1 - end_2) << _BITS))
-        coder.take(m, part, low, width)
+        coder.take(m, part, *model.interval(begin, share, at))
         if classes.wide:
             coder.widen(m)
-        place, part = coder.target(m, classes.bits.take(of) * plain)
+        place, part = coder.target(m, classes.bits.take(of))
         coder.take(m, part, place)
         coder.widen(m)
-        now = np.where(by_2, model.guess[1], np.where(plain, classes.first.take(of) + place, model.guess[0])).astype(np.uint32)
+        now = np.where(by_0, classes.first.take(of) + place, np.where(not_2, model.guess[0], model.guess[1])) & 0xFFFFF
         ids[step, :m] = now
-        model.learn(m, now, np.where(by_2, 0, 1 + plain), of)
+        model.learn(m, now, choice, at)
     out: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * n
     for lane, k in enumerate(order):
         out[k] = ids[: sizes[k], lane]

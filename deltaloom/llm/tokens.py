@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import sys
 from collections.abc import Callable
 from types import ModuleType
@@ -125,7 +126,8 @@ class IdCache:
         for pre_token in self.encoder.pre_tokens(part):
             ids = self.of_pre_token.get(pre_token)
             if ids is None:
-                ids = self.of_pre_token[pre_token] = np.array(self.encoder.encode_pre_token(pre_token), dtype="<u4").tobytes()
+                found = self.encoder.encode_pre_token(pre_token)
+                ids = self.of_pre_token[pre_token] = struct.pack(f"<{len(found)}I", *found)
             out.append(ids)
         self.of_part[part] = b"".join(out)
 
