@@ -21,6 +21,8 @@ import regex
 
 #: A run of white space and what follows it, up to the next white space.
 _PART = re.compile(r"\s*\S+|\s+")
+#: Where no two white spaces meet, a text may be cut before any of them.
+_RUN = re.compile(r"\s\s")
 _UNCLEAR = re.compile("[\x1c-\x1f]")
 #: The plain case of a part: letters, perhaps after one blank, and then perhaps marks. It cuts as PRE_TOKEN does.
 _PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
@@ -89,12 +91,18 @@ class Encoder:
         if not self.byte_level or (not text.isprintable() and _UNCLEAR.search(text)):
             return [text]
         if self._special is None or not any(s in text for s in self.specials):
-            return _PART.findall(text)
+            return self._cut(text)
         out: list[str] = []
         for piece in self._special.split(text):
-            out += [piece] if piece in self.specials else _PART.findall(piece)
+            out += [piece] if piece in self.specials else self._cut(piece)
         return out
 
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        if "\0" in text or _RUN.search(text):
+            return _PART.findall(text)
+        return [part for part in text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if part]
+
     def pre_tokens(self, part: str) -> list[str]:
         """What the tokenizer itself cuts a part into."""
         if (m := _PLAIN.fullmatch(part)) and self.byte_level:
@@ -118,31 +126,31 @@ class IdCache:
 
     def __init__(self, encoder: Encoder, most: int = 1_000_000) -> None:
         self.encoder, self.most = encoder, most
-        self.of_part: dict[str, bytes] = {}
-        self.of_pre_token: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
-    def _add(self, part: str) -> None:
+    def _add(self, part: str) -> bytes:
+        """A pre-token is a part too, so parts and pre-tokens share one table."""
         out = []
         for pre_token in self.encoder.pre_tokens(part):
-            ids = self.of_pre_token.get(pre_token)
+            ids = self.known.get(pre_token)
             if ids is None:
                 found = self.encoder.encode_pre_token(pre_token)
-                ids = self.of_pre_token[pre_token] = struct.pack(f"<{len(found)}I", *found)
+                ids = self.known[pre_token] = struct.pack(f"<{len(found)}I", *found)
             out.append(ids)
-        self.of_part[part] = b"".join(out)
+        whole = self.known[part] = b"".join(out)
+        return whole
 
     def ids(self, text: str | None, end: int | None = None) -> np.ndarray:
         """The ids of a text as unsigned 32-bit integers, closed by ``end``."""
         parts = self.encoder.parts(text) if text else []
-        known = self.of_part
-        for part in parts:
-            if part not in known:
-                self._add(part)
-        tail = b"" if end is None else np.array([end], dtype="<u4").tobytes()
-        out = np.frombuffer(b"".join([*map(known.__getitem__, parts), tail]), dtype="<u4")
-        if len(known) > self.most:
-            self.of_part, self.of_pre_token = {}, {}
-        return out
+        found = list(map(self.known.get, parts))
+        if None in found:
+            found = [self.known.get(part) or self._add(part) if ids is None else ids for part, ids in zip(parts, found, strict=True)]
+        if end is not None:
+            found.append(struct.pack("<I", end))
+        if len(self.known) > self.most:
+            self.known = {}
+        return np.frombuffer(b"".join(found), dtype="<u4")
 
 
 def process_cache(path: str) -> IdCache:

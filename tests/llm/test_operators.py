@@ -3,6 +3,7 @@
 import hashlib
 import io
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -266,6 +267,8 @@ def test_parts_keep_ids():
     encoder = tokens.Encoder(tokens.tokenizer_path("byte_bpe_50k.json"))
     odd = ["a \n b", "x<|endoftext|> y<|endoftext|>", "  lead", "tail  \n ", "a\x1c b!\x1c\x1d", "it's they'll\t\t no", " ", " a　 b", "word's,,, 12ab", "日本 語"]
     cache = tokens.IdCache(encoder)
+    draw = random.Random(3)
+    odd += ["".join(draw.choices(["a", "Bé", ",", "7", " ", " ", "\n", "\t", "\r", "\u3000", "\0", "'s"], k=draw.randrange(1, 14))) for _ in range(3000)]
     assert [cache.ids(t).tolist() for t in odd] == encoder.encode(odd)
 
 
