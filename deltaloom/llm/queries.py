@@ -21,7 +21,8 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compression.quality(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    return compression.quality(docs, compression.fitted(docs, compression.labels_in(spark, sf_dir)))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,6 +116,38 @@ def test_bands_reject_what_the_base_passes():
     assert compression.judge(prose(9, 400), bands, packer)[-1]
 
 
+def littered(seed, n):
+    """Invented words with bars and symbols between them, which pass the base."""
+    draw = np.random.default_rng(seed)
+    return " | ".join(f"{invented(seed * 1000 + k, 4)} ##" if draw.integers(2) else invented(seed * 1000 + k, 3) for k in range(n // 4))
+
+
+def invented(seed, n):
+    draw = np.random.default_rng(seed)
+    return " ".join("".join(chr(97 + c) for c in draw.integers(0, 26, draw.integers(3, 10))) for _ in range(n))
+
+
+def test_bands_from_labels_reject_littered_texts(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    good, junk = [invented(k, 600) for k in range(60)], [littered(k, 600) for k in range(500, 520)]
+    rows = [(k, t) for k, t in enumerate(good + junk)] + [(0, good[0]), (None, good[1])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert all(r.kept for r in compression.quality(docs).collect())  # without labels the limits are wide
+    marks = [(k, 1) for k in range(0, 60, 2)] + [(k, 0) for k in range(60, 80, 2)] + [(None, 1), (999, 1), (61, None)]
+    spark.createDataFrame(marks, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    labels = compression.labels_in(spark, str(tmp_path))
+    bands = compression.fitted(docs, labels)
+    assert bands == compression.fitted(docs.repartition(5), labels.repartition(3)) and compression.labels_in(spark, f"{tmp_path}/none") is None
+    assert compression.fitted(docs, labels.where("false")).chunk == compression.Bands().chunk
+    found = {r.doc_id: r for r in compression.quality(docs, bands).collect()}
+    assert not any(found[k].kept or found[k].base_failed for k in range(60, 80))
+    assert sum(found[k].kept for k in range(60)) >= 55
+    kept = pipeline.quality(spark, docs, str(tmp_path)).collect()
+    assert kept and all(r.doc_id is None or r.doc_id < 60 for r in kept)
+
+
 def test_water_fill():
     assert mixing.water_fill([100, 100, 100], [5, 2, 1], 450, 2) == [200.0, 250 * 2 / 3, 250 / 3]
     assert mixing.water_fill([], [], 0, 2) == [] and mixing.water_fill([0, 0], [5, 2], 0, 2) == [0.0, 0.0]
