@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from deltaloom.llm.components import connected_components
+from deltaloom.llm.nearcopies import keep_one_of_each
 from deltaloom.llm.text import column, folded_words, ids_and_texts, signed
 from deltaloom.sources.scratch import Scratch
 
@@ -173,21 +174,6 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, blocks: i
     return prints.join(components, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, max_distance: int = MAX_DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """The rows of docs whose doc_id names their component, one row for each, in docs' columns.
-
-    Of rows that repeat a kept doc_id one stays. Rows without doc_id cannot be told apart by the result and all stay.
-    Documents move once, to meet the list of what is kept; equal ids are then in one place without another shuffle.
-    """
-    found = near_duplicates(docs, max_distance, blocks)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    names = docs.columns
-    inner = docs.toDF(*[f"c{k}" for k in range(len(names))])
-    key = f"c{names.index('doc_id')}"
-    once = inner.where(F.col(key).isNotNull()).join(kept, F.col(key).cast("bigint") == F.col("_kept"), "left_semi").dropDuplicates([key])
-    return once.unionByName(inner.where(F.col(key).isNull())).toDF(*names)
-
-
 def fingerprint_results(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from deltaloom.llm import brown, chat, compression, decontaminate, idfile, idstore, licenses, mixing, simhash, tokencount, tokens, warc
+from deltaloom.llm import brown, chat, compression, decontaminate, idfile, idstore, licenses, mixing, nearcopies, simhash, tokencount, tokens, warc
 
 WORDS = "the of and quick brown fox jumps over lazy dog ontion edble thhan inre erst weak lamp river stone cloud glass field north winter".split()
 
@@ -90,6 +90,39 @@ def test_dense_groups_keep_every_link(spark):
     assert len({(linked[v], g) for v, g in zip(values, group) if v in linked}) == len({linked[v] for v in linked}) == len({g for v, g in zip(values, group) if v in linked})
 
 
+def test_near_copies_equal_brute_force(spark):
+    """Copies with words replaced here and there, of similarity above and below the limit, and a dense group."""
+    draw, texts = np.random.default_rng(8), ["", None, "one", "ONE", "two words"]
+    for k in range(40):
+        base = invented(9000 + k, 150).split()
+        texts.append(" ".join(base))
+        for changes in (1, 2, 3, 4, 6) if k else [1, 2, 3] * 20:
+            copy = list(base)
+            for at in draw.integers(0, len(copy), changes):
+                copy[at] = f"new{draw.integers(1 << 30)}"
+            texts.append(" ".join(copy).upper())
+
+    def shingles(text):
+        found = (text or "").lower().split()
+        return {" ".join(found[k : k + 5]) for k in range(max(1, len(found) - 4))}
+
+    sets = [shingles(t) for t in texts]
+    group = list(range(len(texts)))
+    far = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                far += bin(simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).count("1") > 4
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = [new if g == old else g for g in group]
+    assert far > 100  # pairs beyond op1's distance
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = nearcopies.components(docs).collect()
+    assert len(found) == len(texts) and len({(group[r.doc_id], r.root) for r in found}) == len(set(group)) == len({r.root for r in found})
+    assert sorted(r.doc_id for r in nearcopies.keep_one_of_each(docs).collect()) == sorted(set(group))
+    assert nearcopies.keep_one_of_each(docs.where("false")).count() == 0
+
+
 def repeat_words_slow(found):
     windows = [tuple(found[k : k + 3]) for k in range(len(found) - 2)]
     return len({k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)})
