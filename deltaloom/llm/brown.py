@@ -1,15 +1,18 @@
 """Class-based bigrams after Brown: exchange clustering of words, class transitions and word emissions.
 
 Words that make up at least one in ``type_budget`` of the training tokens are types of their own, so there are at most
-that many; every other word, seen or not, is of the type of its last two characters. Types are assigned to classes by
-exchange: each is moved to the class that most raises the likelihood of the class bigrams. Half of the types move at a
-time, all against the same class bigram counts, which Spark makes anew from the corpus's type bigrams; the driver only
-holds counts of types by classes, which the parameters bound. The best assignment by that likelihood is kept.
+that many. Types are assigned to classes by exchange: each is moved to the class that most raises the likelihood of the
+class bigrams. Half of the types move at a time, against class bigram counts that Spark makes anew from the corpus's
+type bigrams; the driver only holds counts of types by classes, which the parameters bound.
+
+All other words of at least ``min_count`` are clustered too, however many there are. They start in the class of the
+type of their last two characters, where rarer and unseen words stay. A round counts their contexts in the texts, which
+are kept as chunks of word numbers that meet the present classes of their words, and moves half of the words, each on an
+executor, against one table of class bigrams. The best assignment by the likelihood is kept. The vocabulary is never
+gathered anywhere: classes reach a chunk through a join of the chunk's own words.
 
 A text's probability is the product, over its words and its end, of the class given the class before and the word given
-its class. The first is summed where the text is read, as types are few, and so is the second for words with types of
-their own. For all others it needs each word's own count: the frequencies of these words in all texts, as an index, are
-joined to the vocabulary, which is never gathered anywhere. No word of the join is common, by the definition of types.
+its class; both are summed where a chunk meets the counts and classes of its words.
 """
 
 from __future__ import annotations
@@ -22,11 +25,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.llm.postings import INDEX, Chunks
 from deltaloom.llm.text import folded_words, ids_and_texts
 from deltaloom.sources.scratch import Scratch
 
@@ -35,7 +37,9 @@ from deltaloom.sources.scratch import Scratch
 class BrownModel:
     """folds and held_fold: documents whose crc32(doc_id as text) mod folds is held_fold are not learnt from.
     alpha: added to a word's count in its class, and once for words never seen. prior: weight of the plain class
-    distribution in a transition."""
+    distribution in a transition. min_count: training tokens from which on a word is clustered. word_rounds: moves of
+    half of the words that have no types of their own; they end when two rounds add less than ``least_gain`` of the
+    likelihood. chunk_tokens: about so many words of text lie together."""
 
     classes: int = 32
     type_budget: int = 20_000
@@ -45,6 +49,10 @@ class BrownModel:
     prior: float = 20.0
     folds: int = 7
     held_fold: int = 2
+    min_count: int = 5
+    word_rounds: int = 4
+    least_gain: float = 1e-4
+    chunk_tokens: int = 400_000
 
 
 #: The type and the class of a text's end.
@@ -173,11 +181,12 @@ def best_class(now: int, left: np.ndarray, right: np.ndarray, own: float, bigram
     rest[now, now] -= own
     n_in, n_out = left.sum() + own, right.sum() + own
     columns, rows = rest.sum(0), rest.sum(1)
-    with_left, with_right = rest + left[:, None], rest + right[None, :]
-    k = np.arange(len(rest))
-    gain = (_xlogx(with_left) - _xlogx(rest)).sum(0) + (_xlogx(with_right) - _xlogx(rest)).sum(1)
-    both = rest[k, k] + left + right + own
-    gain += _xlogx(both) - _xlogx(with_left[k, k]) - _xlogx(with_right[k, k]) + _xlogx(rest[k, k])
+    # Only classes that the type follows or precedes change anything; most types have few.
+    some, others = np.flatnonzero(left), np.flatnonzero(right)
+    gain = (_xlogx(rest[some] + left[some, None]) - _xlogx(rest[some])).sum(0)
+    gain += (_xlogx(rest[:, others] + right[others]) - _xlogx(rest[:, others])).sum(1)
+    same = np.diagonal(rest)
+    gain += _xlogx(same + left + right + own) - _xlogx(same + left) - _xlogx(same + right) + _xlogx(same)
     gain -= _xlogx(columns + n_in) - _xlogx(columns) + _xlogx(rows + n_out) - _xlogx(rows)
     gain[END_CLASS] = -np.inf
     best = int(np.argmax(gain))
@@ -242,36 +251,200 @@ def transitions(table: np.ndarray, model: BrownModel) -> np.ndarray:
     return np.log10((table + model.prior * plain) / (table.sum(1, keepdims=True) + model.prior))
 
 
-# -- scores ---------------------------------------------------------------------------------------------------------
+# -- words without types of their own ---------------------------------------------------------------------------------
 
 
-#: What is summed of a document where its text is read: the log10 probability of its classes and, of its end and the
-#: words with types of their own, of the emissions and of the plain frequencies; and how many words that are.
-_MEASURES = 4
+def text_chunks(docs: DataFrame, own: Broadcast, model: BrownModel) -> DataFrame:
+    """(chunk, doc_ids, sizes, tokens, shapes, words): texts as types of their own or, beyond those, numbers of the
+    chunk's other words, whose shapes and spellings are listed; an end before the first text and after each."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = 1 + len(own.value)
+        part, k = TaskContext.get().partitionId(), 0
+        number, doc_ids, sizes, tokens = dict(own.value), [], [], [END_TYPE]
 
-def text_index(docs: DataFrame, own: Broadcast, steps: Broadcast, model: BrownModel) -> DataFrame:
-    """Frequencies, in all documents, of the words without types of their own; a document's extra is its number of
-    words, and its measures are the sums above."""
+        def hand_on() -> pa.RecordBatch:
+            words = list(number)[first - 1 :]
+            listed = [[(part << 32) + k], [doc_ids], [sizes], [tokens], [[shape(w, model) for w in words]], [[w.decode("utf-8", "surrogatepass") for w in words]]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(listed, kinds, strict=True)], names=["chunk", "doc_ids", "sizes", "tokens", "shapes", "words"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types, chunks = _Types(own.value, model), Chunks()
-        classes, table, emission, base = steps.value
-        n_own = len(own.value)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found, of = types.of(text.as_py())
-                in_class, of = classes[of], of[1:]
-                chunk = chunks.open
-                rare = Counter(found[k] for k in np.flatnonzero(of > n_own).tolist())
-                counts = {chunk.number(w.decode("utf-8", "surrogatepass")): n for w, n in rare.items()}
-                n_known = int(((of <= n_own) & (of != END_TYPE)).sum())
-                measures = (float(table[in_class[:-1], in_class[1:]].sum()), float(emission[of].sum()), float(base[of].sum()), float(n_known))
-                chunk.add(doc_id, len(found), measures, counts, sum(map(len, found)) + 1)
-                yield from chunks.full()
-        yield from chunks.rest()
+                found = folded_words(text.as_py())
+                for word in found:
+                    tokens.append(number.setdefault(word, len(number) + 1))
+                tokens.append(END_TYPE)
+                doc_ids.append(doc_id)
+                sizes.append(len(found))
+                if len(tokens) >= model.chunk_tokens:
+                    yield hand_on()
+                    k += 1
+                    number, doc_ids, sizes, tokens = dict(own.value), [], [], [END_TYPE]
+        if doc_ids:
+            yield hand_on()
 
-    return docs.mapInArrow(run, INDEX)
+    return docs.mapInArrow(run, "chunk bigint, doc_ids array<bigint>, sizes array<int>, tokens array<int>, shapes array<int>, words array<string>")
+
+
+def _beside(chunks: DataFrame, words: DataFrame) -> DataFrame:
+    """Each chunk, as number -1, and then its rows (chunk, number, key, c, class) of ``words``, in one partition."""
+    texts = chunks.select("chunk", F.lit(-1).alias("number"), "doc_ids", "sizes", "tokens", "shapes")
+    # Empty lists, not nulls: the Arrow writer goes over all nulls since the last list again at each row.
+    lists = [F.array().cast(texts.schema[name].dataType).alias(name) for name in ("doc_ids", "sizes", "tokens", "shapes")]
+    both = texts.unionByName(words.select("chunk", "number", *lists, "key", "c", "class"), allowMissingColumns=True)
+    both = both.select("chunk", "number", "doc_ids", "sizes", "tokens", "shapes", "key", "c", "class")
+    return both.repartition(F.col("chunk")).sortWithinPartitions("chunk", "number")
+
+
+def _each_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(doc_ids, sizes, tokens, shapes, numbers, keys, counts, classes) of each chunk of ``_beside``."""
+    held, rest = None, []
+
+    def whole() -> tuple:
+        listed = [np.concatenate([r[j] for r in rest]) if rest else np.zeros(0, dtype=np.int64) for j in range(4)]
+        return *held, *listed
+
+    for batch in batches:
+        numbers = batch.column(1).to_numpy()
+        edges = [*np.flatnonzero(numbers < 0).tolist(), len(numbers)]
+        last = 0
+        for edge in edges:
+            if edge > last:
+                part = batch.slice(last, edge - last)
+                rest.append((numbers[last:edge], *[part.column(j).fill_null(0).to_numpy().astype(np.int64) for j in (6, 7, 8)]))
+            if edge < len(numbers):
+                if held:
+                    yield whole()
+                sizes, tokens, shapes = (batch.column(j)[edge].values.to_numpy().astype(np.int64) for j in (3, 4, 5))
+                held, rest = (batch.column(2)[edge].as_py(), sizes, tokens, shapes), []
+            last = edge + 1 if edge < len(numbers) else edge
+    if held:
+        yield whole()
+
+
+def _classes_in(shapes: np.ndarray, numbers: np.ndarray, found: np.ndarray, classes: np.ndarray, n_own: int) -> np.ndarray:
+    """The class of each of a chunk's tokens: of types of their own, of shapes, and of the words found."""
+    out = np.concatenate([classes[: 1 + n_own], classes[1 + n_own + shapes]])
+    out[1 + n_own + numbers] = found
+    return out
+
+
+def contexts(chunks: DataFrame, words: DataFrame, types: Broadcast, model: BrownModel) -> DataFrame:
+    """(key, codes, ns) from each chunk's training texts. Of a word: how often it follows class c (code c), precedes it
+    (n + c) and itself (2 n), for n classes. Of no key: how often class b follows class a (code a n + b)."""
+    n = model.classes + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, n_own = types.value
+        for doc_ids, sizes, tokens, shapes, numbers, keys, _, found in _each_chunk(batches):
+            of = _classes_in(shapes, numbers, found, classes, n_own)
+            learnt = np.repeat([not held_out(d, model) for d in doc_ids], sizes + 1)  # of each token but the first end
+            before, after = tokens[:-1][learnt], tokens[1:][learnt]
+            table = np.bincount(of[before] * n + of[after], minlength=n * n)
+            codes = np.flatnonzero(table)
+            at = np.full(len(of), -1)
+            at[1 + n_own + numbers] = np.arange(len(numbers))
+            width = 2 * n + 1
+            follows, precedes, twice = at[after] >= 0, at[before] >= 0, (before == after) & (at[after] >= 0)
+            seen = np.concatenate([at[after[follows]] * width + of[before[follows]], at[before[precedes]] * width + n + of[after[precedes]], at[after[twice]] * width + 2 * n])
+            seen, times = np.unique(seen, return_counts=True)
+            mine = seen // width
+            starts = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]])) if len(mine) else np.zeros(0, dtype=np.int64)
+            offsets = pa.array(np.concatenate([[0, len(codes)], len(codes) + starts[1:], [len(codes) + len(seen)] if len(starts) else []]).astype(np.int32))
+            named = pa.array([None, *keys[mine[starts]].tolist()], pa.int64())
+            all_codes = pa.array(np.concatenate([codes, seen % width]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([named, pa.ListArray.from_arrays(offsets, all_codes), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([table[codes], times])))], names=["key", "codes", "ns"])
+
+    return _beside(chunks, words).mapInArrow(run, "key bigint, codes array<int>, ns array<bigint>")
+
+
+def class_table(found: DataFrame, n: int) -> np.ndarray:
+    rows = found.where("key IS NULL").select(F.explode(F.arrays_zip("codes", "ns")).alias("x")).groupBy("x.codes").agg(F.sum("x.ns").alias("n")).collect()  # n * n at most
+    out = np.zeros(n * n)
+    for r in rows:
+        out[r["codes"]] = r["n"]
+    return out.reshape(n, n)
+
+
+def moved(found: DataFrame, assigned: DataFrame, table: Broadcast, turn: int, model: BrownModel) -> DataFrame:
+    """(key, class): half of the words in the class that is best for them, the others where they were."""
+    n = model.classes + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = 2 * n + 1
+        key, now, counts = None, 0, np.zeros(width)  # the last word, which the next batch may go on with
+
+        def settled(key: int, now: int, counts: np.ndarray) -> int:
+            return now if (key + turn) % 2 or not counts.any() else best_class(now, counts[:n], counts[n : 2 * n], counts[2 * n], table.value)
+
+        for batch in batches:
+            keys, lists = batch.column(0).to_numpy(), batch.column(2)
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            word = np.repeat(np.arange(len(starts)), np.diff([*starts, len(keys)]))
+            # One row of each word has its class, plus one, and the others have nothing there.
+            classes = np.bincount(word, weights=batch.column(1).to_numpy()).astype(np.int64)
+            sizes = np.diff(lists.offsets.to_numpy())
+            codes, ns = lists.flatten().to_numpy(), batch.column(3).flatten().to_numpy()
+            sums = np.bincount(np.repeat(word, sizes) * width + codes, weights=ns, minlength=len(starts) * width).reshape(-1, width)
+            out = []
+            for k, c, one in zip(keys[starts].tolist(), classes.tolist(), sums, strict=True):
+                if k == key:
+                    now, counts = now + c, counts + one
+                    continue
+                if key is not None:
+                    out.append((key, settled(key, now - 1, counts)))
+                key, now, counts = k, c, one
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([c for _, c in out], pa.int32())], names=["key", "class"])
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([settled(key, now - 1, counts)], pa.int32())], names=["key", "class"])
+
+    held = assigned.select("key", (F.col("class") + 1).alias("class"), F.array().cast("array<int>").alias("codes"), F.array().cast("array<bigint>").alias("ns"))
+    rows = held.unionByName(found.where("key IS NOT NULL").select("key", F.lit(0).alias("class"), "codes", "ns"))
+    return rows.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(run, "key bigint, class int")
+
+
+def cluster_words(chunks: DataFrame, places: DataFrame, assigned: DataFrame, types: Broadcast, scratch: Scratch, model: BrownModel) -> tuple[DataFrame, np.ndarray]:
+    """((key, class) of the clustered words, class bigram counts): the best assignment met."""
+    best: tuple[float, DataFrame, np.ndarray] | None = None
+    scores: list[float] = []
+    for k in range(model.word_rounds + 1):
+        words = places.join(assigned, "key").withColumn("c", F.lit(0).cast("bigint"))
+        found = scratch.save(contexts(chunks, words, types, model), f"contexts-{k}")
+        table = class_table(found, model.classes + 1)
+        scores.append(likelihood(table))
+        if best is None or scores[-1] > best[0]:
+            best = scores[-1], assigned, table
+        if k == model.word_rounds or k > 1 and scores[-1] - scores[-3] < model.least_gain * abs(scores[-1]):
+            break
+        assigned = scratch.save(moved(found, assigned, chunks.sparkSession.sparkContext.broadcast(table), k, model), f"assigned-{k + 1}")
+        scratch.drop(f"contexts-{k}")
+    return best[1], best[2]
+
+
+# -- scores ---------------------------------------------------------------------------------------------------------
+
+
+def text_sums(chunks: DataFrame, words: DataFrame, steps: Broadcast, model: BrownModel) -> DataFrame:
+    """doc_id, its number of words, how many of them are known, and the log10 probabilities under the plain frequencies
+    and under the classes; ``words`` are all that have no types of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, n_own, table, weight, own_emission, own_base, all_tokens = steps.value
+        for doc_ids, sizes, tokens, shapes, numbers, _, counts, found in _each_chunk(batches):
+            of = _classes_in(shapes, numbers, found, classes, n_own)
+            c = np.zeros(len(shapes))
+            c[numbers] = counts
+            emission = np.concatenate([own_emission, np.log10((c + model.alpha) / weight[of[1 + n_own :]])])
+            base = np.concatenate([own_base, np.log10((c + 1) / all_tokens)])
+            known = np.concatenate([[0], np.ones(n_own), c > 0])
+            after = tokens[1:]
+            starts = np.cumsum(np.concatenate([[0], sizes[:-1] + 1]))
+            of_docs = [np.add.reduceat(x, starts) for x in (known[after], base[after], emission[after] + table[of[tokens[:-1]], of[after]])]
+            columns = [pa.array(doc_ids, pa.int64()), pa.array(sizes), pa.array(of_docs[0].astype(np.int64)), pa.array(of_docs[1]), pa.array(of_docs[2])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "known", "base", "score"])
+
+    return _beside(chunks, words).mapInArrow(run, "doc_id bigint, n bigint, known bigint, base double, score double")
 
 
 def score(docs: DataFrame, model: BrownModel = BrownModel()) -> DataFrame:
@@ -291,50 +464,44 @@ def score(docs: DataFrame, model: BrownModel = BrownModel()) -> DataFrame:
     own = spark.sparkContext.broadcast({word.encode("utf-8", "surrogatepass"): k for k, (word, _) in enumerate(listed, start=1)})
     n_types = 1 + len(listed) + model.shapes
     bigrams = scratch.save(type_bigrams(plain, own, model), "bigrams")
-    classes, table = exchange(bigrams, n_types, model)
+    classes, _ = exchange(bigrams, n_types, model)
 
     # Types and classes are bounded by the parameters, so they may be broadcast; words are not, and are joined.
+    chunks = scratch.save(text_chunks(plain, own, model), "chunks")
     own_types = F.broadcast(spark.createDataFrame([(word, k) for k, (word, _) in enumerate(listed, start=1)], "own string, own_type int"))
-    shape_type = F.lit(1 + len(listed)) + shape_column(F.col("word"), model).cast("int")
-    of_type = F.broadcast(spark.createDataFrame([(t, int(c)) for t, c in enumerate(classes)], "type int, class int"))
-    words = counts.where(F.col("word").isNotNull()).join(own_types, F.col("word") == F.col("own"), "left")
-    words = words.select("word", "c", F.coalesce("own_type", shape_type).alias("type"))
-    totals = words.join(of_type, "type").groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()  # one row per class
-    size = {c: (0, 0) for c in range(model.classes + 1)} | {r["class"]: (r["n"], r["v"]) for r in totals}
-    weight = np.array([size[int(c)][0] + model.alpha * (size[int(c)][1] + 1) for c in classes])
-    n_own, all_tokens = np.array([c for _, c in listed], dtype=float), float(tokens + vocabulary + 1)
-    emission, base = np.zeros(n_types), np.zeros(n_types)
-    emission[1 : 1 + len(listed)] = np.log10((n_own + model.alpha) / weight[1 : 1 + len(listed)])
-    base[1 : 1 + len(listed)] = np.log10((n_own + 1) / all_tokens)
-    base[END_TYPE] = np.log10((ends + 1) / all_tokens)
-    steps = spark.sparkContext.broadcast((classes, transitions(table, model), emission, base))
-    index = scratch.save(text_index(plain, own, steps, model), "index")
-
-    of_type = F.broadcast(spark.createDataFrame([(t, float(w)) for t, w in enumerate(weight)], "type int, weight double"))
-    held = index.where(F.col("key").isNotNull()).select(F.col("key").alias("word"), "chunk", "places", "counts")
-    met = held.join(counts.select(F.col("word").alias("known"), "c"), F.col("word") == F.col("known"), "left")
-    met = met.withColumn("type", shape_type).join(of_type, "type")
-    c = F.coalesce("c", F.lit(0))
-    per_word = met.select(
-        "chunk",
-        F.log10((c + 1) / F.lit(all_tokens)).alias("base"),
-        F.log10((c + model.alpha) / F.col("weight")).alias("emission"),
-        (c > 0).cast("bigint").alias("seen"),
-        F.explode(F.arrays_zip("places", "counts")).alias("x"),
-    )
-    n = F.col("x.counts")
-    sums = per_word.groupBy("chunk", F.col("x.places").alias("place")).agg(F.sum(n * F.col("base")).alias("base"), F.sum(n * F.col("emission")).alias("emission"), F.sum(n * F.col("seen")).alias("seen"))
-    texts = index.where(F.col("key").isNull()).select("chunk", "measures", F.posexplode(F.arrays_zip("doc_ids", "extras")).alias("place", "x"))
-    measured = texts.select("chunk", "place", "x.*", *[F.get("measures", F.col("place") * _MEASURES + k).alias(f"m{k}") for k in range(_MEASURES)])
-    both = measured.join(sums, ["chunk", "place"], "left")
-    none = F.lit(0.0)
-    fold = F.pmod(F.crc32(F.col("doc_ids").cast("string").cast("binary")), F.lit(model.folds))
-    return both.select(
-        F.col("doc_ids").alias("doc_id"),
+    of_shape = F.broadcast(spark.createDataFrame([(k, int(c)) for k, c in enumerate(classes[1 + len(listed) :])], "shape bigint, shape_class int"))
+    others = counts.where(F.col("word").isNotNull()).join(own_types, F.col("word") == F.col("own"), "left_anti")
+    others = others.select("word", "c", F.xxhash64("word").alias("key"), shape_column(F.col("word"), model).cast("bigint").alias("shape")).join(of_shape, "shape").drop("shape")
+    # Rows of one key, should two words share it, would be one word twice.
+    clustered = others.where(F.col("c") >= model.min_count).groupBy("key").agg(F.min("shape_class").alias("class"))
+    assigned = scratch.save(clustered, "assigned-0")
+    in_chunks = chunks.select("chunk", F.posexplode("words").alias("number", "word"))
+    known = others.select(F.col("word").alias("known"), "c", "key", "shape_class")
+    places = scratch.save(in_chunks.join(known, F.col("word") == F.col("known"), "left").select("chunk", "number", "key", "c", "shape_class", shape_column(F.col("word"), model).cast("bigint").alias("shape")), "places")
+    types = spark.sparkContext.broadcast((classes, len(listed)))
+    assigned, table = cluster_words(chunks, places.where(F.col("c") >= model.min_count).select("chunk", "number", "key"), assigned, types, scratch, model)
+
+    assigned = assigned.withColumnRenamed("class", "word_class")
+    n_own = np.array([c for _, c in listed], dtype=float)
+    of_words = others.join(assigned, "key", "left").groupBy(F.coalesce(F.when(F.col("c") >= model.min_count, F.col("word_class")), "shape_class").alias("class"))
+    totals = {r["class"]: (r["n"], r["v"]) for r in of_words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}  # one row per class
+    own_classes, all_tokens = classes[1 : 1 + len(listed)], float(tokens + vocabulary + 1)
+    of_own = np.bincount(own_classes, weights=n_own, minlength=model.classes + 1), np.bincount(own_classes, minlength=model.classes + 1)
+    size = [(totals.get(c, (0, 0))[0] + of_own[0][c], totals.get(c, (0, 0))[1] + of_own[1][c]) for c in range(model.classes + 1)]
+    weight = np.array([n + model.alpha * (v + 1) for n, v in size])
+    emission = np.concatenate([[0.0], np.log10((n_own + model.alpha) / weight[own_classes])])
+    base = np.concatenate([[np.log10((ends + 1) / all_tokens)], np.log10((n_own + 1) / all_tokens)])
+    steps = spark.sparkContext.broadcast((classes, len(listed), transitions(table, model), weight, emission, base, all_tokens))
+    final = places.join(of_shape.withColumnRenamed("shape_class", "unseen_class"), "shape").join(assigned, "key", "left")
+    word_class = F.coalesce(F.when(F.col("c") >= model.min_count, F.col("word_class")), "shape_class", "unseen_class")
+    found = text_sums(chunks, final.select("chunk", "number", "key", F.coalesce("c", F.lit(0)).cast("bigint").alias("c"), word_class.alias("class")), steps, model)
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(model.folds))
+    return found.select(
+        "doc_id",
         F.coalesce(fold == model.held_fold, F.lit(False)).alias("held_out"),
-        (F.col("extras") + 1).alias("n_tokens"),
-        (F.coalesce("seen", F.lit(0)) + F.col("m3").cast("bigint") + int(ends > 0)).cast("bigint").alias("n_known"),
+        (F.col("n") + 1).alias("n_tokens"),
+        (F.col("known") + int(ends > 0)).cast("bigint").alias("n_known"),
         F.lit(tokens).cast("bigint").alias("train_tokens"),
-        (F.coalesce("base", none) + F.col("m2")).alias("base_score"),
-        (F.coalesce("emission", none) + F.col("m0") + F.col("m1")).alias("score"),
+        F.col("base").alias("base_score"),
+        "score",
     )

@@ -312,6 +312,21 @@ def test_brown_counts_and_gain(spark, none):
     assert brown.score(none).count() == 0
 
 
+def test_brown_clusters_words_without_types_of_their_own(spark):
+    """Two sets of words take turns; their last two characters don't tell them apart."""
+    draw = np.random.default_rng(6)
+    first, second = [f"a{k}x" for k in range(60)], [f"b{k}x" for k in range(60)]
+    texts = [" ".join(x for _ in range(40) for x in (first[draw.integers(60)], second[draw.integers(60)])) for _ in range(150)] + [None, "new words a1x", "a1x a1x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bits = {}
+    for min_count in (5, 10**9):
+        model = brown.BrownModel(classes=4, type_budget=20, word_rounds=6, min_count=min_count, chunk_tokens=1000)
+        out = [r for r in brown.score(docs, model).collect() if r.held_out]
+        bits[min_count] = -sum(r.score for r in out) / math.log10(2) / sum(r.n_tokens for r in out)
+    assert bits[5] < bits[10**9] - 0.5
+    assert bits[5] == pytest.approx(math.log2(60), abs=0.6)
+
+
 def test_ids_and_counts(docs, none):
     whole = tokens.Encoder(tokens.tokenizer_path("byte_bpe_50k.json"))
     rows = sorted(((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()), key=lambda x: (x[0] is not None, x[0] or 0))
