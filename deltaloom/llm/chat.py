@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.llm.text import column
+from deltaloom.llm.text import named
 from deltaloom.sources.scratch import Scratch
 
 SYSTEM, USER, ASSISTANT = range(3)
@@ -183,11 +183,11 @@ _SETTLED = "conv_id bigint, turn bigint, role string, tie bigint, place bigint,
 
 
 def _plain(turns: DataFrame) -> DataFrame:
-    text = F.coalesce(column(turns, "text").cast("string"), F.lit(""))
-    return turns.select(
-        column(turns, "conv_id").cast("bigint").alias("conv_id"),
-        column(turns, "turn").cast("bigint").alias("turn"),
-        column(turns, "role").cast("string").alias("role"),
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return named(turns, "conv_id", "turn", "role", "text").select(
+        F.col("conv_id").cast("bigint").alias("conv_id"),
+        F.col("turn").cast("bigint").alias("turn"),
+        F.col("role").cast("string").alias("role"),
         F.xxhash64(text).alias("tie"),
         text.alias("text"),
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,27 +17,29 @@ def folded_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that df doesn't have, in any case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+def place_of(df: DataFrame, name: str) -> int:
+    """Where the column of that name stands: in that very case if there is one, else in any."""
+    if name in df.columns:
+        return df.columns.index(name)
+    folded = [c.lower() for c in df.columns]
+    if name.lower() in folded:
+        return folded.index(name.lower())
+    raise ValueError(f"no column {name!r} among {df.columns}")
 
 
-def column(df: DataFrame, name: str) -> Column:
-    """The column of exactly that name, even among names that need quoting."""
-    return df["`" + name.replace("`", "``") + "`"]
+def by_place(df: DataFrame) -> DataFrame:
+    """df with columns c0, c1, ... in place of its names, which may differ in case only or be the operator's own."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
 
 
-def ids_and_texts(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id as bigint, text as string, and further named columns: whatever else docs has stays behind."""
-    return docs.select(column(docs, "doc_id").cast("bigint").alias("doc_id"), column(docs, "text").cast("string").alias("text"), *[column(docs, c).alias(c) for c in more])
+def named(df: DataFrame, *names: str) -> DataFrame:
+    """The columns of these names and nothing else of df."""
+    return by_place(df).select(*[F.col(f"c{place_of(df, name)}").alias(name) for name in names])
 
 
-def digest_columns(signed: Column) -> Column:
-    """A 64-bit number as 16 lower-case hexadecimal digits."""
-    return F.lower(F.lpad(F.hex(signed), 16, "0"))
+def ids_and_texts(docs: DataFrame) -> DataFrame:
+    """doc_id as bigint, text as string: whatever else docs has stays behind."""
+    return named(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def signed(values: np.ndarray) -> np.ndarray:
