@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.llm.text import column
+from deltaloom.llm.text import named
 from deltaloom.sources.scratch import Scratch
 
 # Fixed values of the format.
@@ -68,17 +68,21 @@ def _one_line(text: str) -> str:
     return " ".join(text.split()) or "urn:unknown"
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMES, str(page_id))}>"
+def record_id(page_id: int | None, digest: str, place: str) -> str:
+    """Rows may repeat a page and its payload, so the place in the archives goes in as well."""
+    return f"<urn:uuid:{uuid.uuid5(_NAMES, f'{page_id} {digest} {place}')}>"
 
 
-def encode_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
-    """A response record, or a revisit record without payload, as one gzip member."""
+def encode_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str, place: str = "") -> bytes:
+    """A response record, or a revisit record without payload, as one gzip member.
+
+    A revisit names its payload by the digest, as its profile has it, and the page that holds it in a field of its own.
+    """
     http = [b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8", b"Content-Length: %d" % len(payload)]
     block = CRLF.join(http) + CRLF + CRLF + (payload if refers_to is None else b"")
     lines = {
         "WARC-Type": "response" if refers_to is None else "revisit",
-        "WARC-Record-ID": record_id(page_id),
+        "WARC-Record-ID": record_id(page_id, digest, place),
         "WARC-Date": date,
         "WARC-Target-URI": _one_line(url or ""),
         "WARC-Payload-Digest": f"sha256:{digest}",
@@ -88,7 +92,7 @@ def encode_record(page_id: int | None, url: str | None, payload: bytes, digest:
         "Content-Length": str(len(block)),
     }
     if refers_to is not None:
-        lines |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": record_id(refers_to), "X-Refers-To-Page-ID": str(refers_to)}
+        lines |= {"WARC-Profile": REVISIT_PROFILE, "X-Refers-To-Page-ID": str(refers_to)}
     head = VERSION + CRLF + b"".join(f"{name}: {value}".encode() + CRLF for name, value in lines.items())
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress(head + CRLF + block + CRLF + CRLF) + packer.flush()
@@ -177,23 +181,26 @@ def verify(record: Record) -> None:
 # -- Spark ----------------------------------------------------------------------------------------------------------
 
 
-def with_revisits(pages: DataFrame) -> DataFrame:
+def with_revisits(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """page_id, url, payload, digest and refers_to, the page that holds the payload of a revisit.
 
-    The smallest page_id of each payload is found from digests alone, combined before the shuffle; only payloads that
-    occur twice take part in the join.
+    Revisits are found from ids and digests alone and are written as a table, so that Spark knows its size: a short one
+    is broadcast, and payloads stay where they are. Else payloads meet it by digest and page, so the copies of one page
+    are spread over all tasks, however many there are.
     """
-    payload = F.coalesce(column(pages, "html").cast("string").cast("binary"), F.lit("").cast("binary"))
-    plain = pages.select(column(pages, "page_id").cast("bigint").alias("page_id"), column(pages, "url").cast("string").alias("url"), payload.alias("payload"))
+    payload = F.coalesce(F.col("html").cast("string").cast("binary"), F.lit("").cast("binary"))
+    plain = named(pages, "page_id", "url", "html").select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     plain = plain.withColumn("digest", F.sha2("payload", 256))
-    large = plain.where(F.octet_length("payload") >= MIN_REVISIT_BYTES)
-    keepers = large.groupBy("digest").agg(F.min("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("held"), "keeper")
-    joined = plain.join(keepers, F.col("digest") == F.col("held"), "left")
-    first = F.col("page_id").eqNullSafe(F.col("keeper"))
-    return joined.select("page_id", "url", "payload", "digest", F.when(~first, F.col("keeper")).alias("refers_to"))
+    keys = plain.where(F.octet_length("payload") >= MIN_REVISIT_BYTES).groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    keys = scratch.save(keys.select("page_id", F.unhex("digest").alias("digest"), "n"), "keys")
+    keepers = keys.groupBy("digest").agg(F.min("page_id").alias("keeper"), F.sum("n").alias("n")).where("n > 1").select(F.col("digest").alias("held"), "keeper")
+    revisits = keys.join(keepers, F.col("digest") == F.col("held")).where(~F.col("page_id").eqNullSafe(F.col("keeper")))
+    revisits = scratch.save(revisits.select(F.lower(F.hex("held")).alias("held"), F.col("page_id").alias("page"), F.col("keeper").alias("refers_to")), "revisits")
+    same = (F.col("digest") == F.col("held")) & F.col("page_id").eqNullSafe(F.col("page"))
+    return plain.join(revisits, same, "left").select("page_id", "url", "payload", "digest", "refers_to")
 
 
-def write_archives(pages: DataFrame, folder: str, max_file_bytes: int = MAX_FILE_BYTES, date: datetime | None = None) -> DataFrame:
+def write_archives(pages: DataFrame, scratch: Scratch, folder: str, max_file_bytes: int = MAX_FILE_BYTES, date: datetime | None = None) -> DataFrame:
     """Writes every page and returns (path, records, bytes) per file; the files are written when that is evaluated."""
     stamp = (date or datetime(2024, 1, 1, tzinfo=timezone.utc)).strftime("%Y-%m-%dT%H:%M:%SZ")
 
@@ -215,7 +222,7 @@ def write_archives(pages: DataFrame, folder: str, max_file_bytes: int = MAX_FILE
                 if out is None:
                     out, records, size = store.open_output_stream(f"{root}/{attempt}-{number}.part"), 0, 0
                 ids = [None if pd.isna(x) else int(x) for x in (page_id, refers_to)]
-                member = encode_record(ids[0], url, bytes(payload), digest, ids[1], stamp)
+                member = encode_record(ids[0], url, bytes(payload), digest, ids[1], stamp, f"{part}-{number}-{records}")
                 out.write(member)
                 records, size = records + 1, size + len(member)
                 if size >= max_file_bytes:
@@ -224,7 +231,7 @@ def write_archives(pages: DataFrame, folder: str, max_file_bytes: int = MAX_FILE
         if out is not None:
             yield close()
 
-    return with_revisits(pages).mapInPandas(run, "path string, records bigint, bytes bigint")
+    return with_revisits(pages, scratch).mapInPandas(run, "path string, records bigint, bytes bigint")
 
 
 READ_SCHEMA = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
@@ -276,5 +283,5 @@ def archive_and_read(pages: DataFrame) -> DataFrame:
     No pages, no archives, no rows.
     """
     scratch = Scratch(pages.sparkSession, "warc")
-    files = scratch.save(write_archives(pages, scratch.path("archives")), "manifest")
+    files = scratch.save(write_archives(pages, scratch, scratch.path("archives")), "manifest")
     return read_archives(files.repartition(max(1, files.count()), "path"), with_payload=False)
