@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deltaloom.llm.text import column
+from deltaloom.llm.text import by_place, named, place_of
 from deltaloom.sources.scratch import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,17 +28,24 @@ CELL_BITS = 10
 LEVELS = 3
 #: Subtrees that the driver splits off before executors go on.
 SUBTREES = 64
+#: Blocks grow with the corpus so that there are about so many at most: hypergeometric draws take less than 10^9 of them,
+#: and their list is short enough to be sent to all executors.
+MOST_BLOCKS = 1 << 20
+#: Plans, a row of some 100 bytes for each source, are broadcast up to this number of sources.
+BROADCAST_SOURCES = 100_000
 
 
 @dataclass(frozen=True)
 class Mix:
-    """How to mix: weights in turn over the sources in order, words as a share of the input, most rounds of a source."""
+    """How to mix: weights in turn over the sources in order, words as a share of the input, most rounds of a source.
+    Blocks have ``block_words``, or more where that would make over MOST_BLOCKS; a shard has ``shard_words``, and one
+    block at least."""
 
     weights: tuple[float, ...] = (5, 2, 1)
     share: float = 1.5
     most_rounds: float = 2.0
     block_words: int = 20_000
-    blocks_per_shard: int = 50
+    shard_words: int = 1_000_000
     seed: int = 20240
 
 
@@ -87,8 +94,11 @@ class SourcePlan:
     rounds: int
     cut: float
     blocks: int
-    step: int
-    shift: int
+
+
+def _sent(rows: DataFrame, n: int) -> DataFrame:
+    """A frame of n rows from the driver, which Spark knows no size of, to be broadcast if that is few."""
+    return F.broadcast(rows) if n <= BROADCAST_SOURCES else rows
 
 
 def _cuts(sized: DataFrame, wanted: list[tuple[str | None, float]]) -> dict[str | None, float]:
@@ -98,7 +108,7 @@ def _cuts(sized: DataFrame, wanted: list[tuple[str | None, float]]) -> dict[str
     for level in range(1, LEVELS + 1):
         scale = cells**level
         rows = [(source, need, state[source][0], state[source][1]) for source, need in wanted]
-        goal = spark.createDataFrame(rows, "goal_source string, need double, parent bigint, before double")
+        goal = _sent(spark.createDataFrame(rows, "goal_source string, need double, parent bigint, before double"), len(rows))
         cell = F.floor(F.col("place") * float(scale))
         inside = sized.join(goal, F.col("source").eqNullSafe(F.col("goal_source"))).withColumn("cell", cell)
         inside = inside.where(F.floor(F.col("cell") / float(cells)) == F.col("parent"))
@@ -126,6 +136,15 @@ def _cuts(sized: DataFrame, wanted: list[tuple[str | None, float]]) -> dict[str
     return {source: cell / float(cells**LEVELS) for source, (cell, _) in state.items()}
 
 
+def block_words(total: float, mix: Mix) -> int:
+    return max(mix.block_words, math.ceil(total / MOST_BLOCKS))
+
+
+def shard_count(plans: list[SourcePlan], mix: Mix) -> int:
+    blocks, total = sum(p.blocks for p in plans), sum(p.target for p in plans)
+    return max(1, min(blocks, round(total / mix.shard_words)))
+
+
 def plan_sources(sized: DataFrame, mix: Mix) -> list[SourcePlan]:
     totals = source_totals(sized)
     weights = [float(mix.weights[k % len(mix.weights)]) for k in range(len(totals))]
@@ -133,22 +152,16 @@ def plan_sources(sized: DataFrame, mix: Mix) -> list[SourcePlan]:
     rounds = [int(t // n) if n else 0 for (_, n), t in zip(totals, targets, strict=True)]
     parts = [(s, t - r * n) for (s, n), t, r in zip(totals, targets, rounds, strict=True) if n and t - r * n > 0]
     cuts = _cuts(sized, parts) if parts else {}
-    plans = []
+    plans, words = [], block_words(sum(targets), mix)
     for k, ((source, size), target, whole) in enumerate(zip(totals, targets, rounds, strict=True)):
-        blocks = max(1, math.ceil(target / mix.block_words)) if target > 0 else 0
-        draw = np.random.default_rng([mix.seed, 7, k])
-        step = next((s for s in (int(x) for x in draw.integers(1, max(2, blocks), 64)) if math.gcd(s, blocks) == 1), 1)
-        plans.append(SourcePlan(source, k, size, target, whole, cuts.get(source, 0.0), blocks, step, int(draw.integers(0, max(1, blocks)))))
+        blocks = max(1, math.ceil(target / words)) if target > 0 else 0
+        plans.append(SourcePlan(source, k, size, target, whole, cuts.get(source, 0.0), blocks))
     return plans
 
 
 # -- the splitting tree ---------------------------------------------------------------------------------------------
 
 
-def capacities(blocks: int, shards: int) -> list[int]:
-    return [blocks * (k + 1) // shards - blocks * k // shards for k in range(shards)]
-
-
 def split(quotas: np.ndarray, first: int, last: int, blocks: int, shards: int, seed: int) -> tuple[np.ndarray, int]:
     """The left half's quotas of a node over shards first..last-1, and where the right half begins."""
     middle = (first + last) // 2
@@ -171,11 +184,12 @@ def leaves(quotas: np.ndarray, starts: np.ndarray, first: int, last: int, blocks
 
 
 def assign_blocks(df: DataFrame, plans: list[SourcePlan], mix: Mix) -> DataFrame:
-    """(source_id, block, shard) for every block. The driver splits the top of the tree, executors the rest."""
+    """(source_id, block, shard) for every block. The driver splits the top of the tree, executors the rest; a shard's
+    quota of a source is the next so many of that source's blocks in a uniformly permuted order."""
     spark = df.sparkSession
     quotas = np.array([p.blocks for p in plans], dtype=np.int64)
     blocks = int(quotas.sum())
-    shards = max(1, blocks // mix.blocks_per_shard)
+    shards = shard_count(plans, mix)
     top = [(quotas, np.zeros_like(quotas), 0, shards)] if blocks else []
     while top and len(top) < SUBTREES and any(b - a > 1 for _, _, a, b in top):
         grown = []
@@ -188,35 +202,38 @@ def assign_blocks(df: DataFrame, plans: list[SourcePlan], mix: Mix) -> DataFrame
         top = grown
     nodes = spark.createDataFrame([(q.tolist(), s.tolist(), a, b) for q, s, a, b in top], "quotas array<bigint>, starts array<bigint>, first int, last int")
 
+    sizes = quotas.tolist()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        permuted: dict[int, np.ndarray] = {}  # as long as there are blocks, MOST_BLOCKS or so
         for batch in batches:
             for q, s, a, b in batch.itertuples(index=False):
                 for shard, starts, counts in leaves(np.array(q, dtype=np.int64), np.array(s, dtype=np.int64), a, b, blocks, shards, mix.seed):
-                    some = np.flatnonzero(counts)
-                    yield pd.DataFrame({"source_id": some, "shard": shard, "start": starts[some], "n": counts[some]})
+                    for k in np.flatnonzero(counts).tolist():
+                        if k not in permuted:
+                            permuted[k] = np.random.default_rng([mix.seed, 7, k]).permutation(sizes[k])
+                        yield pd.DataFrame({"source_id": k, "block": permuted[k][starts[k] : starts[k] + counts[k]], "shard": shard})
 
-    quota = nodes.mapInPandas(run, "source_id bigint, shard int, start bigint, n bigint")
-    return quota.select("source_id", "shard", F.explode(F.expr("sequence(start, start + n - 1)")).alias("block"))
+    return nodes.mapInPandas(run, "source_id bigint, block bigint, shard int")
 
 
 # -- the mix --------------------------------------------------------------------------------------------------------
 
 
 def _with_plan(rows: DataFrame, plans: list[SourcePlan]) -> DataFrame:
-    """Adds the source's plan; Spark broadcasts it only if it is below the session's threshold."""
-    listed = [(p.source, p.source_id, p.size, p.target, p.rounds, p.cut, p.blocks, p.step, p.shift) for p in plans]
-    schema = "plan_source string, source_id bigint, source_size bigint, target double, rounds int, cut double, blocks bigint, step bigint, shift bigint"
-    plan = rows.sparkSession.createDataFrame(listed, schema)
+    """Adds the source's plan."""
+    listed = [(p.source, p.source_id, p.size, p.target, p.rounds, p.cut, p.blocks) for p in plans]
+    schema = "plan_source string, source_id bigint, source_size bigint, target double, rounds int, cut double, blocks bigint"
+    plan = _sent(rows.sparkSession.createDataFrame(listed, schema), len(listed))
     return rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
 
 
 def _draws(planned: DataFrame) -> DataFrame:
-    """One row per copy, with its round and its block after the permutation of its source's blocks."""
+    """One row per copy, with its round and its block."""
     copies = F.col("rounds") + (F.col("place") < F.col("cut")).cast("int")
     line = F.col("rounds") + F.col("cut")
     drawn = planned.where(copies > 0).withColumn("round", F.explode(F.sequence(F.lit(0), copies - 1)))
-    plain = F.least(F.floor((F.col("round") + F.col("place")) / line * F.col("blocks")), F.col("blocks") - 1)
-    return drawn.withColumn("block", (plain * F.col("step") + F.col("shift")) % F.col("blocks"))
+    return drawn.withColumn("block", F.least(F.floor((F.col("round") + F.col("place")) / line * F.col("blocks")), F.col("blocks") - 1))
 
 
 class Mixture:
@@ -230,24 +247,28 @@ class Mixture:
     def __init__(self, docs: DataFrame, mix: Mix = Mix()) -> None:
         self.docs, self.mix = docs, mix
         self.scratch = Scratch(docs.sparkSession, "mix")
-        measured = docs.select(
+        plain = named(docs, "doc_id", "text", "source")
+        text = F.col("text").cast("string")
+        measured = plain.select(
             F.monotonically_increasing_id().alias("row"),
-            column(docs, "doc_id").alias("doc_id"),
-            column(docs, "source").cast("string").alias("source"),
-            word_count(column(docs, "text").cast("string")).alias("size"),
-            self._place().alias("place"),
+            "doc_id",
+            F.col("source").cast("string").alias("source"),
+            word_count(text).alias("size"),
+            place(F.col("doc_id"), text, mix.seed).alias("place"),
         )
         self.sized = self.scratch.save(measured, "sized")
         self.plans = plan_sources(self.sized, mix)
         self.blocks = self.scratch.save(assign_blocks(docs, self.plans, mix), "blocks")
 
-    def _place(self) -> Column:
-        return place(column(self.docs, "doc_id"), column(self.docs, "text").cast("string"), self.mix.seed)
+    def _in_shards(self, drawn: DataFrame) -> DataFrame:
+        """Adds the shard of each block. There are MOST_BLOCKS and one for each source at most."""
+        few = len(self.plans) <= BROADCAST_SOURCES
+        return drawn.join(F.broadcast(self.blocks) if few else self.blocks, ["source_id", "block"])
 
     def draws(self) -> DataFrame:
         """row, doc_id, size, round, block and shard of every copy in the mix."""
         drawn = _draws(_with_plan(self.sized, self.plans))
-        return drawn.join(self.blocks, ["source_id", "block"]).select("row", "doc_id", "size", "round", "source_id", "block", "shard")
+        return self._in_shards(drawn).select("row", "doc_id", "size", "round", "source_id", "block", "shard")
 
     def taken(self) -> DataFrame:
         """Per document what the mix takes of it, from the draws."""
@@ -256,13 +277,17 @@ class Mixture:
         return planned.join(sums, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("bigint").alias("taken"))
 
     def documents(self) -> DataFrame:
-        """The documents of the mix in docs' columns, repeats included: a shard's rows together, in random order."""
+        """The documents of the mix in docs' columns, repeats included: a shard's rows together, in random order.
+
+        Documents move once, to the partition of their shard; neighbouring shards share one where there are many.
+        """
         names = self.docs.columns
-        inner = self.docs.toDF(*[f"c{k}" for k in range(len(names))])
-        at = {name: F.col(f"c{names.index(name)}") for name in ("doc_id", "text", "source")}
-        placed = inner.withColumns({"source": at["source"].cast("string"), "place": place(at["doc_id"], at["text"].cast("string"), self.mix.seed)})
-        drawn = _draws(_with_plan(placed, self.plans)).join(self.blocks, ["source_id", "block"])
+        at = {name: F.col(f"c{place_of(self.docs, name)}") for name in ("doc_id", "text", "source")}
+        placed = by_place(self.docs).withColumns({"source": at["source"].cast("string"), "place": place(at["doc_id"], at["text"].cast("string"), self.mix.seed)})
+        drawn = self._in_shards(_draws(_with_plan(placed, self.plans)))
         order = F.xxhash64(F.lit(self.mix.seed + 1), at["doc_id"], F.col("round"), F.col("block"))
-        shards = max(1, sum(p.blocks for p in self.plans) // self.mix.blocks_per_shard)
-        dealt = drawn.withColumn("order", order).repartition(shards, "shard").sortWithinPartitions("shard", "order")
+        shards = shard_count(self.plans, self.mix)
+        parts = min(shards, int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        part = F.floor(F.col("shard") * F.lit(parts).cast("bigint") / shards).cast("int")
+        dealt = drawn.withColumn("order", order).repartitionById(parts, part).sortWithinPartitions("shard", "order")
         return dealt.select(*[f"c{k}" for k in range(len(names))]).toDF(*names)
