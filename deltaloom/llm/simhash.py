@@ -13,6 +13,7 @@ only across components. What remains is exact: each link is either tested or joi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -24,16 +25,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from deltaloom.llm.components import connected_components
-from deltaloom.llm.nearcopies import keep_one_of_each
-from deltaloom.llm.text import column, folded_words, ids_and_texts, signed
+from deltaloom.llm.spread import join_each
+from deltaloom.llm.text import folded_words, ids_and_texts, signed
 from deltaloom.sources.scratch import Scratch
 
 SHINGLE_WORDS = 4
 SEED = 42
 MAX_DISTANCE = 4
-BLOCKS = 8
-#: A list of cells is broadcast up to this length, some 20 MB, and joined by shuffle beyond it.
-BROADCAST_CELLS = 500_000
+#: Copies of points in a partition of their table.
+PARTITION_COPIES = 4_000_000
+#: Members of a cell that meet each other in one task; larger cells are cut into so many parts.
+CELL_PART = 1000
 _LOW_BITS = 0x5555555555555555
 
 
@@ -110,35 +112,53 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def link_fingerprints(fps: DataFrame, scratch: Scratch, max_distance: int = MAX_DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+def blocks_for(n: int, max_distance: int) -> int:
+    """How many groups of coordinates suit n distinct fingerprints: the least work, where a copy of a point costs as much
+    as some twenty comparisons. Two random points agree in a coordinate with probability 3/8."""
+
+    def work(blocks: int) -> float:
+        others = n * (3 / 8) ** (32 * (blocks - max_distance) / blocks)
+        return math.comb(blocks, max_distance) * (20 + others)
+
+    return min(range(max_distance + 4, 3 * max_distance + 5), key=work)
+
+
+def link_fingerprints(fps: DataFrame, scratch: Scratch, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(node, root) of the distinct fingerprints ``fp`` that have a link to another.
 
-    ``blocks`` trades copies of each point, C(blocks, max_distance), against points per cell: eight suit up to some ten
-    million distinct fingerprints, each more block some five times as many.
+    The number of groups of coordinates, and so of the C(blocks, max_distance) copies of each point, follows the number
+    of fingerprints. Copies move once: cells are formed, and met again, in the partitions they are dealt to.
     """
-    points = fps.select("fp", embedding(F.col("fp")).alias("point"))
-    cells = _cells(points, max_distance, blocks)
-    met = cells.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("n > 1")
-    met = scratch.save(met, "met")
-    # A cell of two is settled by its hubs; only larger ones need their members, which need not move to meet a short list.
-    larger = scratch.save(met.where("n > 2").select("grid", "cell", "low", "high"), "larger")
-    short = larger.count() <= BROADCAST_CELLS
-    shared = scratch.save(cells.join(F.broadcast(larger) if short else larger, ["grid", "cell"]), "cells")
-
-    hub_links = met.where(distance(F.col("low"), F.col("high")) <= max_distance).select(F.col("low").alias("u"), F.col("high").alias("v"))
-    for hub in ("low", "high"):
-        near = (F.col("fp") != F.col(hub)) & (distance(F.col("fp"), F.col(hub)) <= max_distance)
-        hub_links = hub_links.unionAll(shared.where(near).select(F.col("fp").alias("u"), F.col(hub).alias("v")))
+    n = fps.count()
+    blocks = blocks_for(n, max_distance)
+    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * math.comb(blocks, max_distance) // PARTITION_COPIES)
+    points = fps.repartition(parts, "fp").select("fp", embedding(F.col("fp")).alias("point"))
+    cells = _cells(points, max_distance, blocks).select("grid", "cell", "fp").repartition(parts, "grid", "cell")
+    met = cells.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("members"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("members > 1")
+    shared = scratch.save(cells.join(met, ["grid", "cell"]).withColumn("point", embedding(F.col("fp"))), "cells")
+
+    hubs = [F.struct(F.col("fp").alias("u"), F.col(hub).alias("v")) for hub in ("low", "high")]
+    near = F.filter(F.array(*hubs), lambda x: (x["u"] != x["v"]) & (distance(x["u"], x["v"]) <= max_distance))
+    hub_links = shared.select(F.explode(near).alias("x")).select("x.u", "x.v")
     first = scratch.save(connected_components(hub_links, scratch, "hubs"), "first")
 
-    labelled = shared.drop("low", "high").join(first, F.col("fp") == F.col("node"), "left")
-    labelled = scratch.save(labelled.select("grid", "cell", "fp", "point", F.coalesce("root", "fp").alias("label")), "labelled")
+    # A cell of two is settled by its hubs.
+    larger = shared.where("members > 2").drop("low", "high")
+    labelled = larger.join(first, F.col("fp") == F.col("node"), "left")
+    labelled = scratch.save(labelled.select("grid", "cell", "members", "fp", "point", F.coalesce("root", "fp").alias("label")), "labelled")
     mixed = labelled.groupBy("grid", "cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("grid", "cell")
     open_cells = scratch.save(labelled.join(mixed, ["grid", "cell"]), "open")
-    pairs = open_cells.alias("a").join(
-        open_cells.alias("b"),
+    # Large cells are cut into parts; each member is in one, and meets those of every part.
+    cut = F.ceil(F.col("members") / CELL_PART).cast("int")
+    part = F.pmod(F.xxhash64("fp"), cut).cast("int")
+    every = F.explode(F.sequence(F.lit(0), cut - 1))
+    left, right = open_cells.withColumn("part", part).withColumn("other", every), open_cells.withColumn("other", part).withColumn("part", every)
+    pairs = left.alias("a").join(
+        right.alias("b"),
         (F.col("a.grid") == F.col("b.grid"))
         & (F.col("a.cell") == F.col("b.cell"))
+        & (F.col("a.part") == F.col("b.part"))
+        & (F.col("a.other") == F.col("b.other"))
         & (F.col("a.label") < F.col("b.label"))
         & (distance(F.col("a.point"), F.col("b.point")) <= max_distance)
         & (distance(F.col("a.fp"), F.col("b.fp")) <= max_distance)
@@ -151,31 +171,31 @@ def link_fingerprints(fps: DataFrame, scratch: Scratch, max_distance: int = MAX_
     over = second.select(F.col("node").alias("over"), F.col("root").alias("top"))
     linked = roots.join(over, F.col("root") == F.col("over"), "left").select("node", F.coalesce("top", "root").alias("root"))
     out = scratch.save(linked.groupBy("node").agg(F.min("root").alias("root")), "linked")
-    for name in ("met", "larger", "cells", "labelled", "open"):
+    for name in ("cells", "labelled", "open"):
         scratch.drop(name)
     return out
 
 
-def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs.
 
     component_id is the smallest doc_id that links reach. A null or empty text, or one of white space, has fingerprint
     zero and is linked like any other. A repeated row is its own row with the same result. A row without doc_id counts
     as a copy but names no component: its own component_id is the smallest id there is in its component, else null.
-    No rows give no rows.
+    No rows give no rows. A fingerprint or component that holds a large share of all rows is spread over all tasks.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.save(ids_and_texts(docs).select("doc_id", fingerprints("text").alias("fp")), "prints")
-    classes = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    linked = link_fingerprints(classes.select("fp"), scratch, max_distance, blocks)
-    rooted = classes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    tops = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    components = scratch.save(rooted.join(tops, "root").select("fp", "component_id"), "components")
-    return prints.join(components, "fp").select("doc_id", "fp", "component_id")
+    classes = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
+    linked = link_fingerprints(classes.select("fp"), scratch, max_distance)
+    members = scratch.save(classes.join(linked, F.col("fp") == F.col("node")).select("fp", "n", "least", "root"), "members")
+    tops = members.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    rooted = join_each(members.select("root", "fp", F.col("n").alias("rows")), tops, "root", members.count())
+    alone = classes.join(linked, F.col("fp") == F.col("node"), "left_anti")
+    components = rooted.select("fp", "component_id", F.col("rows").alias("n")).unionByName(alone.select("fp", F.col("least").alias("component_id"), "n"))
+    return join_each(prints, scratch.save(components, "components"), "fp", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def fingerprint_results(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-
-__all__ = ["column", "embedding", "fingerprint", "fingerprint_results", "keep_one_of_each", "link_fingerprints", "near_duplicates"]
