@@ -1,34 +1,38 @@
 """Class-based bigrams after Brown: exchange clustering of words, class transitions and word emissions.
 
-Words that make up at least one in ``type_budget`` of the training tokens are types of their own, so there are at most
-that many. Types are assigned to classes by exchange: each is moved to the class that most raises the likelihood of the
-class bigrams. Half of the types move at a time, against class bigram counts that Spark makes anew from the corpus's
-type bigrams; the driver only holds counts of types by classes, which the parameters bound.
-
-All other words of at least ``min_count`` are clustered too, however many there are. They start in the class of the
-type of their last two characters, where rarer and unseen words stay. A round counts their contexts in the texts, which
-are kept as chunks of word numbers that meet the present classes of their words, and moves half of the words, each on an
-executor, against one table of class bigrams. The best assignment by the likelihood is kept. The vocabulary is never
-gathered anywhere: classes reach a chunk through a join of the chunk's own words.
+The most frequent words, by rank, are clustered first: the driver moves them one after another, against bigram counts of
+these words and of groups of all others, until moves add little. Their number and that of the groups are parameters, so
+what the driver holds is bounded. A group is the words of equal last two bytes; its class is where its words start, and
+where words stay that were seen less than ``min_count`` times, or never.
+
+Every other word is then clustered too, however many there are. Texts lie in chunks as numbers of the chunk's own words.
+In a round each chunk counts the classes before and after its words, and deals the counts out to buckets by word; a
+bucket adds up what all chunks have of its words, moves them to their best classes against one table of class bigrams,
+and sends the classes and counts of its words back to the chunks that asked. The first round moves all words, as they
+meet known classes; later ones half of them at a time. The best assignment by the likelihood is kept. The vocabulary is
+never gathered: a bucket holds its own words, and there are as many buckets as the vocabulary asks for.
 
 A text's probability is the product, over its words and its end, of the class given the class before and the word given
-its class; both are summed where a chunk meets the counts and classes of its words.
+its class. Words are known by 64-bit hashes; among 10^9 distinct words, 0.03 pairs are expected to share one.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deltaloom.llm.exchange import END_CLASS, best_classes, cluster, likelihood
+from deltaloom.llm.packed import pack, unpack
 from deltaloom.llm.text import folded_words, ids_and_texts
 from deltaloom.sources.scratch import Scratch
 
@@ -36,415 +40,431 @@ from deltaloom.sources.scratch import Scratch
 @dataclass(frozen=True)
 class BrownModel:
     """folds and held_fold: documents whose crc32(doc_id as text) mod folds is held_fold are not learnt from.
-    alpha: added to a word's count in its class, and once for words never seen. prior: weight of the plain class
-    distribution in a transition. min_count: training tokens from which on a word is clustered. word_rounds: moves of
-    half of the words that have no types of their own; they end when two rounds add less than ``least_gain`` of the
-    likelihood. chunk_tokens: about so many words of text lie together."""
+    frequent, groups: words, and groups of other words, that the driver clusters, for up to ``rounds``. min_count: training
+    tokens from which on any word is clustered. word_rounds: moves of the other words. Either ends when the likelihood
+    grows by less than ``least_gain``. alpha: added to a word's count in its class, and once for words never seen. prior:
+    weight of the plain class distribution in a transition. chunk_tokens and chunk_words: a chunk ends at so many tokens,
+    or distinct words. bucket_words: words that chunks ask of a bucket, on average."""
 
     classes: int = 32
-    type_budget: int = 20_000
-    shapes: int = 512
-    rounds: int = 5
+    frequent: int = 1000
+    groups: int = 256
+    rounds: int = 10
+    word_rounds: int = 3
+    min_count: int = 2
+    least_gain: float = 1e-4
     alpha: float = 0.5
     prior: float = 20.0
     folds: int = 7
     held_fold: int = 2
-    min_count: int = 5
-    word_rounds: int = 4
-    least_gain: float = 1e-4
-    chunk_tokens: int = 400_000
+    chunk_tokens: int = 1_000_000
+    chunk_words: int = 250_000
+    bucket_words: int = 100_000
 
 
-#: The type and the class of a text's end.
-END_TYPE, END_CLASS = 0, 0
+_BINS = 64
+_HELD = 1 << 21
+#: Of a chunk: which documents have an id, the ids, numbers of words, tokens (0 for an end), keys and groups of the words.
+_CHUNK = ("u1", "<i8", "<u4", "<u4", "<u8", "<u2")
+#: Of the words a chunk asks a bucket for: keys, classes, numbers of context codes, codes, how often each.
+_CONTEXTS = ("<u8", "u1", "<u2", "<u2", "<u4")
+_REPLY = ("u1", "<u8")
 
 
 def held_out(doc_id: int | None, model: BrownModel) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % model.folds == model.held_fold
 
 
-def shape(word: bytes, model: BrownModel) -> int:
-    return zlib.crc32(word.decode("utf-8", "surrogatepass")[-2:].encode("utf-8", "surrogatepass")) % model.shapes
-
+def key_of(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
 
-def shape_column(word: Column, model: BrownModel) -> Column:
-    return F.crc32(F.right(word, F.lit(2)).cast("binary")) % model.shapes
 
+def group_of(word: bytes, model: BrownModel) -> int:
+    return zlib.crc32(word[-2:]) % model.groups
 
-class _Types(dict):
-    """Word to type: those of their own first, then shapes. Remembers words it has met, up to a bound."""
 
-    def __init__(self, own: dict[bytes, int], model: BrownModel) -> None:
-        super().__init__(own)
-        self.own, self.model, self.first_shape = own, model, 1 + len(own)
+def _rows(names: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, names.values(), strict=True)], names=list(names))
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = out = self.first_shape + shape(word, self.model)
-        return out
 
-    def of(self, text: str | None) -> tuple[list[bytes], np.ndarray]:
-        """A text's words, and their types between two ends."""
-        if len(self) > 500_000:
-            self.clear()
-            self.update(self.own)
-        found = folded_words(text)
-        out = np.empty(len(found) + 2, dtype=np.int64)
-        out[0] = out[-1] = END_TYPE
-        out[1:-1] = list(map(self.__getitem__, found))
-        return found, out
+# -- chunks ---------------------------------------------------------------------------------------------------------
 
 
-# -- counts ---------------------------------------------------------------------------------------------------------
+def text_chunks(docs: DataFrame, model: BrownModel) -> DataFrame:
+    """(chunk, words, packed): texts as numbers of the chunk's words, an end before the first and after each."""
+    names = {"chunk": pa.int64(), "words": pa.int64(), "packed": pa.binary()}
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId() << 32
 
-def word_counts(docs: DataFrame, model: BrownModel) -> DataFrame:
-    """(word, c) over the training documents; null for the end of a text."""
+        def begun() -> tuple:
+            number: defaultdict[bytes, int] = defaultdict()
+            number.default_factory = lambda: len(number) + 1
+            return number, [], [], array("I", [0])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        ends = 0
+        number, doc_ids, sizes, tokens = begun()
 
-        def hand_on() -> pa.RecordBatch:
-            words = [w.decode("utf-8", "surrogatepass") for w in counts]
-            return pa.RecordBatch.from_arrays([pa.array([*words, None], pa.string()), pa.array([*counts.values(), ends], pa.int64())], names=["word", "c"])
+        def whole() -> pa.RecordBatch:
+            ids = np.array([d or 0 for d in doc_ids], dtype="<i8")
+            there = np.array([d is not None for d in doc_ids], dtype="u1")
+            keys = np.fromiter(map(xxhash.xxh3_64_intdigest, number), dtype="<u8", count=len(number))
+            number.default_factory = None  # which refers back to the words
+            groups = np.fromiter((zlib.crc32(w[-2:]) for w in number), dtype="<u4", count=len(number)) % model.groups
+            return _rows(names, [(place, len(number), pack(there, ids, np.array(sizes, dtype="<u4"), np.array(tokens, dtype="<u4"), keys, groups.astype("<u2")))])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if not held_out(doc_id, model):
-                    counts.update(folded_words(text.as_py()))
-                    ends += 1
-            if len(counts) > 1_000_000:
-                yield hand_on()
-                counts, ends = Counter(), 0
-        if ends:
-            yield hand_on()
-
-    return docs.mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def own_words(counts: DataFrame, tokens: int, model: BrownModel) -> list[tuple[str, int]]:
-    """The words with types of their own, commonest first; at most ``type_budget`` can reach the bound."""
-    found = counts.where(F.col("word").isNotNull() & (F.col("c") * model.type_budget >= tokens)).collect()
-    return sorted(((r["word"], r["c"]) for r in found), key=lambda x: (-x[1], x[0]))
-
+                found = folded_words(text.as_py())
+                tokens.extend(map(number.__getitem__, found))
+                tokens.append(0)
+                doc_ids.append(doc_id)
+                sizes.append(len(found))
+                if len(tokens) >= model.chunk_tokens or len(number) >= model.chunk_words:
+                    yield whole()
+                    place += 1
+                    number, doc_ids, sizes, tokens = begun()
+        if doc_ids:
+            yield whole()
 
-def type_bigrams(docs: DataFrame, own: Broadcast, model: BrownModel) -> DataFrame:
-    """(a, b, n): how often type b follows type a in the training documents."""
-    width = 1 << 20
+    return docs.mapInArrow(run, "chunk bigint, words bigint, packed binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = _Types(own.value, model)
-        held: list[np.ndarray] = []
-        size = 0
 
-        def hand_on() -> pa.RecordBatch:
-            pairs, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array((pairs // width).astype(np.int32)), pa.array((pairs % width).astype(np.int32)), pa.array(n)], names=["a", "b", "n"])
+class _Chunk:
+    def __init__(self, packed: bytes, model: BrownModel) -> None:
+        there, ids, sizes, tokens, self.keys, self.groups = unpack(packed, *_CHUNK)
+        self.doc_ids = [d if t else None for d, t in zip(ids.tolist(), there.tolist(), strict=True)]
+        self.sizes, self.tokens = sizes.astype(np.int64), tokens.astype(np.int64)
+        self.learnt = np.repeat([not held_out(d, model) for d in self.doc_ids], self.sizes + 1)  # of all tokens but the first
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if held_out(doc_id, model):
-                    continue
-                _, found = types.of(text.as_py())
-                held.append(found[:-1] * width + found[1:])
-                size += len(found)
-                if size >= 8_000_000:
-                    yield hand_on()
-                    held, size = [], 0
-        if held:
-            yield hand_on()
-
-    return docs.mapInArrow(run, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
-# -- exchange -------------------------------------------------------------------------------------------------------
-
-
-def _xlogx(x: np.ndarray) -> np.ndarray:
-    return x * np.log(np.maximum(x, 1.0))
-
-
-def likelihood(bigrams: np.ndarray) -> float:
-    """What of the training log-likelihood depends on the assignment."""
-    return float(_xlogx(bigrams).sum() - _xlogx(bigrams.sum(0)).sum() - _xlogx(bigrams.sum(1)).sum())
-
-
-def best_class(now: int, left: np.ndarray, right: np.ndarray, own: float, bigrams: np.ndarray) -> int:
-    """The class a type should be in: ``left`` and ``right`` are how often it follows and precedes each class, ``own``
-    how often itself; the others stay."""
-    left, right = left.copy(), right.copy()
-    left[now] -= own
-    right[now] -= own
-    rest = bigrams.copy()
-    rest[:, now] -= left
-    rest[now, :] -= right
-    rest[now, now] -= own
-    n_in, n_out = left.sum() + own, right.sum() + own
-    columns, rows = rest.sum(0), rest.sum(1)
-    # Only classes that the type follows or precedes change anything; most types have few.
-    some, others = np.flatnonzero(left), np.flatnonzero(right)
-    gain = (_xlogx(rest[some] + left[some, None]) - _xlogx(rest[some])).sum(0)
-    gain += (_xlogx(rest[:, others] + right[others]) - _xlogx(rest[:, others])).sum(1)
-    same = np.diagonal(rest)
-    gain += _xlogx(same + left + right + own) - _xlogx(same + left) - _xlogx(same + right) + _xlogx(same)
-    gain -= _xlogx(columns + n_in) - _xlogx(columns) + _xlogx(rows + n_out) - _xlogx(rows)
-    gain[END_CLASS] = -np.inf
-    best = int(np.argmax(gain))
-    return best if gain[best] > gain[now] + 1e-9 else now
-
-
-def _context_counts(bigrams: DataFrame, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """left[t, c] and right[t, c]: how often type t follows and precedes class c. Bounded by types times classes."""
-    spark = bigrams.sparkSession
-    listed = spark.createDataFrame(pd.DataFrame({"type": np.arange(len(classes), dtype=np.int32), "class": classes.astype(np.int32)}))
-    of = F.broadcast(listed)  # as many rows as there are types: type_budget + shapes + 1 at most
-    after = bigrams.join(of, F.col("a") == F.col("type")).select(F.lit(0).alias("side"), F.col("b").alias("t"), "class", "n")
-    before = bigrams.join(of, F.col("b") == F.col("type")).select(F.lit(1).alias("side"), F.col("a").alias("t"), "class", "n")
-    found = after.unionAll(before).groupBy("side", "t", "class").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros((2, len(classes), int(classes.max()) + 1))
-    out[found["side"], found["t"], found["class"]] = found["n"]
-    return out[0], out[1]
-
-
-def exchange(bigrams: DataFrame, n_types: int, model: BrownModel) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each type, class bigram counts): the best assignment met."""
-    classes = 1 + np.arange(n_types) % model.classes
-    classes[END_TYPE] = END_CLASS
-    own = np.zeros(n_types)
-    for row in bigrams.where("a = b").collect():  # one row per type at most
-        own[row["a"]] = row["n"]
-    n = model.classes + 1
-    best: tuple[float, np.ndarray, np.ndarray] | None = None
-    for k in range(model.rounds + 1):
-        left, right = _context_counts(bigrams, np.concatenate([classes, [n - 1]]))
-        left, right = left[:n_types], right[:n_types]
-        table = np.zeros((n, n))
-        np.add.at(table, classes, right)
-        score = likelihood(table)
-        if best is None or score > best[0]:
-            best = score, classes.copy(), table
-        if k == model.rounds:
-            break
-        moving = [t for t in range(1, n_types) if (t + k) % 2 == 0 and (left[t].any() or right[t].any())]
-        for t in moving:
-            to = best_class(int(classes[t]), left[t], right[t], own[t], table)
-            if to != classes[t]:
-                # The counts follow the move, so that later types see it; their own contexts are as of this round.
-                now = classes[t]
-                add_left, add_right = left[t].copy(), right[t].copy()
-                add_left[now] -= own[t]
-                add_right[now] -= own[t]
-                table[:, now] -= add_left
-                table[now, :] -= add_right
-                table[now, now] -= own[t]
-                table[:, to] += add_left
-                table[to, :] += add_right
-                table[to, to] += own[t]
-                np.maximum(table, 0, out=table)
-                classes[t] = to
-    return best[1], best[2]
+    def counts(self) -> tuple[np.ndarray, int]:
+        """How often the training texts have each word, and how many there are."""
+        n = np.bincount(self.tokens[1:][self.learnt], minlength=len(self.keys) + 1)
+        return n[1:], int(n[0])
 
 
-def transitions(table: np.ndarray, model: BrownModel) -> np.ndarray:
-    """log10 of the probability of a class (column) after a class (row)."""
-    plain = (table.sum(0) + 1) / (table.sum() + len(table))
-    return np.log10((table + model.prior * plain) / (table.sum(1, keepdims=True) + model.prior))
+def _bucketed(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[int]]:
+    """The order of keys by bucket, and where each bucket's begin in it."""
+    bucket = (keys % np.uint64(buckets)).astype(np.int64)
+    return np.argsort(bucket, kind="stable"), [0, *np.cumsum(np.bincount(bucket, minlength=buckets)).tolist()]
 
 
-# -- words without types of their own ---------------------------------------------------------------------------------
+def dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    """Each bucket's rows in a partition of their own."""
+    return rows.repartitionById(buckets, F.col("bucket"))
 
 
-def text_chunks(docs: DataFrame, own: Broadcast, model: BrownModel) -> DataFrame:
-    """(chunk, doc_ids, sizes, tokens, shapes, words): texts as types of their own or, beyond those, numbers of the
-    chunk's other words, whose shapes and spellings are listed; an end before the first text and after each."""
+# -- frequent words -------------------------------------------------------------------------------------------------
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = 1 + len(own.value)
-        part, k = TaskContext.get().partitionId(), 0
-        number, doc_ids, sizes, tokens = dict(own.value), [], [], [END_TYPE]
 
-        def hand_on() -> pa.RecordBatch:
-            words = list(number)[first - 1 :]
-            listed = [[(part << 32) + k], [doc_ids], [sizes], [tokens], [[shape(w, model) for w in words]], [[w.decode("utf-8", "surrogatepass") for w in words]]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(listed, kinds, strict=True)], names=["chunk", "doc_ids", "sizes", "tokens", "shapes", "words"])
+def frequent_words(chunks: DataFrame, buckets: int, model: BrownModel) -> tuple[list[tuple[int, int]], int, int, int]:
+    """((key, count) of the most frequent words, all training tokens, distinct words, ends of texts)."""
+    names = {"bucket": pa.int32(), "packed": pa.binary()}
+    top = {"key": pa.int64(), "c": pa.int64(), "v": pa.int64(), "ends": pa.int64()}
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = folded_words(text.as_py())
-                for word in found:
-                    tokens.append(number.setdefault(word, len(number) + 1))
-                tokens.append(END_TYPE)
-                doc_ids.append(doc_id)
-                sizes.append(len(found))
-                if len(tokens) >= model.chunk_tokens:
-                    yield hand_on()
-                    k += 1
-                    number, doc_ids, sizes, tokens = dict(own.value), [], [], [END_TYPE]
-        if doc_ids:
-            yield hand_on()
-
-    return docs.mapInArrow(run, "chunk bigint, doc_ids array<bigint>, sizes array<int>, tokens array<int>, shapes array<int>, words array<string>")
+            for packed in batch.column(0):
+                chunk = _Chunk(packed.as_py(), model)
+                n, ends = chunk.counts()
+                seen = np.flatnonzero(n)
+                order, starts = _bucketed(chunk.keys[seen], buckets)
+                keys, n = chunk.keys[seen][order], n[seen][order].astype("<u4")
+                rows = [(k, pack(keys[a:b], n[a:b], np.zeros(0, "<i8"))) for k, (a, b) in enumerate(zip(starts, starts[1:], strict=False)) if a < b]
+                rows.append((0, pack(keys[:0], n[:0], np.array([ends], "<i8"))))
+                yield _rows(names, rows)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n, ends, held = np.zeros(0, "<u8"), np.zeros(0, np.int64), 0, []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            every, at = np.unique(np.concatenate([keys, *[k for k, _ in held]]), return_inverse=True)
+            return every, np.bincount(at, weights=np.concatenate([n, *[x for _, x in held]]), minlength=len(every)).astype(np.int64)
 
-
-def _beside(chunks: DataFrame, words: DataFrame) -> DataFrame:
-    """Each chunk, as number -1, and then its rows (chunk, number, key, c, class) of ``words``, in one partition."""
-    texts = chunks.select("chunk", F.lit(-1).alias("number"), "doc_ids", "sizes", "tokens", "shapes")
-    # Empty lists, not nulls: the Arrow writer goes over all nulls since the last list again at each row.
-    lists = [F.array().cast(texts.schema[name].dataType).alias(name) for name in ("doc_ids", "sizes", "tokens", "shapes")]
-    both = texts.unionByName(words.select("chunk", "number", *lists, "key", "c", "class"), allowMissingColumns=True)
-    both = both.select("chunk", "number", "doc_ids", "sizes", "tokens", "shapes", "key", "c", "class")
-    return both.repartition(F.col("chunk")).sortWithinPartitions("chunk", "number")
+        size = 0
+        for batch in batches:
+            for packed in batch.column(1):
+                k, x, e = unpack(packed.as_py(), "<u8", "<u4", "<i8")
+                held.append((k, x))
+                ends, size = ends + int(e.sum()), size + len(k)
+                if size > _HELD:
+                    keys, n = merged()
+                    held, size = [], 0
+        keys, n = merged()
+        best = np.lexsort((keys, -n))[: model.frequent]
+        rows = [(k, c, None, None) for k, c in zip(keys[best].view(np.int64).tolist(), n[best].tolist(), strict=True)]
+        yield _rows(top, [*rows, (None, int(n.sum()), len(keys), ends)])
+
+    sent = dealt(chunks.select("packed").mapInArrow(send, "bucket int, packed binary"), buckets)
+    found = sent.mapInArrow(add, "key bigint, c bigint, v bigint, ends bigint").orderBy(F.col("key").isNull().desc(), F.desc("c"), "key")
+    # One row of totals for each bucket, and so many of words.
+    rows = found.limit(buckets + model.frequent).collect()
+    totals = [sum(r[name] for r in rows if r["key"] is None) for name in ("c", "v", "ends")]
+    words = [(r["key"] % (1 << 64), r["c"]) for r in rows if r["key"] is not None][: model.frequent]
+    return words, totals[0] + totals[2], totals[1] + int(totals[2] > 0), totals[2]
+
+
+class _Types:
+    """The types of words: 0 is the end, then the frequent words, then the groups; and where the frequent are."""
+
+    def __init__(self, frequent: list[tuple[int, int]], model: BrownModel) -> None:
+        keys = np.array([k for k, _ in frequent], dtype="<u8")
+        self.by_key = np.argsort(keys)
+        self.sorted = keys[self.by_key]
+        self.counts = np.array([c for _, c in frequent], dtype=np.int64)
+        self.first_group = 1 + len(keys)
+        self.n = self.first_group + model.groups
+
+    def of(self, chunk: _Chunk) -> np.ndarray:
+        """The type of each of a chunk's words."""
+        out = self.first_group + chunk.groups.astype(np.int64)
+        if len(self.sorted):
+            at = np.minimum(np.searchsorted(self.sorted, chunk.keys), len(self.sorted) - 1)
+            there = self.sorted[at] == chunk.keys
+            out[there] = 1 + self.by_key[at[there]]
+        return out
 
 
-def _each_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(doc_ids, sizes, tokens, shapes, numbers, keys, counts, classes) of each chunk of ``_beside``."""
-    held, rest = None, []
+def type_bigrams(chunks: DataFrame, types: Broadcast, model: BrownModel) -> np.ndarray:
+    """How often type b (column) follows type a (row) in the training texts. Executors add up ranges of the cells, so the
+    driver gets each cell once, of which there are as many as the parameters say."""
+    cells, names = types.value.n ** 2, {"bin": pa.int32(), "packed": pa.binary()}
+    width = -(-cells // _BINS)
 
-    def whole() -> tuple:
-        listed = [np.concatenate([r[j] for r in rest]) if rest else np.zeros(0, dtype=np.int64) for j in range(4)]
-        return *held, *listed
+    def binned(table: np.ndarray, bins: list[int]) -> pa.RecordBatch:
+        parts = [(k, table[(k - bins[0]) * width : (k - bins[0] + 1) * width]) for k in bins]
+        some = [(k, np.flatnonzero(x), x) for k, x in parts]
+        return _rows(names, [(k, pack(at.astype("<u4"), x[at].astype("<i8"))) for k, at, x in some if len(at)])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(cells, dtype=np.int64)
+        for batch in batches:
+            for packed in batch.column(0):
+                chunk = _Chunk(packed.as_py(), model)
+                of = np.concatenate([[0], types.value.of(chunk)])[chunk.tokens]
+                pairs, n = np.unique((of[:-1] * types.value.n + of[1:])[chunk.learnt], return_counts=True)
+                table[pairs] += n
+        yield binned(table, list(range(_BINS)))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(width, dtype=np.int64))
+        for batch in batches:
+            for k, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                at, n = unpack(packed.as_py(), "<u4", "<i8")
+                tables[k][at] += n
+        for k, table in tables.items():
+            yield binned(table, [k])
+
+    schema = "bin int, packed binary"
+    out = np.zeros(width * _BINS)
+    for row in chunks.select("packed").mapInArrow(count, schema).repartitionById(_BINS, F.col("bin")).mapInArrow(add, schema).collect():
+        at, n = unpack(bytes(row["packed"]), "<u4", "<i8")
+        out[row["bin"] * width + at] = n
+    return out[:cells].reshape(types.value.n, -1)
+
+
+# -- all other words ------------------------------------------------------------------------------------------------
+
+
+def _beside(chunks: DataFrame, replies: DataFrame | None) -> DataFrame:
+    """(chunk, bucket, packed): each chunk, as bucket -1, and then what buckets have replied to it, in their order."""
+    texts = chunks.select("chunk", F.lit(-1).alias("bucket"), "packed")
+    if replies is None:
+        return texts
+    both = texts.unionAll(replies.where("chunk >= 0").select("chunk", "bucket", "packed"))
+    return both.repartition(F.col("chunk")).sortWithinPartitions("chunk", "bucket")
+
+
+class _Known:
+    """A chunk whose words have types, classes and, from replies, counts."""
+
+    def __init__(self, chunk: _Chunk, replies: list[bytes], types: _Types, classes: np.ndarray, buckets: int) -> None:
+        self.chunk, of = chunk, types.of(chunk)
+        #: The words that are not frequent, by bucket.
+        others = np.flatnonzero(of >= types.first_group)
+        order, self.starts = _bucketed(chunk.keys[others], buckets)
+        self.others = others[order]
+        word_class, self.counts = classes[of], np.zeros(len(of), dtype=np.int64)
+        frequent = np.flatnonzero(of < types.first_group)
+        self.counts[frequent] = types.counts[of[frequent] - 1]
+        if replies:
+            found = [unpack(r, *_REPLY) for r in replies]
+            word_class[self.others] = np.concatenate([x[0] for x in found])
+            self.counts[self.others] = np.concatenate([x[1] for x in found])
+        #: By token number, so the end comes first.
+        self.classes = np.concatenate([[END_CLASS], word_class])
+
+
+def _each(batches: Iterator[pa.RecordBatch], types: Broadcast, buckets: int, model: BrownModel) -> Iterator[tuple[int, _Known]]:
+    """The chunks of ``_beside`` in a task."""
+    held: tuple[int, bytes, list[bytes]] | None = None
     for batch in batches:
-        numbers = batch.column(1).to_numpy()
-        edges = [*np.flatnonzero(numbers < 0).tolist(), len(numbers)]
-        last = 0
-        for edge in edges:
-            if edge > last:
-                part = batch.slice(last, edge - last)
-                rest.append((numbers[last:edge], *[part.column(j).fill_null(0).to_numpy().astype(np.int64) for j in (6, 7, 8)]))
-            if edge < len(numbers):
-                if held:
-                    yield whole()
-                sizes, tokens, shapes = (batch.column(j)[edge].values.to_numpy().astype(np.int64) for j in (3, 4, 5))
-                held, rest = (batch.column(2)[edge].as_py(), sizes, tokens, shapes), []
-            last = edge + 1 if edge < len(numbers) else edge
+        for place, bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if bucket >= 0:
+                held[2].append(packed.as_py())
+                continue
+            if held:
+                yield held[0], _Known(_Chunk(held[1], model), held[2], *types.value, buckets)
+            held = place, packed.as_py(), []
     if held:
-        yield whole()
-
-
-def _classes_in(shapes: np.ndarray, numbers: np.ndarray, found: np.ndarray, classes: np.ndarray, n_own: int) -> np.ndarray:
-    """The class of each of a chunk's tokens: of types of their own, of shapes, and of the words found."""
-    out = np.concatenate([classes[: 1 + n_own], classes[1 + n_own + shapes]])
-    out[1 + n_own + numbers] = found
-    return out
-
-
-def contexts(chunks: DataFrame, words: DataFrame, types: Broadcast, model: BrownModel) -> DataFrame:
-    """(key, codes, ns) from each chunk's training texts. Of a word: how often it follows class c (code c), precedes it
-    (n + c) and itself (2 n), for n classes. Of no key: how often class b follows class a (code a n + b)."""
+        yield held[0], _Known(_Chunk(held[1], model), held[2], *types.value, buckets)
+
+
+def _contexts(known: _Known, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of codes of each of the other words, codes, how often): a word follows class c (code c), precedes it
+    (n + c), follows itself (2 n)."""
+    chunk, width = known.chunk, 2 * n + 1
+    at = np.full(len(chunk.keys) + 1, -1)
+    at[known.others + 1] = np.arange(len(known.others))
+    of, before, after = known.classes, chunk.tokens[:-1][chunk.learnt], chunk.tokens[1:][chunk.learnt]
+    follows, precedes = np.flatnonzero(at[after] >= 0), np.flatnonzero(at[before] >= 0)
+    twice = follows[before[follows] == after[follows]]
+    seen = [at[after[follows]] * width + of[before[follows]], at[before[precedes]] * width + n + of[after[precedes]], at[after[twice]] * width + 2 * n]
+    cells, times = np.unique(np.concatenate(seen), return_counts=True)
+    return np.bincount(cells // width, minlength=len(known.others)), cells % width, times
+
+
+def contexts(chunks: DataFrame, replies: DataFrame | None, types: Broadcast, buckets: int, model: BrownModel, table_only: bool = False) -> DataFrame:
+    """(bucket, chunk, packed, codes, ns). Bucket -1 has the chunk's class bigrams: how often (ns) class b follows class a
+    (code a n + b). The others get the contexts of their words in the chunk, and of those only held-out texts have."""
     n = model.classes + 1
+    names = {"bucket": pa.int32(), "chunk": pa.int64(), "packed": pa.binary(), "codes": pa.list_(pa.int32()), "ns": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, n_own = types.value
-        for doc_ids, sizes, tokens, shapes, numbers, keys, _, found in _each_chunk(batches):
-            of = _classes_in(shapes, numbers, found, classes, n_own)
-            learnt = np.repeat([not held_out(d, model) for d in doc_ids], sizes + 1)  # of each token but the first end
-            before, after = tokens[:-1][learnt], tokens[1:][learnt]
-            table = np.bincount(of[before] * n + of[after], minlength=n * n)
-            codes = np.flatnonzero(table)
-            at = np.full(len(of), -1)
-            at[1 + n_own + numbers] = np.arange(len(numbers))
-            width = 2 * n + 1
-            follows, precedes, twice = at[after] >= 0, at[before] >= 0, (before == after) & (at[after] >= 0)
-            seen = np.concatenate([at[after[follows]] * width + of[before[follows]], at[before[precedes]] * width + n + of[after[precedes]], at[after[twice]] * width + 2 * n])
-            seen, times = np.unique(seen, return_counts=True)
-            mine = seen // width
-            starts = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]])) if len(mine) else np.zeros(0, dtype=np.int64)
-            offsets = pa.array(np.concatenate([[0, len(codes)], len(codes) + starts[1:], [len(codes) + len(seen)] if len(starts) else []]).astype(np.int32))
-            named = pa.array([None, *keys[mine[starts]].tolist()], pa.int64())
-            all_codes = pa.array(np.concatenate([codes, seen % width]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([named, pa.ListArray.from_arrays(offsets, all_codes), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([table[codes], times])))], names=["key", "codes", "ns"])
-
-    return _beside(chunks, words).mapInArrow(run, "key bigint, codes array<int>, ns array<bigint>")
+        for place, known in _each(batches, types, buckets, model):
+            chunk = known.chunk
+            of = known.classes[chunk.tokens]
+            table = np.bincount((of[:-1] * n + of[1:])[chunk.learnt], minlength=n * n)
+            cells = np.flatnonzero(table)
+            rows = [(-1, place, None, cells, table[cells])]
+            if not table_only:
+                sizes, codes, times = _contexts(known, n)
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                columns = chunk.keys[known.others], known.classes[known.others + 1].astype("u1"), sizes.astype("<u2")
+                codes, times = codes.astype("<u2"), times.astype("<u4")
+                for k, (a, b) in enumerate(zip(known.starts, known.starts[1:], strict=False)):
+                    if a < b:
+                        part = slice(ends[a], ends[b])
+                        rows.append((k, place, pack(*[c[a:b] for c in columns], codes[part], times[part]), None, None))
+            yield _rows(names, rows)
+
+    return _beside(chunks, replies).mapInArrow(run, "bucket int, chunk bigint, packed binary, codes array<int>, ns array<bigint>")
 
 
 def class_table(found: DataFrame, n: int) -> np.ndarray:
-    rows = found.where("key IS NULL").select(F.explode(F.arrays_zip("codes", "ns")).alias("x")).groupBy("x.codes").agg(F.sum("x.ns").alias("n")).collect()  # n * n at most
+    pairs = found.where("bucket < 0").select(F.explode(F.arrays_zip("codes", "ns")).alias("x"))
     out = np.zeros(n * n)
-    for r in rows:
-        out[r["codes"]] = r["n"]
+    for r in pairs.groupBy(F.col("x.codes").alias("code")).agg(F.sum("x.ns").alias("n")).collect():  # n * n at most
+        out[r["code"]] = r["n"]
     return out.reshape(n, n)
 
 
-def moved(found: DataFrame, assigned: DataFrame, table: Broadcast, turn: int, model: BrownModel) -> DataFrame:
-    """(key, class): half of the words in the class that is best for them, the others where they were."""
+def moved(found: DataFrame, table: Broadcast, turn: int, buckets: int, model: BrownModel) -> DataFrame:
+    """(chunk, bucket, packed, class_n, class_v): for each chunk the classes and counts of the words it asked for; and, as
+    chunk -1, the tokens and words that a bucket has of each class. Turn 0 moves all words, others every second one."""
     n = model.classes + 1
+    names = {"chunk": pa.int64(), "bucket": pa.int32(), "packed": pa.binary(), "class_n": pa.list_(pa.int64()), "class_v": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = 2 * n + 1
-        key, now, counts = None, 0, np.zeros(width)  # the last word, which the next batch may go on with
-
-        def settled(key: int, now: int, counts: np.ndarray) -> int:
-            return now if (key + turn) % 2 or not counts.any() else best_class(now, counts[:n], counts[n : 2 * n], counts[2 * n], table.value)
+        keys, now, sums = np.zeros(0, "<u8"), np.zeros(0, "u1"), np.zeros((0, width))
+        asked: list[tuple[int, np.ndarray]] = []
+        held: list[list[np.ndarray]] = []
+        size, bucket = 0, TaskContext.get().partitionId()
+
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """What is held, added to what was there before; the same words have the same class everywhere."""
+            every, first, at = np.unique(np.concatenate([keys, *[h[0] for h in held]]), return_index=True, return_inverse=True)
+            cells = [np.repeat(at[len(keys) :], np.concatenate([h[2] for h in held])) * width + np.concatenate([h[3] for h in held])] if held else []
+            out = np.bincount(cells[0], weights=np.concatenate([h[4] for h in held]), minlength=len(every) * width).reshape(-1, width) if held else np.zeros((len(every), width))
+            out[at[: len(keys)]] += sums
+            return every, np.concatenate([now, *[h[1] for h in held]])[first], out
 
         for batch in batches:
-            keys, lists = batch.column(0).to_numpy(), batch.column(2)
-            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            word = np.repeat(np.arange(len(starts)), np.diff([*starts, len(keys)]))
-            # One row of each word has its class, plus one, and the others have nothing there.
-            classes = np.bincount(word, weights=batch.column(1).to_numpy()).astype(np.int64)
-            sizes = np.diff(lists.offsets.to_numpy())
-            codes, ns = lists.flatten().to_numpy(), batch.column(3).flatten().to_numpy()
-            sums = np.bincount(np.repeat(word, sizes) * width + codes, weights=ns, minlength=len(starts) * width).reshape(-1, width)
-            out = []
-            for k, c, one in zip(keys[starts].tolist(), classes.tolist(), sums, strict=True):
-                if k == key:
-                    now, counts = now + c, counts + one
-                    continue
-                if key is not None:
-                    out.append((key, settled(key, now - 1, counts)))
-                key, now, counts = k, c, one
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([c for _, c in out], pa.int32())], names=["key", "class"])
-        if key is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([settled(key, now - 1, counts)], pa.int32())], names=["key", "class"])
-
-    held = assigned.select("key", (F.col("class") + 1).alias("class"), F.array().cast("array<int>").alias("codes"), F.array().cast("array<bigint>").alias("ns"))
-    rows = held.unionByName(found.where("key IS NOT NULL").select("key", F.lit(0).alias("class"), "codes", "ns"))
-    return rows.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(run, "key bigint, class int")
-
-
-def cluster_words(chunks: DataFrame, places: DataFrame, assigned: DataFrame, types: Broadcast, scratch: Scratch, model: BrownModel) -> tuple[DataFrame, np.ndarray]:
-    """((key, class) of the clustered words, class bigram counts): the best assignment met."""
-    best: tuple[float, DataFrame, np.ndarray] | None = None
-    scores: list[float] = []
-    for k in range(model.word_rounds + 1):
-        words = places.join(assigned, "key").withColumn("c", F.lit(0).cast("bigint"))
-        found = scratch.save(contexts(chunks, words, types, model), f"contexts-{k}")
-        table = class_table(found, model.classes + 1)
+            for place, packed in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                held.append(unpack(packed.as_py(), *_CONTEXTS))
+                asked.append((place, held[-1][0]))
+                size += len(held[-1][3]) + len(held[-1][0])
+                if size > _HELD:
+                    keys, now, sums = merged()
+                    held, size = [], 0
+        if not asked:
+            return
+        keys, now, sums = merged()
+        now = now.astype(np.int64)
+        counts = sums[:, :n].sum(1).astype(np.int64)
+        may = (counts >= model.min_count) & ((turn == 0) | ((keys >> np.uint64(32)) % np.uint64(2) == turn % 2))
+        for k in range(0, len(keys), 2048):
+            some = k + np.flatnonzero(may[k : k + 2048])
+            if len(some):
+                now[some] = best_classes(now[some], sums[some, :n], sums[some, n : 2 * n], sums[some, 2 * n], table.value)
+        for place, mine in asked:
+            at = np.searchsorted(keys, mine)
+            yield _rows(names, [(place, bucket, pack(now[at].astype("u1"), counts[at].astype("<u8")), None, None)])
+        known = counts > 0
+        yield _rows(names, [(-1, bucket, None, np.bincount(now, weights=counts, minlength=n).astype(np.int64), np.bincount(now[known], minlength=n))])
+
+    return dealt(found.where("bucket >= 0"), buckets).mapInArrow(run, "chunk bigint, bucket int, packed binary, class_n array<bigint>, class_v array<bigint>")
+
+
+def class_totals(replies: DataFrame, n: int) -> np.ndarray:
+    """Tokens and distinct words of each class, of all words that are not frequent."""
+    each = replies.where("chunk < 0").select(F.posexplode(F.arrays_zip("class_n", "class_v")).alias("class", "x"))
+    out = np.zeros((2, n))
+    for r in each.groupBy("class").agg(F.sum("x.class_n").alias("n"), F.sum("x.class_v").alias("v")).collect():  # one row per class
+        out[:, r["class"]] = r["n"], r["v"]
+    return out
+
+
+def cluster_words(chunks: DataFrame, types: Broadcast, table: np.ndarray, buckets: int, scratch: Scratch, model: BrownModel) -> tuple[DataFrame, np.ndarray]:
+    """(replies, class bigram counts) of the best assignment met. ``table`` is that of the first."""
+    spark, n = chunks.sparkSession, model.classes + 1
+    replies, scores, best = None, [], None
+    for k in range(max(1, model.word_rounds)):
+        found = scratch.save(contexts(chunks, replies, types, buckets, model), f"contexts-{k}")
+        if k:
+            table = class_table(found, n)
         scores.append(likelihood(table))
-        if best is None or scores[-1] > best[0]:
-            best = scores[-1], assigned, table
-        if k == model.word_rounds or k > 1 and scores[-1] - scores[-3] < model.least_gain * abs(scores[-1]):
-            break
-        assigned = scratch.save(moved(found, assigned, chunks.sparkSession.sparkContext.broadcast(table), k, model), f"assigned-{k + 1}")
+        if k and (best is None or scores[-1] > best[0]):
+            if best:
+                scratch.drop(best[3])
+            best = scores[-1], replies, table, f"replies-{k - 1}"
+        if k > 2 and scores[-1] - scores[-3] < model.least_gain * abs(scores[-1]):
+            return best[1], best[2]
+        replies = scratch.save(moved(found, spark.sparkContext.broadcast(table), k, buckets, model), f"replies-{k}")
         scratch.drop(f"contexts-{k}")
-    return best[1], best[2]
+    last = class_table(scratch.save(contexts(chunks, replies, types, buckets, model, table_only=True), "table"), n)
+    return (replies, last) if best is None or likelihood(last) > best[0] else best[1:3]
 
 
 # -- scores ---------------------------------------------------------------------------------------------------------
 
 
-def text_sums(chunks: DataFrame, words: DataFrame, steps: Broadcast, model: BrownModel) -> DataFrame:
+def transitions(table: np.ndarray, model: BrownModel) -> np.ndarray:
+    """log10 of the probability of a class (column) after a class (row)."""
+    plain = (table.sum(0) + 1) / (table.sum() + len(table))
+    return np.log10((table + model.prior * plain) / (table.sum(1, keepdims=True) + model.prior))
+
+
+def text_sums(chunks: DataFrame, replies: DataFrame, types: Broadcast, steps: Broadcast, buckets: int, model: BrownModel) -> DataFrame:
     """doc_id, its number of words, how many of them are known, and the log10 probabilities under the plain frequencies
-    and under the classes; ``words`` are all that have no types of their own."""
+    and under the classes."""
+    names = {"doc_id": pa.int64(), "n": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, n_own, table, weight, own_emission, own_base, all_tokens = steps.value
-        for doc_ids, sizes, tokens, shapes, numbers, _, counts, found in _each_chunk(batches):
-            of = _classes_in(shapes, numbers, found, classes, n_own)
-            c = np.zeros(len(shapes))
-            c[numbers] = counts
-            emission = np.concatenate([own_emission, np.log10((c + model.alpha) / weight[of[1 + n_own :]])])
-            base = np.concatenate([own_base, np.log10((c + 1) / all_tokens)])
-            known = np.concatenate([[0], np.ones(n_own), c > 0])
-            after = tokens[1:]
-            starts = np.cumsum(np.concatenate([[0], sizes[:-1] + 1]))
-            of_docs = [np.add.reduceat(x, starts) for x in (known[after], base[after], emission[after] + table[of[tokens[:-1]], of[after]])]
-            columns = [pa.array(doc_ids, pa.int64()), pa.array(sizes), pa.array(of_docs[0].astype(np.int64)), pa.array(of_docs[1]), pa.array(of_docs[2])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "known", "base", "score"])
-
-    return _beside(chunks, words).mapInArrow(run, "doc_id bigint, n bigint, known bigint, base double, score double")
+        table, weight, ends, all_tokens = steps.value
+        for _, known in _each(batches, types, buckets, model):
+            chunk, c = known.chunk, known.counts
+            emission = np.concatenate([[0.0], np.log10((c + model.alpha) / weight[known.classes[1:]])])
+            base = np.log10((np.concatenate([[ends], c]) + 1) / all_tokens)
+            seen = np.concatenate([[0], c > 0]).astype(float)
+            of, after = known.classes[chunk.tokens], chunk.tokens[1:]
+            starts = np.cumsum(np.concatenate([[0], chunk.sizes[:-1] + 1]))
+            sums = [np.add.reduceat(x, starts) for x in (seen[after], base[after], emission[after] + table[of[:-1], of[1:]])]
+            columns = [chunk.doc_ids, chunk.sizes, sums[0].astype(np.int64), sums[1], sums[2]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, names.values(), strict=True)], names=list(names))
+
+    return _beside(chunks, replies).mapInArrow(run, "doc_id bigint, n bigint, known bigint, base double, score double")
 
 
 def score(docs: DataFrame, model: BrownModel = BrownModel()) -> DataFrame:
@@ -454,47 +474,27 @@ def score(docs: DataFrame, model: BrownModel = BrownModel()) -> DataFrame:
     without words, null or not, is its end alone. Rows that repeat are learnt from and scored each on its own. A null
     doc_id is in no held-out fold. Without documents there are no rows; with none to learn from, all words are unknown.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "brown")
-    plain = ids_and_texts(docs)
-    counts = scratch.save(word_counts(plain, model), "counts")
-    row = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("c"))), F.lit(0))).collect()[0]
-    tokens, vocabulary, ends = (int(x) for x in row)
-    listed = own_words(counts, tokens, model) if tokens else []
-    own = spark.sparkContext.broadcast({word.encode("utf-8", "surrogatepass"): k for k, (word, _) in enumerate(listed, start=1)})
-    n_types = 1 + len(listed) + model.shapes
-    bigrams = scratch.save(type_bigrams(plain, own, model), "bigrams")
-    classes, _ = exchange(bigrams, n_types, model)
-
-    # Types and classes are bounded by the parameters, so they may be broadcast; words are not, and are joined.
-    chunks = scratch.save(text_chunks(plain, own, model), "chunks")
-    own_types = F.broadcast(spark.createDataFrame([(word, k) for k, (word, _) in enumerate(listed, start=1)], "own string, own_type int"))
-    of_shape = F.broadcast(spark.createDataFrame([(k, int(c)) for k, c in enumerate(classes[1 + len(listed) :])], "shape bigint, shape_class int"))
-    others = counts.where(F.col("word").isNotNull()).join(own_types, F.col("word") == F.col("own"), "left_anti")
-    others = others.select("word", "c", F.xxhash64("word").alias("key"), shape_column(F.col("word"), model).cast("bigint").alias("shape")).join(of_shape, "shape").drop("shape")
-    # Rows of one key, should two words share it, would be one word twice.
-    clustered = others.where(F.col("c") >= model.min_count).groupBy("key").agg(F.min("shape_class").alias("class"))
-    assigned = scratch.save(clustered, "assigned-0")
-    in_chunks = chunks.select("chunk", F.posexplode("words").alias("number", "word"))
-    known = others.select(F.col("word").alias("known"), "c", "key", "shape_class")
-    places = scratch.save(in_chunks.join(known, F.col("word") == F.col("known"), "left").select("chunk", "number", "key", "c", "shape_class", shape_column(F.col("word"), model).cast("bigint").alias("shape")), "places")
-    types = spark.sparkContext.broadcast((classes, len(listed)))
-    assigned, table = cluster_words(chunks, places.where(F.col("c") >= model.min_count).select("chunk", "number", "key"), assigned, types, scratch, model)
-
-    assigned = assigned.withColumnRenamed("class", "word_class")
-    n_own = np.array([c for _, c in listed], dtype=float)
-    of_words = others.join(assigned, "key", "left").groupBy(F.coalesce(F.when(F.col("c") >= model.min_count, F.col("word_class")), "shape_class").alias("class"))
-    totals = {r["class"]: (r["n"], r["v"]) for r in of_words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}  # one row per class
-    own_classes, all_tokens = classes[1 : 1 + len(listed)], float(tokens + vocabulary + 1)
-    of_own = np.bincount(own_classes, weights=n_own, minlength=model.classes + 1), np.bincount(own_classes, minlength=model.classes + 1)
-    size = [(totals.get(c, (0, 0))[0] + of_own[0][c], totals.get(c, (0, 0))[1] + of_own[1][c]) for c in range(model.classes + 1)]
-    weight = np.array([n + model.alpha * (v + 1) for n, v in size])
-    emission = np.concatenate([[0.0], np.log10((n_own + model.alpha) / weight[own_classes])])
-    base = np.concatenate([[np.log10((ends + 1) / all_tokens)], np.log10((n_own + 1) / all_tokens)])
-    steps = spark.sparkContext.broadcast((classes, len(listed), transitions(table, model), weight, emission, base, all_tokens))
-    final = places.join(of_shape.withColumnRenamed("shape_class", "unseen_class"), "shape").join(assigned, "key", "left")
-    word_class = F.coalesce(F.when(F.col("c") >= model.min_count, F.col("word_class")), "shape_class", "unseen_class")
-    found = text_sums(chunks, final.select("chunk", "number", "key", F.coalesce("c", F.lit(0)).cast("bigint").alias("c"), word_class.alias("class")), steps, model)
+    if not 0 < model.classes < 255:
+        raise ValueError("there must be 1 to 254 classes")
+    spark, scratch, n = docs.sparkSession, Scratch(docs.sparkSession, "brown"), model.classes + 1
+    chunks = scratch.save(text_chunks(ids_and_texts(docs), model), "chunks")
+    asked = chunks.agg(F.coalesce(F.sum("words"), F.lit(0))).collect()[0][0]  # one number
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-asked // model.bucket_words))
+    listed, tokens, vocabulary, ends = frequent_words(chunks, buckets, model)
+
+    types = _Types(listed, model)
+    # Rank by rank into the classes, and so the groups of all other words.
+    classes = 1 + np.arange(-1, types.n - 1) % model.classes
+    classes[0] = END_CLASS
+    classes, table = cluster(type_bigrams(chunks, spark.sparkContext.broadcast(types), model), classes, n, model.rounds, model.least_gain)
+    shared = spark.sparkContext.broadcast((types, classes))
+    replies, table = cluster_words(chunks, shared, table, buckets, scratch, model)
+
+    of_frequent = classes[1 : types.first_group]
+    size = class_totals(replies, n) + np.stack([np.bincount(of_frequent, weights=types.counts, minlength=n), np.bincount(of_frequent, minlength=n)])
+    weight = size[0] + model.alpha * (size[1] + 1)
+    steps = spark.sparkContext.broadcast((transitions(table, model), weight, ends, float(tokens + vocabulary + 1)))
+    found = text_sums(chunks, replies, shared, steps, buckets, model)
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(model.folds))
     return found.select(
         "doc_id",
