@@ -1,18 +1,21 @@
 """Files of token ids, compressed by context mixing and range coding.
 
 A file holds documents one after another. Its ids are cut into blocks of ``block_ids``, each coded by a model that
-starts afresh, with a checksum of its own, so blocks can be read alone and damage stays in one. For each id the model
-has an order-2 prediction (what last followed the two ids before), an order-1 prediction (what last followed the id
-before) and an order-0 distribution over classes of ids, learnt as the block goes. The three are mixed: adaptive
-weights of "as order 2 says", "as order 1 says" and "by order 0", in a context of how often either prediction has lately
-held. An arithmetic coder codes the choice with, by order 0, the id's class, and then the id's place in its class. A
-class holds ids of the same leading bits; it is the finer the smaller the ids, as vocabularies list frequent ids first.
+starts afresh, with a checksum of its own, so blocks can be read alone and damage stays in one.
 
-All blocks of a file go through the coder in step, one id of every block at a time, as vector operations over blocks.
-Predictions follow each id; weights and distributions are counted anew at fixed steps.
+The model has three orders. Order 0 counts all ids of the block, order 1 those that followed the id before, order 2 the
+two that last followed the two ids before, with how often, and how often another came. Orders 1 and 0 are mixed by a
+weight that is learnt by how much order 1 has seen in its context: the share of ids that it knew. Order 2 is mixed with
+both by another, learnt from the share it had in the probability of what came. The ids that order 2 names get the mixed
+probability of all three; the rest is an escape, after which the id is coded by the mixture of orders 1 and 0: whether
+order 1 knows it, and then the id by that order's counts.
+
+A block is coded as a few streams, consecutive parts of it that share the block's model: one id of every stream of every
+block of a file goes through the coder at a time, as vector operations. Order 2 and the weights follow each id; the
+counts of orders 1 and 0 are added up at fixed steps.
 
     file:   magic, header (JSON), blocks, documents (doc_id, its ids), directory, footer
-    block:  number of ids, number of code words, crc32 of the ids, code words of 32 bits
+    block:  number of ids, number of streams, crc32 of the ids, code words of each stream, code words of 32 bits
 """
 
 from __future__ import annotations
@@ -24,14 +27,17 @@ from dataclasses import dataclass
 
 import numpy as np
 
-MAGIC = b"IDCM0002"
-BLOCK_IDS = 2048
-_BITS = 10
+MAGIC = b"IDCM0003"
+BLOCK_IDS = 1 << 18
+#: A block has so many streams, or one for each so many ids.
+STREAMS, STREAM_IDS = 128, 512
+_BITS = 16
 _TOTAL = 1 << _BITS
-_SLOTS_LOG = 11
-_CONTEXTS = 8
-_CHOICE_GAIN, _CLASS_GAIN = 4, 4
-_FINE = 3
+#: Rows of order 2 per block, in powers of two; what a row counts to; how much a known id adds to the counts of order 0.
+_SLOTS_LOG, _MOST, _GAIN = 16, 60, 64
+#: Steps between additions, at most; how fast the weight of order 2 follows; what a weight of order 1 counts to.
+_EVERY, _RATE, _LIMIT = 64, 0.02, 200
+_CONTEXTS = 256
 _U64 = np.uint64
 _WORD = _U64(32)
 _LOW32 = _U64(0xFFFFFFFF)
@@ -41,25 +47,8 @@ class IdFileError(ValueError):
     """The file breaks the format or a checksum."""
 
 
-class _Classes:
-    """Classes of ids below ``vocabulary``: those of one bit length and one following few bits, counted from id + 2^few."""
-
-    def __init__(self, vocabulary: int) -> None:
-        offset = 1 << _FINE
-        longest = max(vocabulary - 1, 0) + offset
-        spare = np.arange(longest.bit_length() - _FINE)
-        self.bits = np.repeat(spare, offset)
-        self.first = ((offset + np.tile(np.arange(offset), len(spare))) << self.bits) - offset
-        self.count = len(self.bits)
-        self.of_id = np.repeat(np.arange(self.count), 1 << self.bits)
-        # After the last: an id that a prediction gives.
-        self.bits, self.first = np.append(self.bits, 0), np.append(self.first, 0)
-        #: With few bits, a class and a place in it fit between two outputs of the coder.
-        self.wide = 2 * _BITS + int(self.bits.max()) > 32
-
-
 class _Lanes:
-    """The interval of each lane; its size is kept at 2^32 or more between ids."""
+    """The interval of each lane; its size is kept above 2^32 between symbols."""
 
     def __init__(self, lanes: int) -> None:
         self.size = np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=_U64)
@@ -82,16 +71,16 @@ class _Encoder(_Lanes):
         self.words = np.zeros((lanes, most), dtype=np.uint32)
         self.carries = np.zeros((lanes, most), dtype=np.uint32)
 
-    def put(self, m: int, bits: np.ndarray | int, low: np.ndarray, width: np.ndarray | None = None) -> None:
-        """Narrows the first m lanes to ``width`` parts (one, if not given) of 2^bits."""
-        step = self.size[:m] >> (bits.view(_U64) if isinstance(bits, np.ndarray) else _U64(bits))
+    def put(self, lanes: slice | np.ndarray, step: np.ndarray, low: np.ndarray, width: np.ndarray) -> None:
+        """Narrows lanes to ``width`` steps from ``low`` on."""
         more = step * low.view(_U64)
-        at = self.low[:m]
-        at += more
-        over = np.flatnonzero(at < more)
+        now = self.low[lanes] + more
+        self.low[lanes] = now
+        over = np.flatnonzero(now < more)
         if len(over):
+            over = over if isinstance(lanes, slice) else lanes[over]
             self.carries[over, self.used[over] - 1] += 1
-        self.size[:m] = step if width is None else step * width.view(_U64)
+        self.size[lanes] = step * width.view(_U64)
 
     def shift(self, lanes: np.ndarray) -> None:
         used, low = self.used[lanes], self.low[lanes]
@@ -124,14 +113,13 @@ class _Decoder(_Lanes):
         self.used += 2
         self.code = (self.words[:, 0] << _WORD) | self.words[:, 1]  # counted from the interval's low end
 
-    def target(self, m: int, bits: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-        """Where each lane's code stands, out of 2^bits, and the size of one part."""
-        step = self.size[:m] >> (bits.view(_U64) if isinstance(bits, np.ndarray) else _U64(bits))
-        return (self.code[:m] // step).view(np.int64), step
+    def target(self, lanes: slice | np.ndarray, step: np.ndarray, total: np.ndarray | int) -> np.ndarray:
+        """The step in which each lane's code stands; damaged code may stand beyond them all."""
+        return np.minimum((self.code[lanes] // step).view(np.int64), total - 1)
 
-    def take(self, m: int, step: np.ndarray, low: np.ndarray, width: np.ndarray | None = None) -> None:
-        self.code[:m] -= step * low.view(_U64)
-        self.size[:m] = step if width is None else step * width.view(_U64)
+    def take(self, lanes: slice | np.ndarray, step: np.ndarray, low: np.ndarray, width: np.ndarray) -> None:
+        self.code[lanes] -= step * low.view(_U64)
+        self.size[lanes] = step * width.view(_U64)
 
     def shift(self, lanes: np.ndarray) -> None:
         used = self.used[lanes]
@@ -139,158 +127,238 @@ class _Decoder(_Lanes):
         self.used[lanes] = used + 1
 
 
+class _Counts:
+    """Counts of sorted keys, as sums before each."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.set(keys, counts)
+
+    def set(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys, self.counts = keys, counts
+        self.below = np.concatenate([[0], np.cumsum(counts)])
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Sorted keys, each once."""
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        self.counts[at[known]] += counts[known]
+        self.set(np.insert(self.keys, at[~known], keys[~known]), np.insert(self.counts, at[~known], counts[~known]))
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where keys stand, and their counts, 0 if they are not there."""
+        at = np.searchsorted(self.keys, keys)
+        inside = np.minimum(at, len(self.keys) - 1)
+        return at, self.counts.take(inside) * (self.keys.take(inside) == keys)
+
+
 class _Model:
-    """Predictions, weights and distributions of all lanes. Encoder and decoder drive it alike."""
-
-    def __init__(self, lanes: int, classes: _Classes, reading: bool) -> None:
-        self.n, self.classes, self.reading = lanes, classes, reading
-        self.slots = np.arange(lanes) << _SLOTS_LOG
-        self.contexts = np.arange(lanes) * (_CONTEXTS * 4)
-        self.rows = np.arange(lanes) * (classes.count + 1)
-        self.places = np.arange(lanes) << _BITS
-        # By order 1 and by order 2: what followed last, times two, plus whether that was foreseen.
-        self.seen = [np.zeros(lanes << _SLOTS_LOG, dtype=np.uint32) for _ in range(2)]
+    """Predictions for all lanes, from the tables of their blocks. Encoder and decoder drive it alike.
+
+    Sums, products, quotients and roundings alone make the probabilities, so they are the same on every machine.
+    """
+
+    def __init__(self, of_block: np.ndarray, vocabulary: int) -> None:
+        blocks, lanes = int(of_block.max()) + 1, len(of_block)
+        self.block, self.vocabulary, self.blocks = of_block, vocabulary, blocks
+        self.lanes = np.arange(lanes)
         self.one, self.two = np.zeros(lanes, dtype=_U64), np.zeros(lanes, dtype=_U64)
-        context = np.arange(_CONTEXTS)
-        # Weights to begin with: more for a prediction that held last, none for one that says the same id.
-        begin = np.stack([1 + 8 * (context >> 2), (1 + 4 * (context >> 1 & 1)) * (1 - (context & 1)), np.full(_CONTEXTS, 4)], axis=1)
-        self.choices = np.tile(begin, (lanes, 1))
-        self.counts = np.ones((lanes, classes.count), dtype=np.int64)
-        self.chosen: list[np.ndarray] = []
-        self.fell: list[np.ndarray] = []
-        self.step, self.next = 0, 16
-        self.weigh()
-
-    def weigh(self) -> None:
-        """Counts become ends of the choices and cumulative frequencies of the classes, all of one or more."""
-        ends = np.zeros((len(self.choices), 4), dtype=np.int64)
-        np.cumsum(self.choices, axis=1, out=ends[:, 1:])
-        ends *= _TOTAL - 3
-        ends //= ends[:, 3:] // (_TOTAL - 3)
-        self.ends = (ends + np.arange(4)).ravel()
-        n = self.classes.count
-        below = np.zeros((self.n, n + 1), dtype=np.int64)
-        np.cumsum(self.counts, axis=1, out=below[:, 1:])
-        below *= _TOTAL - n
-        below //= below[:, -1:] // (_TOTAL - n)
-        below += np.arange(n + 1)
-        # The last of a row is no class: it stands for an id that a prediction gives, and has the whole range.
-        parts = np.full((self.n, n + 1), _TOTAL)
-        np.subtract(below[:, 1:], below[:, :-1], out=parts[:, :-1])
-        if self.reading:
-            self.class_at = np.repeat(np.tile(np.arange(n, dtype=np.uint8), self.n), parts[:, :-1].ravel())
-        below[:, -1] = 0
-        self.below, self.parts = below.ravel(), parts.ravel()
+        # Order 2: the two ids that came last, how often each, how often another; its weight by context.
+        self.table = np.zeros((blocks << _SLOTS_LOG, 5), dtype=np.uint16 if vocabulary <= 1 << 16 else np.uint32)
+        self.slots = of_block << _SLOTS_LOG
+        self.weights = np.full(blocks * 16, 0.4)
+        # Order 1: keys of (block, id before, id); and by context how often it knew the id, and did not.
+        self.first = _Counts(np.full(1, np.iinfo(np.int64).max), np.zeros(1, dtype=np.int64))
+        self.starts = np.zeros(blocks * vocabulary + 1, dtype=np.int32)
+        self.known = np.ones((2, blocks * _CONTEXTS))
+        # Order 0: of block and id, each of one or more.
+        self.zero = np.ones(blocks * vocabulary, dtype=np.int64)
+        self.rows = of_block * vocabulary
+        self.came: list[np.ndarray] = []
+        self.step, self.next = 0, 4
+        self.add_up()
+
+    def add_up(self) -> None:
+        self.below = np.concatenate([[0], np.cumsum(self.zero)])
+        self.base = self.below[self.rows]
+        self.total = self.below[self.rows + self.vocabulary] - self.base
 
     def predict(self, m: int) -> None:
-        """For the first m lanes."""
+        """For the first m lanes: the two ids named, which of them count, and the ends of their shares of _TOTAL."""
         one, two = self.one[:m], self.two[:m]
-        keys = (one * _U64(0x9E3779B97F4A7C15), (one + (two << _U64(20))) * _U64(0xD6E8FEB86659FD93))
-        self.slot = [self.slots[:m] + (key >> _U64(64 - _SLOTS_LOG)).view(np.int64) for key in keys]
-        entry = [seen.take(slot).astype(np.int64) for seen, slot in zip(self.seen, self.slot, strict=True)]
-        self.guess = [x >> 1 for x in entry]
-        self.context = self.contexts[:m] + (((entry[1] & 1) << 4) + ((entry[0] & 1) << 3) + ((self.guess[0] == self.guess[1]).view(np.int8) << 2))
-
-    def share(self, choice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where choices begin, and their widths."""
-        begin = self.ends.take(choice)
-        return begin, self.ends.take(choice + 1) - begin
-
-    def interval(self, begin: np.ndarray, share: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of a choice and a class, out of 2^20."""
-        return (begin << _BITS) + share * self.below.take(at), share * self.parts.take(at)
-
-    def learn(self, m: int, ids: np.ndarray, choice: np.ndarray, at: np.ndarray) -> None:
-        """ids: what came; choice and at: the numbers of the choice and the class in the lanes' tables."""
-        double = ids << 1
-        for seen, slot, guess in zip(self.seen, self.slot, self.guess, strict=True):
-            seen[slot] = double + (guess == ids)
+        key = (one + (two << _U64(20))) * _U64(0xD6E8FEB86659FD93)
+        self.slot = self.slots[:m] + (key >> _U64(64 - _SLOTS_LOG)).view(np.int64)
+        self.row = row = self.table.take(self.slot, axis=0).T.astype(np.int64)
+        self.ids, times = row[:2], row[2:4]
+        self.there = there = times > 0
+        seen = times[0] + times[1] + row[4]
+        # Order 1 in its context: first pair, ids seen, how many of them, and the weight that has.
+        self.context_1 = self.rows[:m] + one.view(np.int64)
+        self.begin_1, end_1 = self.starts.take(self.context_1), self.starts.take(self.context_1 + 1)
+        self.below_1 = self.first.below.take(self.begin_1)
+        self.n_1 = n_1 = self.first.below.take(end_1) - self.below_1
+        kinds = np.frexp((end_1 - self.begin_1).astype(float))[1]
+        self.weight_at = self.block[:m] * _CONTEXTS + 16 * np.minimum(np.frexp(n_1.astype(float))[1], 15) + np.minimum(kinds, 15)
+        knew, missed = self.known[0].take(self.weight_at), self.known[1].take(self.weight_at)
+        self.weight_1 = knew / (knew + missed) * (n_1 > 0)
+        # What orders 1 and 0 give the ids that order 2 names, and what order 2 does.
+        by_10 = np.zeros((2, m))
+        some = np.flatnonzero(there)
+        lane, named = some % m, self.ids.take(some)
+        weight, count_1 = self.weight_1[lane], self.first.of(self.context_1[lane] * self.vocabulary + named)[1]
+        by_10.ravel()[some] = weight * count_1 / np.maximum(n_1[lane], 1) + (1.0 - weight) * self.zero.take(self.rows[lane] + named) / self.total[lane]
+        by_2 = times / (seen + 1.0)
+        escape_2, escape_10 = (row[4] + 1.0) / (seen + 1.0), 1.0 - (by_10[0] + by_10[1])
+        self.given = np.concatenate([by_2, escape_2[None]]), np.concatenate([by_10, escape_10[None]])
+        self.context_2 = self.block[:m] * 16 + 4 * np.minimum(seen, 3) + np.minimum(kinds, 3)
+        self.weight_2 = weight = self.weights.take(self.context_2)
+        self.end = end = np.empty((3, m), dtype=np.int64)
+        end[:2] = (weight * by_2 + (1.0 - weight) * by_10) * (_TOTAL - 600)
+        end[:2] += there
+        end[1] += end[0]
+        end[2] = _TOTAL
+
+    def share(self, m: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the share of one of the ids named, or of the escape (2), begins, and its width."""
+        at = which * m + self.lanes[:m]
+        begin = np.where(which > 0, self.end.take(np.maximum(at - m, 0)), 0)
+        return begin, self.end.take(at) - begin
+
+    def knows(self, odd: np.ndarray) -> np.ndarray:
+        """What of _TOTAL it has, for some lanes, that order 1 knows the id; 0 where it has seen none."""
+        weight = self.weight_1[odd]
+        return (weight * (_TOTAL - 64)).astype(np.int64) + 32 * (weight > 0)
+
+    def learn(self, m: int, ids: np.ndarray, which: np.ndarray, odd: np.ndarray, inside: np.ndarray) -> None:
+        """ids: what came; which: the id named that it was, or 2 for the escape, for lanes ``odd``; inside: which of these
+        order 1 knew."""
+        at = which * m + self.lanes[:m]
+        by_2, by_10 = (x.take(at) for x in self.given)
+        mine = self.weight_2 * by_2
+        self.weights[self.context_2] = self.weight_2 + _RATE * (mine / (mine + (1.0 - self.weight_2) * by_10) - self.weight_2)
+        asked = self.n_1[odd] > 0
+        where = self.weight_at[odd[asked]]
+        found = self.known.take(where, axis=1)
+        found[0] += inside[asked]
+        found[1] += ~inside[asked]
+        found *= np.where(found[0] + found[1] > _LIMIT, 0.5, 1.0)
+        self.known[:, where] = found
+        row = self.row
+        hit = (self.ids == ids) & self.there
+        known = hit[0] | hit[1]
+        out = np.empty_like(row)
+        out[0], out[1] = ids, np.where(hit[0], row[1], row[0])
+        out[2] = row[2] * hit[0] + row[3] * hit[1] + 1 + known
+        out[3] = np.where(hit[0], row[3], row[2])
+        out[4] = row[4] + ~known
+        out[2:] >>= (out[2] + out[4] > _MOST).astype(np.int64)
+        self.table[self.slot] = out.T
+        self.came.append(self.context_1 * self.vocabulary + ids)
         self.two[:m] = self.one[:m]
         self.one[:m] = ids
-        self.chosen.append(choice)
-        self.fell.append(at)
         self.step += 1
         if self.step == self.next:
-            chosen = np.bincount(np.concatenate(self.chosen), minlength=len(self.ends)).reshape(-1, 4)
-            self.choices += _CHOICE_GAIN * chosen[:, :3]
-            fell = np.bincount(np.concatenate(self.fell), minlength=len(self.below)).reshape(self.n, -1)
-            self.counts += _CLASS_GAIN * fell[:, :-1]
-            self.weigh()
-            self.chosen, self.fell = [], []
-            self.next += min(self.step, 128)
+            pairs, n = np.unique(np.concatenate(self.came), return_counts=True)
+            self.first.add(pairs, n)
+            of = pairs // self.vocabulary
+            np.add.at(self.zero, of // self.vocabulary * self.vocabulary + pairs % self.vocabulary, _GAIN * n)
+            self.starts = np.concatenate([[0], np.cumsum(np.bincount(self.first.keys[:-1] // self.vocabulary, minlength=self.blocks * self.vocabulary))])
+            self.add_up()
+            self.came = []
+            self.next += min(self.step, _EVERY)
+
 
+def _streams(n: int) -> list[int]:
+    """How many ids each stream of a block of n has."""
+    streams = max(1, min(STREAMS, n // STREAM_IDS))
+    return [(n * (k + 1)) // streams - (n * k) // streams for k in range(streams)]
 
-def _live_lanes(sizes: np.ndarray, steps: int) -> list[int]:
-    """How many lanes, longest first, go on at each step."""
-    return np.searchsorted(-sizes, -np.arange(steps), side="left").tolist()
 
+def _lanes(sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block, length, first id in all blocks on end) of each lane, longest first."""
+    parts = [_streams(n) for n in sizes]
+    block = np.repeat(np.arange(len(sizes)), list(map(len, parts)))
+    length = np.array([n for part in parts for n in part], dtype=np.int64)
+    order = np.argsort(-length, kind="stable")
+    return block[order], length[order], (np.cumsum(length) - length)[order]
 
-def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
-    """The code of each block of one id or more."""
+
+def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[list[bytes]]:
+    """The codes of the streams of each block of one id or more."""
     if not blocks:
         return []
-    order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
-    sizes = np.array([len(blocks[k]) for k in order])
-    n, steps = len(blocks), int(sizes[0])
-    ids = np.zeros((steps, n), dtype=np.uint32)
-    for lane, k in enumerate(order):
-        ids[: len(blocks[k]), lane] = blocks[k]
-    classes = _Classes(vocabulary)
-    model, coder = _Model(n, classes, reading=False), _Encoder(n, steps // 2 + 16)
-    for step, m in enumerate(_live_lanes(sizes, steps)):
-        now = ids[step, :m].astype(np.int64)
+    block, length, first = _lanes([len(b) for b in blocks])
+    steps, every = int(length[0]), np.concatenate(blocks).astype(np.int64)
+    model, coder = _Model(block, vocabulary), _Encoder(len(block), steps // 2 + 16)
+    for step, m in enumerate(np.searchsorted(-length, -np.arange(steps), side="left").tolist()):
+        ids = every.take(first[:m] + step)
         model.predict(m)
-        by_0 = model.guess[1] != now
-        choice = model.context + ((model.guess[0] != now).view(np.int8) + by_0.view(np.int8)) * by_0
-        by_0 &= model.guess[0] != now
-        of = np.where(by_0, classes.of_id.take(now), classes.count)
-        at = model.rows[:m] + of
-        coder.put(m, 2 * _BITS, *model.interval(*model.share(choice), at))
-        if classes.wide:
-            coder.widen(m)
-        coder.put(m, classes.bits.take(of), (now - classes.first.take(of)) * by_0)
+        hit = (model.ids == ids) & model.there
+        which = np.where(hit[0], 0, np.where(hit[1], 1, 2))
+        coder.put(slice(0, m), coder.size[:m] >> _U64(_BITS), *model.share(m, which))
+        coder.widen(m)
+        odd = np.flatnonzero(which == 2)
+        mine = ids[odd]
+        at, count = model.first.of(model.context_1[odd] * vocabulary + mine)
+        inside, knows = count > 0, model.knows(odd)
+        coder.put(odd, coder.size[odd] >> _U64(_BITS), np.where(inside, 0, knows), np.where(inside, knows, _TOTAL - knows))
         coder.widen(m)
-        model.learn(m, now, choice, at)
+        low, total = model.first.below.take(at) - model.below_1[odd], model.n_1[odd]
+        out = np.flatnonzero(~inside)
+        lane, at = odd[out], model.rows[odd[out]] + mine[out]
+        low[out], total[out], count[out] = model.below.take(at) - model.base[lane], model.total[lane], model.zero.take(at)
+        coder.put(odd, coder.size[odd] // total.view(_U64), low, count)
+        coder.widen(m)
+        model.learn(m, ids, which, odd, inside)
     codes = coder.finish()
-    out = [b""] * n
-    for lane, k in enumerate(order):
-        out[k] = codes[lane]
+    out: list[list[bytes]] = [[] for _ in blocks]
+    for lane in np.argsort(first, kind="stable").tolist():
+        out[block[lane]].append(codes[lane])
     return out
 
 
-def decode_blocks(codes: list[np.ndarray], sizes: list[int], vocabulary: int) -> list[np.ndarray]:
+def decode_blocks(codes: list[list[np.ndarray]], sizes: list[int], vocabulary: int) -> list[np.ndarray]:
     if not codes:
         return []
-    order = sorted(range(len(codes)), key=lambda k: -sizes[k])
-    by_lane = np.array([sizes[k] for k in order])
-    n, steps = len(codes), int(by_lane[0])
-    ids = np.zeros((steps, n), dtype=np.uint32)
-    classes = _Classes(vocabulary)
-    model, coder = _Model(n, classes, reading=True), _Decoder([codes[k] for k in order])
-    for step, m in enumerate(_live_lanes(by_lane, steps)):
+    block, length, first = _lanes(sizes)
+    by_lane = [code for part in codes for code in part]
+    if len(by_lane) != len(block):
+        raise IdFileError("a block has another number of streams than it should")
+    steps = int(length[0])
+    every = np.zeros(int(length.sum()), dtype=np.uint32)
+    model, coder = _Model(block, vocabulary), _Decoder([by_lane[k] for k in np.argsort(np.argsort(first, kind="stable"), kind="stable")])
+    for step, m in enumerate(np.searchsorted(-length, -np.arange(steps), side="left").tolist()):
         model.predict(m)
-        target, part = coder.target(m, 2 * _BITS)
-        np.minimum(target, (1 << 2 * _BITS) - 1, out=target)  # damaged code may stand beyond
-        high = target >> _BITS
-        not_2, by_0 = high >= model.ends.take(model.context + 1), high >= model.ends.take(model.context + 2)
-        choice = model.context + (not_2.view(np.int8) + by_0.view(np.int8))
-        begin, share = model.share(choice)
-        place = (target - (begin << _BITS)) // share
-        of = np.where(by_0, model.class_at.take(model.places[:m] + place), classes.count)
-        at = model.rows[:m] + of
-        coder.take(m, part, *model.interval(begin, share, at))
-        if classes.wide:
-            coder.widen(m)
-        place, part = coder.target(m, classes.bits.take(of))
-        coder.take(m, part, place)
+        part = coder.size[:m] >> _U64(_BITS)
+        target = coder.target(slice(0, m), part, _TOTAL)
+        which = (target >= model.end[0]).astype(np.int64) + (target >= model.end[1])
+        coder.take(slice(0, m), part, *model.share(m, which))
         coder.widen(m)
-        now = np.where(by_0, classes.first.take(of) + place, np.where(not_2, model.guess[0], model.guess[1])) & 0xFFFFF
-        ids[step, :m] = now
-        model.learn(m, now, choice, at)
-    out: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * n
-    for lane, k in enumerate(order):
-        out[k] = ids[: sizes[k], lane]
-    return out
+        ids = np.where(which == 0, model.ids[0], model.ids[1])
+        odd = np.flatnonzero(which == 2)
+        knows = model.knows(odd)
+        part = coder.size[odd] >> _U64(_BITS)
+        inside = coder.target(odd, part, _TOTAL) < knows
+        coder.take(odd, part, np.where(inside, 0, knows), np.where(inside, knows, _TOTAL - knows))
+        coder.widen(m)
+        total = np.where(inside, model.n_1[odd], model.total[odd])
+        part = coder.size[odd] // total.view(_U64)
+        target = coder.target(odd, part, total)
+        mine, low, count = np.empty_like(odd), np.empty_like(odd), np.empty_like(odd)
+        of_1, of_0 = np.flatnonzero(inside), np.flatnonzero(~inside)
+        lane = odd[of_1]
+        at = np.minimum(np.searchsorted(model.first.below, model.below_1[lane] + target[of_1], side="right") - 1, len(model.first.keys) - 1)
+        mine[of_1], low[of_1], count[of_1] = model.first.keys.take(at) % vocabulary, model.first.below.take(at) - model.below_1[lane], model.first.counts.take(at)
+        lane = odd[of_0]
+        at = np.searchsorted(model.below, model.base[lane] + target[of_0], side="right") - 1
+        mine[of_0], low[of_0], count[of_0] = at - model.rows[lane], model.below.take(at) - model.base[lane], model.zero.take(at)
+        coder.take(odd, part, low, count)
+        coder.widen(m)
+        ids[odd] = mine
+        every[first[:m] + step] = ids
+        model.learn(m, ids, which, odd, inside)
+    ends = np.cumsum(sizes)
+    return [every[b - n : b] for b, n in zip(ends.tolist(), sizes, strict=True)]
 
 
 _BLOCK, _DOCUMENT, _FOOTER = "<III", "<?qQ", "<QQQI"
@@ -313,10 +381,11 @@ def write_ids(held: Documents, vocabulary: int, block_ids: int = BLOCK_IDS) -> b
     head = json.dumps({"vocabulary": vocabulary, "block_ids": block_ids}).encode()
     out = [MAGIC, struct.pack("<I", len(head)), head]
     at, directory = sum(map(len, out)), []
-    for block, code in zip(blocks, encode_blocks(blocks, vocabulary), strict=True):
+    for block, codes in zip(blocks, encode_blocks(blocks, vocabulary), strict=True):
         directory.append(at)
-        out += [struct.pack(_BLOCK, len(block), len(code) // 4, zlib.crc32(block.astype("<u4").tobytes())), code]
-        at += struct.calcsize(_BLOCK) + len(code)
+        lengths = struct.pack(f"<{len(codes)}I", *[len(c) // 4 for c in codes])
+        out += [struct.pack(_BLOCK, len(block), len(codes), zlib.crc32(block.astype("<u4").tobytes())), lengths, *codes]
+        at += sum(map(len, out[-len(codes) - 2 :]))
     listed = b"".join(struct.pack(_DOCUMENT, d is not None, d or 0, n) for d, n in zip(held.doc_ids, held.lengths.tolist(), strict=True))
     where = struct.pack(f"<{len(directory)}Q", *directory)
     out += [listed, where, struct.pack(_FOOTER, len(held.doc_ids), len(directory), at, zlib.crc32(listed + where)), MAGIC]
@@ -336,8 +405,11 @@ def read_ids(data: bytes) -> Documents:
     documents = list(struct.iter_unpack(_DOCUMENT, tail[: n_docs * struct.calcsize(_DOCUMENT)]))
     codes, sizes, sums = [], [], []
     for place in struct.unpack(f"<{n_blocks}Q", tail[n_docs * struct.calcsize(_DOCUMENT) :]):
-        size, words, crc = struct.unpack_from(_BLOCK, data, place)
-        codes.append(np.frombuffer(data, dtype=">u4", count=words, offset=place + struct.calcsize(_BLOCK)))
+        size, streams, crc = struct.unpack_from(_BLOCK, data, place)
+        place += struct.calcsize(_BLOCK)
+        lengths = struct.unpack_from(f"<{streams}I", data, place)
+        starts = np.cumsum([place + 4 * streams, *[4 * n for n in lengths]]).tolist()
+        codes.append([np.frombuffer(data, dtype=">u4", count=n, offset=start) for n, start in zip(lengths, starts, strict=False)])
         sizes.append(size)
         sums.append(crc)
     blocks = decode_blocks(codes, sizes, vocabulary)
