@@ -23,16 +23,18 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.llm.text import column, fresh, ids_and_texts
+from deltaloom.llm.text import by_place, ids_and_texts, named, place_of
 
 _WORD = re.compile(r"\w+")
 _SENTENCE_END = re.compile(r"[.?!]+\s+")
+#: Sums of block maxima that are held at a time, and postings that go into them, or those of one passage.
+_CELLS = 1 << 21
 
 
 @dataclass(frozen=True)
 class Search:
     """k1 and b are BM25's. threshold: share of an item's own score at which it is retrieved. overlap: share of the
-    five-word shingles of both question and answer that the passage must hold. index_bytes: item text per index; more
+    five-word shingles of both question and answer, or of the whole item, that the passage must hold. index_bytes: item text per index; more
     items are searched as several indexes, each over all documents."""
 
     k1: float = 1.2
@@ -190,11 +192,21 @@ class Index:
         windows, words = keys // self.n_terms, keys % self.n_terms
         sizes = self.starts[words + 1] - self.starts[words]
         ends = np.cumsum(sizes)
-        flat = np.arange(ends[-1]) + np.repeat(self.starts[words] - ends + sizes, sizes)
-        bounds = np.bincount(np.repeat(windows, sizes) * self.n_blocks + self.blocks[flat], weights=self.maxima[flat])
-        cells = np.flatnonzero(bounds >= self.search.threshold - 1e-9)
-        for w in np.unique(cells // self.n_blocks):
-            yield int(w), words[windows == w], cells[cells // self.n_blocks == w] % self.n_blocks
+        # Some windows and postings at a time, so memory follows neither the text's length nor the items.
+        edges = np.flatnonzero(np.concatenate([[True], windows[1:] != windows[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+        lasts, span, k = np.append(edges[1:], len(windows)), max(1, _CELLS // self.n_blocks), 0
+        while k < len(edges):
+            begin, first = int(edges[k]), int(windows[edges[k]])
+            before = int(ends[begin] - sizes[begin])
+            full = min(int(np.searchsorted(ends[lasts - 1], before + _CELLS, side="right")), int(np.searchsorted(windows[edges], first + span)))
+            k = max(k + 1, full)
+            mine = slice(begin, int(lasts[k - 1]))
+            n = sizes[mine]
+            flat = np.arange(int(n.sum())) + np.repeat(self.starts[words[mine]] - ends[mine] + n + before, n)
+            bounds = np.bincount(np.repeat(windows[mine] - first, n) * self.n_blocks + self.blocks[flat], weights=self.maxima[flat])
+            cells = np.flatnonzero(bounds >= self.search.threshold - 1e-9)
+            for w in np.unique(cells // self.n_blocks):
+                yield first + int(w), words[slice(*np.searchsorted(windows, [first + w, first + w + 1]))], cells[cells // self.n_blocks == w] % self.n_blocks
 
     def _wand(self, words: np.ndarray, block: int) -> Iterator[tuple[int, float]]:
         """(item, score) of every item of the block at or above the threshold."""
@@ -239,45 +251,54 @@ class Index:
         for item, start, score in self.candidates(text):
             found = terms(text) if found is None else found
             passage = found[start : start + self.window]
-            overlaps = [containment(part, passage, self.search.shingle) for part in self.parts[item]]
-            if min(overlaps) >= self.search.overlap and (item not in best or score > best[item][2]):
+            question, answer = self.parts[item]
+            overlaps = [containment(part, passage, self.search.shingle) for part in (question, answer)]
+            whole = min(overlaps) >= self.search.overlap or containment(question + answer, passage, self.search.shingle) >= self.search.overlap
+            if whole and (item not in best or score > best[item][2]):
                 best[item] = (self.items[item], start, score, *overlaps)
         return [best[k] for k in sorted(best)]
 
 
-def build_indexes(items: DataFrame, search: Search) -> list[Index]:
-    """One index while the item texts are within ``index_bytes``, else as many as that takes.
+def indexes(items: DataFrame, search: Search) -> Iterator[Index]:
+    """One index while the item texts are within ``index_bytes``, else as many as that takes, one at a time.
 
-    Sizes are checked before anything is collected; document frequencies always are those of all items.
+    Sizes are checked before anything is collected, and the driver holds the texts and the index of one slice; the
+    document frequencies it looks up are those of the slice's own words among all items.
     """
-    listed = items.select(column(items, "item_id").cast("bigint").alias("item_id"), column(items, "text").cast("string").alias("text"))
-    listed = listed.where(F.col("text").isNotNull())
+    listed = named(items, "item_id", "text").select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
+    listed = listed.where(F.col("text").isNotNull()).withColumn("slice_hash", F.xxhash64("item_id", "text"))
     size = listed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()[0][0]  # one number
     slices = max(1, -(-size // search.index_bytes))
-    out, frequency, lengths = [], Counter(), []
-    parts = []
+
+    def found_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [terms(t) for t in batch["text"]]
+            yield pd.DataFrame({"slice": batch["slice"], "length": list(map(len, found)), "words": [sorted(set(x)) for x in found]})
+
+    sliced = listed.select(F.pmod("slice_hash", F.lit(slices)).alias("slice"), "text")
+    words = sliced.mapInPandas(found_in, "slice bigint, length bigint, words array<string>").where("length > 0")
+    n_items, mean = words.agg(F.count(F.lit(1)), F.coalesce(F.avg("length"), F.lit(1.0))).collect()[0]
+    each = words.select("slice", F.explode("words").alias("word"))
+    frequency = each.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     for k in range(slices):
-        part = [(r["item_id"], r["text"]) for r in listed.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).collect()]
+        part = [(r["item_id"], r["text"]) for r in listed.where(F.pmod("slice_hash", F.lit(slices)) == k).collect()]  # index_bytes, or the largest item
         part.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        for _, text in part:
-            found = terms(text)
-            frequency.update(set(found))
-            lengths += [len(found)] if found else []
-        parts.append(part)
-    for part in parts:
-        out.append(Index(part, frequency, max(1, len(lengths)), max(1.0, float(np.mean(lengths)) if lengths else 1.0), search))
-    return out
+        wanted = each.where(F.col("slice") == k).select("word").distinct()
+        known = {r["word"]: r["df"] for r in (frequency.join(wanted, "word") if slices > 1 else frequency).collect()}  # the slice's words
+        yield Index(part, known, max(1, n_items), max(1.0, mean), search)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, search: Search = Search()) -> DataFrame:
     """(doc_id, item_id, passage_start, score, question_overlap, answer_overlap) for every item in every document.
 
+    A single changed word can break all shingles of a short answer, so a passage that holds enough of the whole item's
+    shingles holds the item too.
     All passages of whole texts are queried. Null and empty texts hold nothing; null items are none; a repeated document
     or item is found again for each row. Without items or documents there are no rows.
     """
     schema = "doc_id bigint, item_id bigint, passage_start bigint, score double, question_overlap double, answer_overlap double"
     plain, out = ids_and_texts(docs), None
-    for index in build_indexes(items, search):
+    for index in indexes(items, search):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -305,9 +326,10 @@ def _is_clean(shared: Broadcast):
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, search: Search = Search()) -> DataFrame:
-    """The rows of docs that hold no benchmark item, in docs' columns. Each row is judged alone, without a shuffle."""
-    for index in build_indexes(items, search):
+    """The rows of docs that hold no benchmark item, in docs' columns. Each row is judged alone, without a shuffle: rows
+    that repeat all stay or all go, null and empty texts stay. Without items all stay; without documents there are no rows."""
+    at, out = f"c{place_of(docs, 'text')}", by_place(docs)
+    for index in indexes(items, search):
         clean = _is_clean(docs.sparkSession.sparkContext.broadcast(index))
-        name = fresh(docs, "clean")
-        docs = docs.withColumn(name, clean(column(docs, "text").cast("string"))).where(F.col(name)).drop(name)
-    return docs
+        out = out.withColumn("clean", clean(F.col(at).cast("string"))).where("clean").drop("clean")
+    return out.toDF(*docs.columns)
