@@ -1,36 +1,52 @@
 """License scans by diagonal voting, in DataFrame operations only.
 
-Every rolling k-gram of every text is hashed and joined to the positions of the same k-grams in the templates. Hits that
-keep the same offset between text and template lie on one diagonal; their counts are votes. Neighbouring diagonals, as
-an inserted or dropped word makes them, are merged into one span, which is verified on the words themselves and labels
-the text if it covers enough of the template.
+Every rolling k-gram of every text is hashed and joined to the positions of the same k-grams in the templates; a second
+hash, of the words themselves, must agree too. Hits that keep the same offset between text and template lie on one
+diagonal; their counts are votes. Neighbouring diagonals, as an inserted or dropped word makes them, are merged into one
+span, which is verified: it must cover enough of the template, or hold a long passage of it nearly whole.
+
+Templates are the texts in ``license_texts``, whose file names begin with the label, and the usual short statements, made
+by rule from names of licenses.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from deltaloom.llm.text import column
+from deltaloom.llm.text import named
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GRAM = 5
 #: Diagonals that are at most so many words apart are one span.
 MERGE_WORDS = 8
+#: A span is verified if it has this share of the template's k-grams, or so many, in at most so many words for each.
 MIN_COVERAGE = 0.5
+MIN_VOTES, MOST_WORDS = 40, 1.5
+#: k-grams that templates may have, as they are broadcast.
+MOST_GRAMS = 1_000_000
 
-# Phrases, and passages of licenses, with the labels they stand for.
+# Phrases, and the names and wordings that short statements are made of, with the labels they stand for.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-TEMPLATES = {
-    "mit": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
-        "Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
-        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
-        "Released under the MIT License",
-    ),
+NAMES = {
+    "mit": ("MIT",),
+    "apache": ("Apache",),
+    "bsd": ("BSD",),
+    "isc": ("ISC",),
+    "mpl": ("Mozilla Public",),
+    "gpl": ("GNU General Public",),
+    "lgpl": ("GNU Lesser General Public",),
+    "agpl": ("GNU Affero General Public",),
+}
+STATEMENTS = ("{} under the {} License", "{} under the terms of the {} License")
+VERBS = ("licensed", "released", "distributed", "available", "published", "provided")
+COMMONS = ("Attribution", "Attribution-ShareAlike", "Attribution-NonCommercial", "Attribution-NoDerivatives", "Attribution-NonCommercial-ShareAlike", "Attribution-NonCommercial-NoDerivatives")
+COMMONS_SHORT = ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")
+COMMONS_VERSIONS = ("2.0", "2.5", "3.0", "4.0")
+NOTICES = {
     "apache": (
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain "
         "a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
@@ -43,18 +59,39 @@ TEMPLATES = {
         "Free Software Foundation, either version 3 of the License, or (at your option) any later version",
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
         "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details",
-        "This work is licensed under the GNU General Public License, version 3",
     ),
+    "mit": ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
         "software without specific prior written permission",
     ),
     "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",),
-    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",),
-    "cc": ("This work is licensed under a Creative Commons Attribution", "Licensed under CC BY-NC 4.0"),
 }
 
+
+def statements() -> dict[str, tuple[str, ...]]:
+    """The usual short statements: a verb, a form and a name; and the six Creative Commons licenses in their versions."""
+    out = {label: tuple(form.format(verb, name) for form in STATEMENTS for verb in VERBS for name in names) for label, names in NAMES.items()}
+    long = [f"under {article} Creative Commons {name} {version}" for article in ("a", "the") for name in COMMONS for version in COMMONS_VERSIONS]
+    return out | {"cc": (*long, *[f"under CC {name} {version}" for name in COMMONS_SHORT for version in COMMONS_VERSIONS])}
+
+
+def license_texts() -> dict[str, tuple[str, ...]]:
+    """The whole licenses in the files beside this module."""
+    out: dict[str, tuple[str, ...]] = {}
+    for file in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        label = file.stem.split("-")[0]
+        out[label] = (*out.get(label, ()), file.read_text(encoding="utf-8"))
+    return out
+
+
+@cache
+def templates() -> dict[str, tuple[str, ...]]:
+    found = license_texts(), NOTICES, statements()
+    return {label: tuple(text for each in found for text in each.get(label, ())) for label in sorted({label for each in found for label in each})}
+
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -62,24 +99,33 @@ def word_array(lowered: Column) -> Column:
     return F.array_remove(F.split(lowered, SEPARATORS), "")
 
 
-def _grams(words: str, size: int) -> tuple[Column, Column]:
-    """The hashes of an array column's words, and of its k-grams made from a column ``hashes`` of the former."""
-    hashes = F.transform(F.col(words), lambda w: F.xxhash64(w))
+def _hashes(words: str) -> Column:
+    return F.transform(F.col(words), lambda w: F.xxhash64(w))
+
+
+def _grams(words: str, size: int, *more: Column) -> Column:
+    """The k-grams of an array column: hash of the words' ``hashes``, hash of the words, and further fields."""
     starts = F.sequence(F.lit(0), F.size(words) - size)
-    rolled = F.transform(starts, lambda k: F.xxhash64(*[F.get(F.col("hashes"), k + i) for i in range(size)]))
-    return hashes, F.when(F.size(words) >= size, rolled).otherwise(F.array().cast("array<bigint>"))
 
+    def gram(k: Column) -> Column:
+        at = [k + i for i in range(size)]
+        return F.struct(F.xxhash64(*[F.get(F.col("hashes"), i) for i in at]).alias("gram"), F.hash(*[F.get(F.col(words), i) for i in at]).alias("check"), *more)
 
-def template_grams(spark: SparkSession, templates: dict[str, tuple[str, ...]], size: int) -> DataFrame:
-    """(gram, passage, label, at, gram_text, passage_grams). As large as the templates, which are a parameter."""
-    rows = [(k, label, text) for k, (label, text) in enumerate((label, text) for label, texts in templates.items() for text in texts)]
-    listed = spark.createDataFrame(rows, "passage int, label string, text string")
-    listed = listed.withColumn("words", word_array(F.translate("text", _UPPER, _UPPER.lower())))
+    rolled = F.transform(starts, gram)
+    return F.when(F.size(words) >= size, rolled).otherwise(F.filter(F.array(gram(F.lit(0))), lambda _: F.lit(False)))
+
+
+def template_grams(spark: SparkSession, listed: dict[str, tuple[str, ...]], size: int) -> DataFrame:
+    """(known, known_check, passage, label, at, passage_grams). As large as the templates, which are a parameter."""
+    if sum(len(text.split()) for texts in listed.values() for text in texts) > MOST_GRAMS:
+        raise ValueError(f"templates have more than {MOST_GRAMS} words")
+    rows = [(k, label, text) for k, (label, text) in enumerate((label, text) for label, texts in listed.items() for text in texts)]
+    frame = spark.createDataFrame(rows, "passage int, label string, text string")
+    frame = frame.withColumn("words", word_array(F.translate("text", _UPPER, _UPPER.lower())))
     # A passage shorter than a k-gram can't be found by one.
-    hashes, rolled = _grams("words", size)
-    listed = listed.where(F.size("words") >= size).withColumn("hashes", hashes)
-    flat = listed.select("passage", "label", "words", (F.size("words") - size + 1).alias("passage_grams"), F.posexplode(rolled).alias("at", "gram"))
-    return flat.select("gram", "passage", "label", "at", F.concat_ws(" ", F.slice("words", F.col("at") + 1, size)).alias("gram_text"), "passage_grams")
+    frame = frame.where(F.size("words") >= size).withColumn("hashes", _hashes("words"))
+    flat = frame.select("passage", "label", (F.size("words") - size + 1).alias("passage_grams"), F.posexplode(_grams("words", size)).alias("at", "x"))
+    return flat.select(F.col("x.gram").alias("known"), F.col("x.check").alias("known_check"), "passage", "label", "at", "passage_grams")
 
 
 def _stands(words: str, parts: list[str]):
@@ -98,35 +144,32 @@ def _phrase_places(words: str, lowered: str) -> dict[str, Column]:
     return out
 
 
-def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, size: int = GRAM) -> DataFrame:
+def scan(docs: DataFrame, listed: dict[str, tuple[str, ...]] | None = None, size: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and the best span, for each row.
 
     Null and empty texts have no words, no labels ('') and score 0. score is the share of a template passage that the
-    best span covers, and at least 0.5 where a phrase stands. Rows that repeat are scanned each on its own. Texts are
-    walked once: each row of the exploded table is a k-gram, but for one per text, at -1, that carries its base columns.
+    best verified span covers, and at least 0.5 where there is one or a phrase stands. Rows that repeat are scanned each
+    on its own. Texts are walked once: each row of the exploded table is a k-gram and nothing else of its text, but for
+    one per text, at 0, that has no k-gram and carries its base columns. Work is in proportion to a text's length.
     """
-    lowered = F.translate(F.coalesce(column(docs, "text").cast("string"), F.lit("")), _UPPER, _UPPER.lower())
-    base = docs.select(F.monotonically_increasing_id().alias("row"), column(docs, "doc_id").cast("bigint").alias("doc_id"), lowered.alias("lowered"))
+    lowered = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _UPPER.lower())
+    base = named(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), lowered.alias("lowered"))
     # One-row generators, so that words and hashes are made once and not wherever they are used.
     base = base.select("row", "doc_id", "lowered", F.explode(F.array(word_array(F.col("lowered")))).alias("words"))
     places = _phrase_places("words", "lowered")
-    hashes, rolled = _grams("words", size)
-    starts = F.concat(*places.values())
-    base = base.select(
-        "row",
-        "doc_id",
-        "words",
-        F.explode(F.array(F.struct(hashes.alias("hashes"), starts.alias("starts"), F.concat_ws(",", F.array_sort(F.array_compact(F.array(*[F.when(F.size(p) > 0, label) for label, p in places.items()])))).alias("base_labels")))).alias("x"),
-    ).select("row", "doc_id", "words", "x.hashes", "x.starts", "x.base_labels")
-    rows = base.select("row", "doc_id", "words", "starts", "base_labels", F.posexplode(F.concat(F.array(F.lit(None).cast("bigint")), rolled)).alias("place", "gram"))
-    known = template_grams(docs.sparkSession, templates, size)
-    text = F.concat_ws(" ", F.slice("words", F.col("place"), size))
-    hits = rows.join(F.broadcast(known), "gram", "left").where((F.col("place") == 0) | (F.col("gram_text") == text))
-    head = F.col("place") == 0
+    labels = F.concat_ws(",", F.array_sort(F.array_compact(F.array(*[F.when(F.size(p) > 0, label) for label, p in places.items()]))))
+    info = F.struct("doc_id", F.size("words").cast("bigint").alias("n_words"), F.concat(*places.values()).alias("starts"), labels.alias("base_labels"))
+    base = base.select("row", "words", F.explode(F.array(F.struct(_hashes("words").alias("hashes"), info.alias("base")))).alias("x")).select("row", "words", "x.hashes", "x.base")
+    head = F.struct(F.lit(None).cast("bigint").alias("gram"), F.lit(None).cast("int").alias("check"), F.col("base").alias("base"))
+    nothing = F.when(F.lit(False), F.col("base")).alias("base")
+    rows = base.select("row", F.posexplode(F.concat(F.array(head), _grams("words", size, nothing))).alias("place", "x")).select("row", "place", "x.gram", "x.check", "x.base")
+    known = template_grams(docs.sparkSession, templates() if listed is None else listed, size)
+    # Which hits are of the same words is looked at after the join, as texts without any must stay.
+    hits = rows.join(F.broadcast(known), F.col("gram") == F.col("known"), "left").where((F.col("place") == 0) | (F.col("check") == F.col("known_check")))
     flat = hits.select(
         "row",
         "passage",
-        F.when(head, F.struct("doc_id", F.size("words").cast("bigint").alias("n_words"), "starts", "base_labels")).alias("base"),
+        "base",
         "label",
         "passage_grams",
         "at",
@@ -153,7 +196,8 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, siz
         F.min("begins").alias("begins"),
         (F.max("ends") + size).alias("ends"),
     )
-    verified = F.col("coverage") >= MIN_COVERAGE
+    long = (F.col("votes") >= MIN_VOTES) & (F.col("ends") - F.col("begins") <= MOST_WORDS * F.col("votes"))
+    verified = (F.col("coverage") >= MIN_COVERAGE) | long
     best = F.max(F.when(verified, F.struct("coverage", "label", "begins", "ends")))
     per_text = spans.groupBy("row").agg(F.first("base", ignorenulls=True).alias("base"), F.collect_set(F.when(verified, F.col("label"))).alias("found"), best.alias("best"))
     n_base = F.size("base.starts").cast("bigint")
@@ -166,7 +210,7 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, siz
         F.array_max("base.starts").cast("bigint").alias("last_word"),
         "base.base_labels",
         F.concat_ws(",", F.array_sort(F.array_union(base_list, F.col("found")))).alias("labels"),
-        F.greatest(F.coalesce(F.col("best.coverage"), F.lit(0.0)), F.when(n_base > 0, 0.5).otherwise(0.0)).alias("score"),
+        F.greatest(F.coalesce(F.col("best.coverage"), F.lit(0.0)), F.when((n_base > 0) | F.col("best").isNotNull(), 0.5).otherwise(0.0)).alias("score"),
         F.col("best.begins").cast("bigint").alias("span_begins"),
         F.col("best.ends").cast("bigint").alias("span_ends"),
     )
