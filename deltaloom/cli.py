@@ -25,14 +25,14 @@ def run(config_path: str) -> int:
         print("Comparing ...")
         summary = DiffEngine(config, *frames).run()
     except ConfigError as problem:
-        print(f"\nConfiguration Error:\n{problem}", file=sys.stderr)
+        print(f"\nThe comparison can't be set up:\n{problem}", file=sys.stderr)
         return 1
     except Exception as problem:  # the exit code reports every failure
-        print(f"\nUnexpected System Error:\n{problem}", file=sys.stderr)
+        print(f"\nThe comparison broke off:\n{problem}", file=sys.stderr)
         return 1
     print(f"\n{summary.report_summary}")
     if config.output_path and not summary.is_match:
-        print(f"Artifacts saved to: {Path(config.output_path).absolute()}")
+        print(f"The rows that differ are in {Path(config.output_path).absolute()}")
     return 0 if summary.is_match else 1
 
 

@@ -19,7 +19,7 @@ def _read_yaml(path: Path) -> dict:
     except yaml.YAMLError as problem:
         raise ConfigError(f"{path} is no valid YAML:\n{problem}") from problem
     if not isinstance(content, dict):
-        raise ConfigError("The root of the configuration must be a dictionary.")
+        raise ConfigError(f"{path} must hold a mapping of settings")
     return content
 
 

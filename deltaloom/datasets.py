@@ -7,8 +7,9 @@ import urllib.error
 import urllib.request
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 
 #: Where the sample comes from: pass another address to load_nyc_taxi if this one is not reachable.
 SAMPLE_URL = "https://d37ci6vzurychx.cloudfront.net/trip-data/yellow_tripdata_2024-01.parquet"
@@ -40,7 +41,7 @@ def load_nyc_taxi(spark: SparkSession | None = None, url: str = SAMPLE_URL) -> D
         _download(url, path)
     try:
         return spark.read.parquet(str(path))
-    except PySparkException:
+    except (PySparkException, Py4JJavaError):  # a broken footer comes as the latter
         path.unlink(missing_ok=True)
         _download(url, path)
         return spark.read.parquet(str(path))

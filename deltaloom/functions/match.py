@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,7 @@ from deltaloom.functions.normalize import replace_all
 from deltaloom.functions.types import is_integer, same_type
 from deltaloom.spec import ColumnRule
 
+_BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
 _EDGES = {"left": (r"(?U)^\s+",), "right": (r"(?U)\s+\z",), "both": (r"(?U)^\s+", r"(?U)\s+\z"), "none": ()}
 
 
@@ -67,13 +70,26 @@ def matches(source: Column, target: Column, source_type: T.DataType, target_type
 
 
 def check_value_map(name: str, dtype: T.DataType, mapping: dict[str, str]) -> None:
-    """Rejects entries that no value of the column's type can equal."""
+    """Rejects entries that are no values of the column's type, as they would silently become null."""
     if not mapping or isinstance(dtype, T.StringType):
         return
     if not isinstance(dtype, T.NumericType):
         raise ConfigError(f"value_map of {name} needs a string or numeric column, not {dtype.simpleString()}")
     for text in (*mapping, *mapping.values()):
-        try:
-            float(text)
-        except ValueError:
-            raise ConfigError(f"value_map of {name}: {text!r} is no {dtype.simpleString()}") from None
+        if not _is_value(text.strip(), dtype):
+            raise ConfigError(f"value_map of {name}: {text!r} is no {dtype.simpleString()}")
+
+
+def _is_value(text: str, dtype: T.DataType) -> bool:
+    if is_integer(dtype):
+        bits = _BITS[type(dtype)] - 1
+        return re.fullmatch(r"[+-]?[0-9]+", text) is not None and -(1 << bits) <= int(text) < 1 << bits
+    try:
+        float(text)
+    except ValueError:
+        return False
+    if not isinstance(dtype, T.DecimalType):
+        return True
+    # Rounding would make it another value.
+    number = re.fullmatch(r"[+-]?([0-9]*)\.?([0-9]*)", text)
+    return number is not None and len(number[1].lstrip("0")) <= dtype.precision - dtype.scale and len(number[2].rstrip("0")) <= dtype.scale

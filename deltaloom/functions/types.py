@@ -25,6 +25,9 @@ CAST_TYPES: dict[str, T.DataType] = {
     "Date": T.DateType(),
     "Datetime": T.TimestampNTZType(),
     "Binary": T.BinaryType(),
+    "Categorical": T.StringType(),
+    "Enum": T.StringType(),
+    "Duration": T.LongType(),  # of microseconds
 }
 
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)

@@ -11,11 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deltaloom.errors import DeltaloomError
 from deltaloom.operators.integrity import duplicate_rows
 from deltaloom.plans.diff import DiffEngine
+from deltaloom.report import top_drift
 from deltaloom.sources.ingest import DataIngestor
+from deltaloom.sources.readers import read
 from deltaloom.sources.scratch import Scratch
-from deltaloom.spec import DiffConfig, DiffRule, SourceConfig
+from deltaloom.spec import DiffConfig, DiffRule, DiffSummary, SourceConfig
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -128,6 +131,7 @@ _LINE_KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
          count(*) AS total_rows_source, count(*) AS total_rows_target FROM l""")
 def q05_ignore_columns(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").groupBy(*_LINE_KEYS).agg(F.min("l_quantity").alias("l_quantity"), F.max("l_shipdate").alias("l_shipdate"))
+    lines = Scratch(spark, "lines").save(lines, "lines")  # both sides, and their keys, are read from it
     target = lines.withColumns({"l_quantity": F.expr("l_quantity + CASE WHEN l_orderkey % 13 = 0 THEN 1 ELSE 0 END"), "l_shipdate": F.lit(None).cast("timestamp_ntz")})
     return engine(lines, target, _LINE_KEYS, DiffRule(pattern="^l_ship.*", ignore=True)).counts()
 
@@ -306,7 +310,7 @@ _DRIFTED = "SELECT {key} AS o_orderkey, o_custkey + CASE WHEN o_orderkey % 9 = 0
 _PLAIN = "SELECT {key} AS o_orderkey, o_custkey, o_orderpriority, o_totalprice FROM orders WHERE o_orderkey % 15 <> 4"
 
 
-def _drifted(spark: SparkSession, sf_dir: str) -> DiffEngine:
+def _drifted(spark: SparkSession, sf_dir: str, **settings) -> DiffEngine:
     orders = table(spark, sf_dir, "orders")
     source = orders.where("o_orderkey % 15 <> 4").selectExpr(f"{_KEY.format(k=5)} AS o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice")
     target = orders.where("o_orderkey % 15 <> 3").selectExpr(
@@ -315,7 +319,7 @@ def _drifted(spark: SparkSession, sf_dir: str) -> DiffEngine:
         "CASE WHEN o_orderkey % 4 = 0 THEN lower(o_orderpriority) ELSE o_orderpriority END AS o_orderpriority",
         "o_totalprice",
     )
-    return engine(source, target, "o_orderkey")
+    return engine(source, target, "o_orderkey", **settings)
 
 
 _DRIFT_SIDES = _PLAIN.format(key=_KEY.format(k=5)), _DRIFTED.format(key=_KEY.format(k=7))
@@ -339,25 +343,29 @@ def q24_column_mismatches(spark, sf_dir):
     return _drifted(spark, sf_dir).column_mismatches().select("column", "mismatches")
 
 
-@query(f"""
-  SELECT total_mismatches, mismatch_ratio, mismatch_ratio <= 0.5 AS is_match, total_mismatches = 0 AS is_perfect_match, volume_shift FROM (
+def _summary_row(spark: SparkSession, summary: DiffSummary) -> DataFrame:
+    names = "total_mismatches", "mismatch_ratio", "match_rate_percentage", "is_match", "is_perfect_match", "volume_shift"
+    return spark.createDataFrame(
+        [tuple(getattr(summary, name) for name in names)], "total_mismatches bigint, mismatch_ratio double, match_rate_percentage double, is_match boolean, is_perfect_match boolean, volume_shift bigint"
+    )
+
+
+def _summary_sql(counts: str, threshold: float) -> str:
+    return f"""
+  SELECT *, mismatch_ratio <= CAST({threshold} AS DOUBLE) AS is_match, total_mismatches = 0 AS is_perfect_match, round((1.0 - mismatch_ratio) * 100.0, 2) AS match_rate_percentage FROM (
     SELECT added_count + removed_count + changed_count AS total_mismatches, total_rows_target - total_rows_source AS volume_shift,
-           CAST(added_count + removed_count + changed_count AS DOUBLE) / greatest(total_rows_source, 1) AS mismatch_ratio FROM ({_DRIFT_COUNTS}))""")
+           CAST(added_count + removed_count + changed_count AS DOUBLE) / greatest(total_rows_source, 1) AS mismatch_ratio FROM ({counts}))"""
+
+
+@query(_summary_sql(_DRIFT_COUNTS, 0.5))
 def q25_ratio_verdict(spark, sf_dir):
-    total = F.col("added_count") + F.col("removed_count") + F.col("changed_count")
-    ratio = total.cast("double") / F.greatest(F.col("total_rows_source"), F.lit(1))
-    return _drifted(spark, sf_dir).counts().select(
-        total.alias("total_mismatches"),
-        ratio.alias("mismatch_ratio"),
-        (ratio <= 0.5).alias("is_match"),
-        (total == 0).alias("is_perfect_match"),
-        (F.col("total_rows_target") - F.col("total_rows_source")).alias("volume_shift"),
-    )
+    return _summary_row(spark, _drifted(spark, sf_dir, threshold=0.5).run())
 
 
 @query(f'SELECT "column", mismatches FROM ({_DRIFT_COLUMNS}) ORDER BY mismatches DESC, place LIMIT 2')
 def q26_top_drift(spark, sf_dir):
-    return _drifted(spark, sf_dir).column_mismatches().orderBy(F.desc("mismatches"), "position").limit(2).select("column", "mismatches")
+    summary = _drifted(spark, sf_dir, report_top_columns_limit=2).run()
+    return spark.createDataFrame(top_drift(summary.column_mismatches, summary.report_limit), "column string, mismatches bigint")
 
 
 # -- keys and types -------------------------------------------------------------------------------------------------
@@ -412,6 +420,128 @@ def q32_artifact_changed(spark, sf_dir):
     return _artifact(spark, sf_dir, "changed")
 
 
+@query(f"SELECT c_custkey, c_nationkey AS c_nationkey_source, c_acctbal AS c_acctbal_source, c_acctbal + 1 AS c_acctbal_target, c_nationkey AS c_nationkey_target, TRUE AS c_nationkey_is_match, FALSE AS c_acctbal_is_match FROM customer WHERE c_custkey % 7 = 0")
+def q33_artifact_csv(spark, sf_dir):
+    scratch = Scratch(spark, "artifacts")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    engine(customer, customer.selectExpr("c_custkey", "c_nationkey", f"{_BALANCE} AS c_acctbal"), "c_custkey", output_path=scratch.path("out"), output_format="csv").run()
+    schema = "c_custkey bigint, c_nationkey_source bigint, c_acctbal_source double, c_nationkey_target bigint, c_acctbal_target double, c_nationkey_is_match boolean, c_acctbal_is_match boolean"
+    return spark.read.option("header", True).schema(schema).csv(f"{scratch.path('out')}/changed_rows.csv")
+
+
+# -- what is refused, and verdicts ----------------------------------------------------------------------------------
+
+
+def _outcome(run: Callable[[], object]) -> str:
+    """The name of what a comparison raises, or whether its tables match."""
+    try:
+        found = run()
+    except (DeltaloomError, NotImplementedError) as problem:
+        return type(problem).__name__
+    return ("match" if found.is_match else "mismatch") if isinstance(found, DiffSummary) else "done"
+
+
+_SCHEMA_CASES = {
+    ("exact", "same"): "match",
+    ("exact", "more"): "ConfigError",
+    ("exact", "less"): "ConfigError",
+    ("allow_additions", "more"): "match",
+    ("allow_additions", "less"): "ConfigError",
+    ("allow_removals", "more"): "ConfigError",
+    ("allow_removals", "less"): "match",
+    ("intersection", "more"): "match",
+    ("intersection", "less"): "match",
+}
+
+
+def _values_sql(names: str, rows: list[tuple[str, ...]]) -> str:
+    listed = ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in rows)
+    return f"SELECT * FROM (VALUES {listed}) AS v({names})"
+
+
+@query(_values_sql("schema_mode, target, outcome", [(*case, outcome) for case, outcome in _SCHEMA_CASES.items()]))
+def q34_schema_modes(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    targets = {"same": nation, "more": nation.withColumn("extra", F.lit(1)), "less": nation.drop("n_name")}
+    found = [(mode, which, _outcome(engine(nation, targets[which], "n_nationkey", schema_mode=mode).run)) for mode, which in _SCHEMA_CASES]
+    return spark.createDataFrame(found, "schema_mode string, target string, outcome string")
+
+
+_REFUSED = {
+    "key missing in target": "ConfigError",
+    "key types differ": "ConfigError",
+    "keys repeat in source": "DataIntegrityError",
+    "headers collide": "ConfigError",
+    "names repeat after renaming": "ConfigError",
+    "value map of wrong type": "ConfigError",
+    "format without reader": "NotImplementedError",
+    "format without writer": "NotImplementedError",
+    "unknown csv option": "ConfigError",
+    "no comparable columns": "match",
+}
+
+
+@query(_values_sql('"case", outcome', list(_REFUSED.items())))
+def q35_refusals(spark, sf_dir):
+    nation, path = table(spark, sf_dir, "nation"), f"{sf_dir}/nation.parquet"
+    folded = DiffConfig(primary_keys=["n_nationkey"], normalize_column_names=True)
+    both = nation.select("n_nationkey", F.col("n_name").alias("A"), F.col("n_name").alias(" a"))
+    ingest = lambda source: DataIngestor(folded, source, SourceConfig(path=path, format="parquet"), spark)
+    shifted = nation.withColumn("n_regionkey", F.col("n_regionkey") + 1)
+    cases = {
+        "key missing in target": engine(nation, nation.drop("n_nationkey"), "n_nationkey").run,
+        "key types differ": engine(nation, nation.withColumn("n_nationkey", F.col("n_nationkey").cast("string")), "n_nationkey").run,
+        "keys repeat in source": engine(nation.unionAll(nation), nation, "n_nationkey").run,
+        "headers collide": lambda: ingest(SourceConfig(path=path, format="parquet")).prepare(both, True),
+        "names repeat after renaming": engine(nation, nation, "n_nationkey", DiffRule(column_names=["n_name"], rename_to="n_regionkey")).run,
+        "value map of wrong type": engine(nation, nation, "n_nationkey", DiffRule(column_names=["n_regionkey"], value_map={"1": "1.5"})).run,
+        "format without reader": ingest(SourceConfig(path=path, format="avro")).get_dataframes,
+        "format without writer": engine(nation, shifted, "n_nationkey", output_path=Scratch(spark, "refused").path("out"), output_format="xml").run,
+        "unknown csv option": ingest(SourceConfig(path=path, options={"nope": 1})).get_dataframes,
+        "no comparable columns": engine(nation.select("n_nationkey"), nation, "n_nationkey").run,
+    }
+    return spark.createDataFrame([(name, _outcome(run)) for name, run in cases.items()], '`case` string, outcome string')
+
+
+_LATE = "o_orderkey, o_totalprice + CASE WHEN o_orderkey % 8 = 0 THEN 1 ELSE 0 END AS o_totalprice"
+
+
+@query(" UNION ALL ".join(f"SELECT CAST({t} AS DOUBLE) AS threshold, * EXCLUDE (threshold) FROM (SELECT 0 AS threshold, * FROM ({_summary_sql(count_sql('SELECT o_orderkey, o_totalprice FROM orders', f'SELECT {_LATE} FROM orders', 'o_orderkey', 's.o_totalprice = t.o_totalprice'), t)}))" for t in (0.0, 0.05, 0.2)))
+def q36_threshold(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    found = [_summary_row(spark, engine(orders, orders.selectExpr(*_LATE.split(", ", 1)), "o_orderkey", threshold=t).run()).withColumn("threshold", F.lit(t)) for t in (0.0, 0.05, 0.2)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+_REGION = "CASE n_regionkey WHEN 1 THEN 10 WHEN 2 THEN 1 ELSE n_regionkey END"
+
+
+@query(count_sql(f"SELECT n_nationkey, {_REGION} AS n_regionkey FROM nation", f"SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN n_regionkey ELSE {_REGION} END AS n_regionkey FROM nation", "n_nationkey", "s.n_regionkey = t.n_regionkey"))
+def q37_value_map_on_integers(spark, sf_dir):
+    source = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    target = source.selectExpr("n_nationkey", f"CASE WHEN n_nationkey % 5 = 0 THEN n_regionkey ELSE {_REGION} END AS n_regionkey")
+    return engine(source, target, "n_nationkey", DiffRule(column_names=["n_regionkey"], value_map={"1": "10", "2": "1"})).counts()
+
+
+@query(count_sql("SELECT o_orderkey, CASE WHEN o_orderstatus IN ('O', 'P') THEN NULL ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 OR o_orderstatus IN ('O', 'P') THEN NULL ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders", "o_orderkey", "s.o_orderstatus IS NOT DISTINCT FROM t.o_orderstatus"))
+def q38_default_null_markers(spark, sf_dir):
+    source = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    target = source.selectExpr("o_orderkey", "CASE WHEN o_orderkey % 3 = 0 THEN 'O' ELSE o_orderstatus END AS o_orderstatus", "o_orderpriority")
+    return engine(source, target, "o_orderkey", default_null_values=["O", "P"]).counts()
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 5 = 0 THEN NULL ELSE c_nationkey END AS c_nationkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def q39_csv_null_markers(spark, sf_dir):
+    scratch = Scratch(spark, "csv")
+    marked = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey",
+        "CASE WHEN c_custkey % 3 = 0 THEN 'n/a' WHEN c_custkey % 5 = 0 THEN '-' ELSE CAST(c_nationkey AS string) END AS c_nationkey",
+        "CASE WHEN c_custkey % 4 = 0 THEN '-' ELSE c_mktsegment END AS c_mktsegment",
+    )
+    marked.write.option("header", True).csv(scratch.path("customer"))
+    return read(spark, SourceConfig(path=scratch.path("customer"), options={"null_values": ["n/a", "-"], "multiLine": False}))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders against a drifted copy: keys dropped and added, prices shifted, priorities re-cased and padded."""
     orders = table(spark, sf_dir, "orders")

@@ -24,7 +24,14 @@ from deltaloom.operators.integrity import check_key_types, key_profile
 from deltaloom.sources.sinks import write_artifact
 from deltaloom.spec import ColumnRule, DiffConfig, DiffSummary, resolve
 
-_BOTH, _SOURCE, _TARGET = "_both", "_in_source", "_in_target"
+_BOTH, _SOURCE, _TARGET, _SPREAD = "_both", "_in_source", "_in_target", "_spread"
+
+
+def _spread_nulls(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds a join key that is 0 but where a key is null: such rows never meet another, and need not meet in one task."""
+    null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    hashed = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+    return df.withColumn(_SPREAD, F.when(null, F.xxhash64(*hashed)).otherwise(F.lit(0).cast("bigint")))
 
 
 @dataclass(frozen=True)
@@ -113,7 +120,8 @@ class DiffEngine:
         right = self._frame(target, "t", _TARGET, None if every_column else {c.target for c in self.compared})
         both = F.col(_SOURCE).isNotNull() & F.col(_TARGET).isNotNull()
         flags = {f"m{n}": self._flag(c) for n, c in enumerate(self.compared)}
-        joined = left.join(right, [f"k{n}" for n in range(len(self.config.primary_keys))], "full_outer")
+        keys = [f"k{n}" for n in range(len(self.config.primary_keys))]
+        joined = _spread_nulls(left, keys).join(_spread_nulls(right, keys), [*keys, _SPREAD], "full_outer").drop(_SPREAD)
         return joined.withColumns({_BOTH: both, **flags}) if flags else joined.withColumn(_BOTH, both)
 
     def _changed(self) -> Column:

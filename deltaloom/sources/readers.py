@@ -6,6 +6,7 @@ from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from deltaloom.errors import ConfigError
@@ -32,7 +33,9 @@ _SPARK_CSV_OPTIONS = {
 def read_csv(spark: SparkSession, path: str, options: dict[str, Any]) -> DataFrame:
     """Integers as bigint; dates stay text unless ``try_parse_dates``; quoted empty fields are empty strings.
 
-    Infers once, corrects the schema, and reads again with it, failing on cells that don't fit.
+    Infers once, from all rows, corrects the schema, and reads again with it, failing on cells that don't fit. Quoted
+    line breaks are read by default, so each file is one task; ``multiLine: false`` lets Spark split large files, if
+    their fields have no line breaks. With several null markers all columns are read as text, and cast.
     """
     options = dict(options)
     parse_dates = bool(options.pop("try_parse_dates", False))
@@ -51,12 +54,24 @@ def read_csv(spark: SparkSession, path: str, options: dict[str, Any]) -> DataFra
     if len(markers) == 1:
         settings["nullValue"] = markers[0]
     elif markers:
-        raise ConfigError("CSV null_values takes one marker here; use a rule's null_values for more")
+        return _with_markers(spark.read.options(**settings).csv(path), markers)
     inferred = spark.read.options(**settings, inferSchema=True).csv(path).schema
     schema = T.StructType([T.StructField(f.name, _corrected(f.dataType, parse_dates), True) for f in inferred])
     return spark.read.options(**settings).schema(schema).csv(path)
 
 
+def _with_markers(raw: DataFrame, markers: list[str]) -> DataFrame:
+    """Text columns with each marker as null, cast to the first of bigint, double and boolean that fits all values."""
+    names = raw.columns
+    plain = raw.toDF(*[f"c{k}" for k in range(len(names))])
+    plain = plain.select(*[F.when(~F.col(c).isin(markers), F.col(c)).alias(c) for c in plain.columns])
+    fits = {"bigint": r"^[+-]?[0-9]+$", "double": r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$", "boolean": r"^(?i:true|false)$"}
+    tests = [(c, kind, F.count(c) == F.count_if(F.col(c).rlike(pattern) & F.col(c).try_cast(kind).isNotNull())) for c in plain.columns for kind, pattern in fits.items()]
+    row = plain.agg(*[test.alias(f"{c}_{kind}") for c, kind, test in tests], *[F.count(c).alias(c) for c in plain.columns]).collect()[0] if names else {}
+    kinds = {c: next((kind for kind in fits if row[c] and row[f"{c}_{kind}"]), "string") for c in plain.columns}
+    return plain.select(*[F.col(c).cast(kind) for c, kind in kinds.items()]).toDF(*names)
+
+
 def _corrected(inferred: T.DataType, parse_dates: bool) -> T.DataType:
     if isinstance(inferred, T.IntegerType):
         return T.LongType()
@@ -76,7 +91,7 @@ READERS: dict[str, Callable[[SparkSession, str, dict[str, Any]], DataFrame]] = {
 
 def reader_for(kind: str) -> Callable[[SparkSession, str, dict[str, Any]], DataFrame]:
     if kind not in READERS:
-        raise NotImplementedError(f"Support for '{kind}' is planned but not yet implemented.")
+        raise NotImplementedError(f"No reader for {kind!r}: {' and '.join(READERS)} can be read")
     return READERS[kind]
 
 

@@ -9,10 +9,18 @@ from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
+from deltaloom.errors import ConfigError
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only if that is unset, as in local tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}").rstrip("/")
+    """The session's ``spark.checkpoint.dir``. If that is unset, a temporary folder, where all executors are this process;
+    on a cluster an error, as each executor would write to a disk of its own."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ConfigError(f"spark.checkpoint.dir must name a folder that all executors of {master or 'the cluster'} share")
+    return f"file://{tempfile.gettempdir()}"
 
 
 class Scratch:

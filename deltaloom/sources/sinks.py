@@ -13,7 +13,7 @@ def write_artifact(df: DataFrame, rows: int, folder: str, name: str, kind: str)
     if not rows:
         return
     if kind not in ("csv", "parquet"):
-        raise NotImplementedError(f"Export support for format '{kind}' is not yet implemented.")
+        raise NotImplementedError(f"No writer for {kind!r}: csv and parquet can be written")
     writer = df.write.mode("overwrite")
     path = f"{folder.rstrip('/')}/{name}.{kind}"
     writer.option("header", True).csv(path) if kind == "csv" else writer.parquet(path)

@@ -130,10 +130,102 @@ def test_yaml_csv_and_exit_codes(spark, tmp_path, capsys):
     left, right = DataIngestor(config, source, target, spark).get_dataframes()
     assert left.dtypes[0] == ("id", "bigint")
     assert DiffEngine(config, left, right).run().changed_count == 1  # null against the empty string
-    for argv, code in ((["run", "-c", str(tmp_path / "none.yaml")], 1),):
-        with pytest.raises(SystemExit) as end:
-            main(argv)
-        assert end.value.code == code and "Configuration Error" in capsys.readouterr().err
+    with pytest.raises(SystemExit) as end:
+        main(["run", "-c", str(tmp_path / "none.yaml")])
+    assert end.value.code == 1 and "can't be set up" in capsys.readouterr().err
+
+
+def run_cli(path):
+    with pytest.raises(SystemExit) as end:
+        main(["run", "-c", str(path)])
+    return end.value.code
+
+
+def test_cli_from_files_to_artifacts(spark, tmp_path, capsys):
+    (tmp_path / "s.csv").write_text("id,name,price\n1,a,1.5\n2,b,2.5\n3,c,3.5\n")
+    (tmp_path / "t.csv").write_text("id,name,price\n1,A,1.5\n2,b,2.6\n4,d,4.5\n")
+    sides = f"source: {{path: {tmp_path}/s.csv}}\ntarget: {{path: {tmp_path}/%s.csv}}\nprimary_keys: [id]\noutput_path: {tmp_path}/out\n"
+    (tmp_path / "same.yaml").write_text(sides % "s")
+    assert run_cli(tmp_path / "same.yaml") == 0
+    said = capsys.readouterr().out
+    assert "PASSED (Perfect Match)" in said and str(tmp_path / "out") not in said and not (tmp_path / "out").exists()
+    (tmp_path / "other.yaml").write_text(sides % "t" + "rules:\n  - {column_names: [name], case_insensitive: true}\n  - {column_names: [price], absolute_tolerance: 0.01}\n")
+    assert run_cli(tmp_path / "other.yaml") == 1
+    said = capsys.readouterr().out
+    assert "FAILED" in said and "price: 1 mismatches" in said and str(tmp_path / "out") in said
+    assert [[r.id for r in spark.read.parquet(f"{tmp_path}/out/{n}_rows.parquet").collect()] for n in ("added", "removed", "changed")] == [[4], [3], [2]]
+    (tmp_path / "mild.yaml").write_text((tmp_path / "other.yaml").read_text() + "threshold: 1.0\n")
+    assert run_cli(tmp_path / "mild.yaml") == 0
+    (tmp_path / "broken.yaml").write_text(sides % "nowhere")
+    assert run_cli(tmp_path / "broken.yaml") == 1 and "broke off" in capsys.readouterr().err
+
+
+def test_csv_artifacts(spark, tmp_path):
+    out = str(tmp_path / "out")
+    compare(spark, [(1, "a"), (2, 'b "x", y')], [(2, "x"), (3, None)], "id long, v string", output_path=out, output_format="csv").run()
+    found = {n: [tuple(r) for r in spark.read.option("header", True).option("escape", "\\").csv(f"{out}/{n}_rows.csv").collect()] for n in ("added", "removed", "changed")}
+    assert found == {"added": [("3", None)], "removed": [("1", "a")], "changed": [("2", 'b "x", y', "x", "false")]}
+
+
+def test_csv_null_markers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,n,x,b,s,none\n1,-,n/a,true,a,-\n2,5,1.5,-,-,n/a\n")
+    found = reader_for("csv")(spark, str(tmp_path / "a.csv"), {"null_values": ["-", "n/a"]})
+    assert [t for _, t in found.dtypes] == ["bigint", "bigint", "double", "boolean", "string", "string"]
+    assert [tuple(r) for r in found.collect()] == [(1, None, None, True, "a", None), (2, 5, 1.5, None, None, None)]
+
+
+@pytest.mark.parametrize(("kind", "good", "bad"), [("long", {"1": "-2"}, {"1": "1.5"}), ("byte", {"1": "127"}, {"1": "128"}), ("double", {"1": "1.5"}, {"a": "1"}), ("decimal(4,1)", {"1": "100.5"}, {"1": "0.25"}), ("boolean", None, {"1": "0"})])
+def test_value_map_entries_are_values_of_the_column(spark, kind, good, bad):
+    if good:
+        assert counts(compare(spark, [], [], f"id long, v {kind}", DiffRule(column_names=["v"], value_map=good))) == (0, 0, 0)
+    with pytest.raises(ConfigError, match="value_map"):
+        compare(spark, [], [], f"id long, v {kind}", DiffRule(column_names=["v"], value_map=bad)).run()
+
+
+def test_null_keys_are_spread(spark):
+    """Rows with a null key never meet, and are not sent to one task for it."""
+    rows = [(None, None, k) for k in range(400)] + [(1, None, 7), (1, 1, 8)]
+    e = compare(spark, rows[:1], rows[:1], "a long, b long, v long", keys=("a", "b"))
+    assert counts(e) == (1, 1, 0)
+    frames = [spark.createDataFrame(rows, "a long, b long, v long").repartition(4) for _ in range(2)]
+    joined = DiffEngine(DiffConfig(primary_keys=["a", "b"]), *frames)._joined(False)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        sizes = joined.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", True)
+    assert sum(sizes) == 2 * 401 + 1 and max(sizes) < 400
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from deltaloom.sources.scratch import shared_folder
+
+    class Session:
+        def __init__(self, **settings):
+            self.conf = {k.replace("_", "."): v for k, v in settings.items()}
+
+    assert shared_folder(Session(spark_checkpoint_dir="s3a://x/y/", spark_master="yarn")) == "s3a://x/y"
+    assert shared_folder(Session(spark_master="local[4]")).startswith("file:")
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ConfigError):
+            shared_folder(Session(spark_master=master))
+
+
+def test_sample_is_cached_read_again_and_replaced_if_corrupt(spark, tmp_path, monkeypatch):
+    from deltaloom import datasets
+
+    monkeypatch.setattr(datasets, "cache_folder", lambda: tmp_path / "cache")
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "made"))
+    url = next((tmp_path / "made").glob("*.parquet")).as_uri()
+    assert datasets.load_nyc_taxi(spark, url).count() == 5
+    assert datasets.load_nyc_taxi(spark, "file:///nowhere").count() == 5  # from the cache
+    (tmp_path / "cache" / "nyc_taxi.parquet").write_bytes(b"no parquet file")
+    (tmp_path / "cache" / ".nyc_taxi.parquet.crc").unlink(missing_ok=True)
+    assert datasets.load_nyc_taxi(spark, url).count() == 5
+    (tmp_path / "cache" / "nyc_taxi.parquet").unlink()
+    with pytest.raises(RuntimeError):
+        datasets.load_nyc_taxi(spark, "file:///nowhere")
+    assert not list((tmp_path / "cache").glob("nyc*"))
 
 
 def test_configuration_errors(tmp_path):
