@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from deltaloom.errors import ConfigError
 
 
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``. If that is unset, a temporary folder, where all executors are this process;
     on a cluster an error, as each executor would write to a disk of its own."""
@@ -40,7 +43,13 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        """Writes and rereads. What the write has shuffled is freed at once: nothing reads it any more."""
+        before = self.spark.conf.get(_FREE, "false")
+        self.spark.conf.set(_FREE, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        finally:
+            self.spark.conf.set(_FREE, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str | None = None) -> None:
