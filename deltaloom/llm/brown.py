@@ -46,7 +46,7 @@ class BrownModel:
     weight of the plain class distribution in a transition. chunk_tokens and chunk_words: a chunk ends at so many tokens,
     or distinct words. bucket_words: words that chunks ask of a bucket, on average."""
 
-    classes: int = 32
+    classes: int = 64
     frequent: int = 1000
     groups: int = 256
     rounds: int = 10
@@ -59,7 +59,7 @@ class BrownModel:
     held_fold: int = 2
     chunk_tokens: int = 1_000_000
     chunk_words: int = 250_000
-    bucket_words: int = 100_000
+    bucket_words: int = 50_000
 
 
 _BINS = 64
@@ -157,7 +157,7 @@ def dealt(rows: DataFrame, buckets: int) -> DataFrame:
 # -- frequent words -------------------------------------------------------------------------------------------------
 
 
-def frequent_words(chunks: DataFrame, buckets: int, model: BrownModel) -> tuple[list[tuple[int, int]], int, int, int]:
+def frequent_words(chunks: DataFrame, buckets: int, scratch: Scratch, model: BrownModel) -> tuple[list[tuple[int, int]], int, int, int]:
     """((key, count) of the most frequent words, all training tokens, distinct words, ends of texts)."""
     names = {"bucket": pa.int32(), "packed": pa.binary()}
     top = {"key": pa.int64(), "c": pa.int64(), "v": pa.int64(), "ends": pa.int64()}
@@ -196,12 +196,12 @@ def frequent_words(chunks: DataFrame, buckets: int, model: BrownModel) -> tuple[
         yield _rows(top, [*rows, (None, int(n.sum()), len(keys), ends)])
 
     sent = dealt(chunks.select("packed").mapInArrow(send, "bucket int, packed binary"), buckets)
-    found = sent.mapInArrow(add, "key bigint, c bigint, v bigint, ends bigint").orderBy(F.col("key").isNull().desc(), F.desc("c"), "key")
-    # One row of totals for each bucket, and so many of words.
-    rows = found.limit(buckets + model.frequent).collect()
-    totals = [sum(r[name] for r in rows if r["key"] is None) for name in ("c", "v", "ends")]
-    words = [(r["key"] % (1 << 64), r["c"]) for r in rows if r["key"] is not None][: model.frequent]
-    return words, totals[0] + totals[2], totals[1] + int(totals[2] > 0), totals[2]
+    found = scratch.save(sent.mapInArrow(add, "key bigint, c bigint, v bigint, ends bigint"), "top")
+    sums = [F.coalesce(F.sum(name), F.lit(0)) for name in ("c", "v", "ends")]
+    n, distinct, ends = found.where("key IS NULL").agg(*sums).collect()[0]
+    # In few partitions, each of which sends the driver as many rows as it asks for.
+    rows = found.where("key IS NOT NULL").select("key", "c").coalesce(_BINS).orderBy(F.desc("c"), "key").limit(model.frequent).collect()
+    return [(r["key"] % (1 << 64), r["c"]) for r in rows], n + ends, distinct + int(ends > 0), ends
 
 
 class _Types:
@@ -480,7 +480,7 @@ def score(docs: DataFrame, model: BrownModel = BrownModel()) -> DataFrame:
     chunks = scratch.save(text_chunks(ids_and_texts(docs), model), "chunks")
     asked = chunks.agg(F.coalesce(F.sum("words"), F.lit(0))).collect()[0][0]  # one number
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-asked // model.bucket_words))
-    listed, tokens, vocabulary, ends = frequent_words(chunks, buckets, model)
+    listed, tokens, vocabulary, ends = frequent_words(chunks, buckets, scratch, model)
 
     types = _Types(listed, model)
     # Rank by rank into the classes, and so the groups of all other words.
