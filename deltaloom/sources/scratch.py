@@ -5,7 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from contextlib import suppress
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}"
 
 
+_OPEN: list[Scratch] = []
+
+
+@contextmanager
+def freed_after() -> Iterator[None]:
+    """Drops, at the end, all scratch tables made inside: for callers that have by then written what they need of them."""
+    before = len(_OPEN)
+    try:
+        yield
+    finally:
+        while len(_OPEN) > before:
+            _OPEN.pop().drop()
+
+
 class Scratch:
     """A folder of its own under the shared folder.
 
@@ -38,6 +53,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/deltaloom-{purpose}-{uuid.uuid4().hex}"
         atexit.register(self._forget)
+        _OPEN.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

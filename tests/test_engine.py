@@ -211,6 +211,20 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
             shared_folder(Session(spark_master=master))
 
 
+def test_scratch_tables_are_freed_with_what_they_shuffled(spark, tmp_path):
+    from pathlib import Path
+
+    from deltaloom.sources.scratch import Scratch, freed_after
+
+    kept = Scratch(spark, "kept")
+    with freed_after():
+        inner = Scratch(spark, "inner")
+        found = kept.save(inner.save(spark.range(1000).repartition(4, "id"), "a").groupBy().count(), "b")
+        assert Path(inner.root.removeprefix("file://")).exists()
+    assert not Path(inner.root.removeprefix("file://")).exists() and found.collect()[0][0] == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
 def test_sample_is_cached_read_again_and_replaced_if_corrupt(spark, tmp_path, monkeypatch):
     from deltaloom import datasets
 
