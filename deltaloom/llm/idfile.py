@@ -3,16 +3,16 @@
 A file holds documents one after another. Its ids are cut into blocks of ``block_ids``, each coded by a model that
 starts afresh, with a checksum of its own, so blocks can be read alone and damage stays in one.
 
-The model has three orders. Order 0 counts all ids of the block, order 1 those that followed the id before, order 2 the
-two that last followed the two ids before, with how often, and how often another came. Orders 1 and 0 are mixed by a
-weight that is learnt by how much order 1 has seen in its context: the share of ids that it knew. Order 2 is mixed with
-both by another, learnt from the share it had in the probability of what came. The ids that order 2 names get the mixed
-probability of all three; the rest is an escape, after which the id is coded by the mixture of orders 1 and 0: whether
-order 1 knows it, and then the id by that order's counts.
+The model has three orders. Order 0 counts all ids of the block, order 1 those that followed the id before, and order 2
+has, for the two ids before, the one that last proved right, with how often it came and how often another. Orders 1 and
+0 are mixed by a weight that is learnt by how much order 1 has seen in its context: the share of ids that it knew. Order
+2 is mixed with both by another, learnt from the share it had in the probability of what came. The id that order 2 names
+gets the mixed probability of all three; the rest is an escape, after which the id is coded by the mixture of orders 1
+and 0: whether order 1 knows it, and then the id by that order's counts.
 
-A block is coded as a few streams, consecutive parts of it that share the block's model: one id of every stream of every
-block of a file goes through the coder at a time, as vector operations. Order 2 and the weights follow each id; the
-counts of orders 1 and 0 are added up at fixed steps.
+A block is coded as many streams, consecutive parts of it that share the block's model: one id of every stream of every
+block of a file goes through the coder at a time, as vector operations. What has come is learnt at fixed steps, after
+which all predictions stand until the next, so the encoder makes those of many steps at once.
 
     file:   magic, header (JSON), blocks, documents (doc_id, its ids), directory, footer
     block:  number of ids, number of streams, crc32 of the ids, code words of each stream, code words of 32 bits
@@ -33,11 +33,10 @@ BLOCK_IDS = 1 << 18
 STREAMS, STREAM_IDS = 128, 512
 _BITS = 16
 _TOTAL = 1 << _BITS
-#: Rows of order 2 per block, in powers of two; what a row counts to; how much a known id adds to the counts of order 0.
-_SLOTS_LOG, _MOST, _GAIN = 16, 60, 64
-#: Steps between additions, at most; how fast the weight of order 2 follows; what a weight of order 1 counts to.
-_EVERY, _RATE, _LIMIT = 64, 0.02, 200
-_CONTEXTS = 256
+#: Slots of order 2 per block, in powers of two; what a slot counts to; how much a known id adds to the counts of order 0.
+_SLOTS_LOG, _MOST, _GAIN = 17, 200, 64
+#: Steps between learning, at most; kinds of slots of order 2 and of contexts of order 1, that have weights of their own.
+_EVERY, _KINDS_2, _KINDS_1 = 128, 65, 256
 _U64 = np.uint64
 _WORD = _U64(32)
 _LOW32 = _U64(0xFFFFFFFF)
@@ -127,6 +126,14 @@ class _Decoder(_Lanes):
         self.used[lanes] = used + 1
 
 
+def _in_order(keys: np.ndarray) -> np.ndarray:
+    """The order of keys, equal ones as they stand. Keys and places sort as one number where both fit in it."""
+    bits = len(keys).bit_length()
+    if len(keys) and int(keys.max()) >> (62 - bits):
+        return np.argsort(keys, kind="stable")
+    return np.sort((keys << bits) + np.arange(len(keys))) & ((1 << bits) - 1)
+
+
 class _Counts:
     """Counts of sorted keys, as sums before each."""
 
@@ -146,126 +153,123 @@ class _Counts:
         self.set(np.insert(self.keys, at[~known], keys[~known]), np.insert(self.counts, at[~known], counts[~known]))
 
     def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where keys stand, and their counts, 0 if they are not there."""
-        at = np.searchsorted(self.keys, keys)
-        inside = np.minimum(at, len(self.keys) - 1)
-        return at, self.counts.take(inside) * (self.keys.take(inside) == keys)
+        """Where keys stand, and their counts, 0 if they are not there. Looked up in order, which is much faster."""
+        order = _in_order(keys)
+        found = keys[order]
+        places = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
+        at, counts = np.empty_like(keys), np.empty_like(keys)
+        at[order], counts[order] = places, self.counts.take(places) * (self.keys.take(places) == found)
+        return at, counts
 
 
 class _Model:
-    """Predictions for all lanes, from the tables of their blocks. Encoder and decoder drive it alike.
+    """Predictions from the tables of blocks. Encoder and decoder drive it alike.
 
-    Sums, products, quotients and roundings alone make the probabilities, so they are the same on every machine.
+    Sums, products, quotients and roundings alone make the probabilities, so they are the same on every machine. Lanes
+    are given by their blocks, in arrays of any shape.
     """
 
-    def __init__(self, of_block: np.ndarray, vocabulary: int) -> None:
-        blocks, lanes = int(of_block.max()) + 1, len(of_block)
-        self.block, self.vocabulary, self.blocks = of_block, vocabulary, blocks
-        self.lanes = np.arange(lanes)
-        self.one, self.two = np.zeros(lanes, dtype=_U64), np.zeros(lanes, dtype=_U64)
-        # Order 2: the two ids that came last, how often each, how often another; its weight by context.
-        self.table = np.zeros((blocks << _SLOTS_LOG, 5), dtype=np.uint16 if vocabulary <= 1 << 16 else np.uint32)
-        self.slots = of_block << _SLOTS_LOG
-        self.weights = np.full(blocks * 16, 0.4)
-        # Order 1: keys of (block, id before, id); and by context how often it knew the id, and did not.
+    def __init__(self, blocks: int, vocabulary: int) -> None:
+        self.vocabulary, self.blocks = vocabulary, blocks
+        # Order 2, by slot: the id named, how often it came and how often another, its kind (0: none named), and what
+        # orders 1 and 0 gave it when it was last looked at. By kind: how often it came or not, and the weight's share.
+        slots = blocks << _SLOTS_LOG
+        self.named = np.zeros(slots, dtype=np.uint16 if vocabulary <= 1 << 16 else np.uint32)
+        self.hits, self.misses, self.kind_2 = (np.zeros(slots, dtype=np.uint8) for _ in range(3))
+        self.by_10 = np.zeros(slots, dtype=np.float32)
+        self.came = np.ones((2, blocks * _KINDS_2))
+        self.share = np.tile([[0.5], [1.0]], blocks * _KINDS_2)
+        # Order 1: keys of (block, id before, id); sums before each context; and by kind how often it knew the id or not.
         self.first = _Counts(np.full(1, np.iinfo(np.int64).max), np.zeros(1, dtype=np.int64))
-        self.starts = np.zeros(blocks * vocabulary + 1, dtype=np.int32)
-        self.known = np.ones((2, blocks * _CONTEXTS))
+        self.below_1 = np.zeros(blocks * vocabulary + 1, dtype=np.int64)
+        self.kind_1 = np.zeros(blocks * vocabulary, dtype=np.uint8)
+        self.known = np.ones((2, blocks * _KINDS_1))
         # Order 0: of block and id, each of one or more.
         self.zero = np.ones(blocks * vocabulary, dtype=np.int64)
-        self.rows = of_block * vocabulary
-        self.came: list[np.ndarray] = []
-        self.step, self.next = 0, 4
-        self.add_up()
-
-    def add_up(self) -> None:
-        self.below = np.concatenate([[0], np.cumsum(self.zero)])
-        self.base = self.below[self.rows]
-        self.total = self.below[self.rows + self.vocabulary] - self.base
-
-    def predict(self, m: int) -> None:
-        """For the first m lanes: the two ids named, which of them count, and the ends of their shares of _TOTAL."""
-        one, two = self.one[:m], self.two[:m]
-        key = (one + (two << _U64(20))) * _U64(0xD6E8FEB86659FD93)
-        self.slot = self.slots[:m] + (key >> _U64(64 - _SLOTS_LOG)).view(np.int64)
-        self.row = row = self.table.take(self.slot, axis=0).T.astype(np.int64)
-        self.ids, times = row[:2], row[2:4]
-        self.there = there = times > 0
-        seen = times[0] + times[1] + row[4]
-        # Order 1 in its context: first pair, ids seen, how many of them, and the weight that has.
-        self.context_1 = self.rows[:m] + one.view(np.int64)
-        self.begin_1, end_1 = self.starts.take(self.context_1), self.starts.take(self.context_1 + 1)
-        self.below_1 = self.first.below.take(self.begin_1)
-        self.n_1 = n_1 = self.first.below.take(end_1) - self.below_1
-        kinds = np.frexp((end_1 - self.begin_1).astype(float))[1]
-        self.weight_at = self.block[:m] * _CONTEXTS + 16 * np.minimum(np.frexp(n_1.astype(float))[1], 15) + np.minimum(kinds, 15)
-        knew, missed = self.known[0].take(self.weight_at), self.known[1].take(self.weight_at)
-        self.weight_1 = knew / (knew + missed) * (n_1 > 0)
-        # What orders 1 and 0 give the ids that order 2 names, and what order 2 does.
-        by_10 = np.zeros((2, m))
-        some = np.flatnonzero(there)
-        lane, named = some % m, self.ids.take(some)
-        weight, count_1 = self.weight_1[lane], self.first.of(self.context_1[lane] * self.vocabulary + named)[1]
-        by_10.ravel()[some] = weight * count_1 / np.maximum(n_1[lane], 1) + (1.0 - weight) * self.zero.take(self.rows[lane] + named) / self.total[lane]
-        by_2 = times / (seen + 1.0)
-        escape_2, escape_10 = (row[4] + 1.0) / (seen + 1.0), 1.0 - (by_10[0] + by_10[1])
-        self.given = np.concatenate([by_2, escape_2[None]]), np.concatenate([by_10, escape_10[None]])
-        self.context_2 = self.block[:m] * 16 + 4 * np.minimum(seen, 3) + np.minimum(kinds, 3)
-        self.weight_2 = weight = self.weights.take(self.context_2)
-        self.end = end = np.empty((3, m), dtype=np.int64)
-        end[:2] = (weight * by_2 + (1.0 - weight) * by_10) * (_TOTAL - 600)
-        end[:2] += there
-        end[1] += end[0]
-        end[2] = _TOTAL
-
-    def share(self, m: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the share of one of the ids named, or of the escape (2), begins, and its width."""
-        at = which * m + self.lanes[:m]
-        begin = np.where(which > 0, self.end.take(np.maximum(at - m, 0)), 0)
-        return begin, self.end.take(at) - begin
-
-    def knows(self, odd: np.ndarray) -> np.ndarray:
-        """What of _TOTAL it has, for some lanes, that order 1 knows the id; 0 where it has seen none."""
-        weight = self.weight_1[odd]
-        return (weight * (_TOTAL - 64)).astype(np.int64) + 32 * (weight > 0)
-
-    def learn(self, m: int, ids: np.ndarray, which: np.ndarray, odd: np.ndarray, inside: np.ndarray) -> None:
-        """ids: what came; which: the id named that it was, or 2 for the escape, for lanes ``odd``; inside: which of these
-        order 1 knew."""
-        at = which * m + self.lanes[:m]
-        by_2, by_10 = (x.take(at) for x in self.given)
-        mine = self.weight_2 * by_2
-        self.weights[self.context_2] = self.weight_2 + _RATE * (mine / (mine + (1.0 - self.weight_2) * by_10) - self.weight_2)
-        asked = self.n_1[odd] > 0
-        where = self.weight_at[odd[asked]]
-        found = self.known.take(where, axis=1)
-        found[0] += inside[asked]
-        found[1] += ~inside[asked]
-        found *= np.where(found[0] + found[1] > _LIMIT, 0.5, 1.0)
-        self.known[:, where] = found
-        row = self.row
-        hit = (self.ids == ids) & self.there
-        known = hit[0] | hit[1]
-        out = np.empty_like(row)
-        out[0], out[1] = ids, np.where(hit[0], row[1], row[0])
-        out[2] = row[2] * hit[0] + row[3] * hit[1] + 1 + known
-        out[3] = np.where(hit[0], row[3], row[2])
-        out[4] = row[4] + ~known
-        out[2:] >>= (out[2] + out[4] > _MOST).astype(np.int64)
-        self.table[self.slot] = out.T
-        self.came.append(self.context_1 * self.vocabulary + ids)
-        self.two[:m] = self.one[:m]
-        self.one[:m] = ids
-        self.step += 1
-        if self.step == self.next:
-            pairs, n = np.unique(np.concatenate(self.came), return_counts=True)
-            self.first.add(pairs, n)
-            of = pairs // self.vocabulary
-            np.add.at(self.zero, of // self.vocabulary * self.vocabulary + pairs % self.vocabulary, _GAIN * n)
-            self.starts = np.concatenate([[0], np.cumsum(np.bincount(self.first.keys[:-1] // self.vocabulary, minlength=self.blocks * self.vocabulary))])
-            self.add_up()
-            self.came = []
-            self.next += min(self.step, _EVERY)
+        self.next, self.step = 4, 0
+        self._add_up()
+
+    def _add_up(self) -> None:
+        """All that is looked up until the next learning."""
+        self.below_0 = np.concatenate([[0], np.cumsum(self.zero)])
+        self.start_0 = self.below_0[:: self.vocabulary]
+        self.right_2 = self.came[0] / (self.came[0] + self.came[1])
+        self.weight_2 = self.share[0] / self.share[1]
+        self.mine_2, self.rest_2 = self.weight_2 * self.right_2, 1.0 - self.weight_2
+        self.weight_1 = self.known[0] / (self.known[0] + self.known[1])
+        self.knows_1 = (self.weight_1 * (_TOTAL - 64)).astype(np.int64) + 32
+
+    def order_2(self, block: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(slot, id named, what it has of _TOTAL: 0 if none is named)."""
+        key = ((one + (two << 20)).view(_U64) * _U64(0xD6E8FEB86659FD93)) >> _U64(64 - _SLOTS_LOG)
+        slot = (block << _SLOTS_LOG) + key.view(np.int64)
+        kind = self.kind_2.take(slot)
+        at = block * _KINDS_2 + kind
+        mixed = self.mine_2.take(at) + self.rest_2.take(at) * self.by_10.take(slot)
+        return slot, self.named.take(slot).astype(np.int64), ((mixed * (_TOTAL - 600)).astype(np.int64) + 1) * (kind > 0)
+
+    def order_1(self, block: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(context, counts before it, counts in it, what of _TOTAL it has that the id is known: 0 if nothing is)."""
+        context = block * self.vocabulary + one
+        below = self.below_1.take(context)
+        n = self.below_1.take(context + 1) - below
+        return context, below, n, self.knows_1.take(block * _KINDS_1 + self.kind_1.take(context)) * (n > 0)
+
+    def learn(self, block: np.ndarray, one: np.ndarray, ids: np.ndarray, slot: np.ndarray, named: np.ndarray, share: np.ndarray) -> None:
+        """What has come since the last time, step by step, with what order 2 said."""
+        v = self.vocabulary
+        came = (named == ids) & (share > 0)
+        context, _, n, _ = self.order_1(block, one)
+        pairs = context * v + ids
+        # The weights, by what has come.
+        some = np.flatnonzero(share)
+        at, yes = block[some] * _KINDS_2 + self.kind_2[slot[some]], came[some]
+        by_10 = self.by_10[slot[some]].astype(float)
+        mine = self.weight_2[at] * np.where(yes, self.right_2[at], 1.0 - self.right_2[at])
+        other = self.rest_2[at] * np.where(yes, by_10, 1.0 - by_10)
+        size = len(self.weight_2)
+        seen = np.bincount(at, minlength=size)
+        self.share += [np.bincount(at, weights=mine / (mine + other), minlength=size), seen]
+        hits = np.bincount(at, weights=yes, minlength=size)
+        self.came += [hits, seen - hits]
+        some = np.flatnonzero(~came & (n > 0))
+        at, inside = block[some] * _KINDS_1 + self.kind_1[context[some]], self.first.of(pairs[some])[1] > 0
+        size = len(self.weight_1)
+        hits = np.bincount(at, weights=inside, minlength=size)
+        self.known += [hits, np.bincount(at, minlength=size) - hits]
+        # The counts of orders 0 and 1.
+        self.zero += _GAIN * np.bincount(block * v + ids, minlength=len(self.zero))
+        keys, times = np.unique(pairs, return_counts=True)
+        self.first.add(keys, times)
+        of = self.first.keys[:-1] // v
+        kinds = np.bincount(of, minlength=self.blocks * v)
+        self.below_1 = self.first.below[np.concatenate([[0], np.cumsum(kinds)])]
+        touched = keys[np.concatenate([[True], keys[1:] // v != keys[:-1] // v])] // v
+        sizes = np.frexp((self.below_1[touched + 1] - self.below_1[touched]).astype(float))[1]
+        self.kind_1[touched] = 16 * np.minimum(sizes, 15) + np.minimum(np.frexp(kinds[touched].astype(float))[1], 15)
+        self._add_up()
+        # Order 2: sorted by slot and time, so the last of each slot is what came last there.
+        order = _in_order(slot)
+        here = slot[order]
+        heads = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]]))
+        last = order[np.append(heads[1:], len(order)) - 1]
+        here, times = here[heads], np.diff(np.append(heads, len(order)))
+        right = np.add.reduceat(came[order].astype(np.int64), heads)
+        hits, misses = self.hits[here] + right, self.misses[here] + times - right
+        new = misses > hits
+        self.named[here] = np.where(new, ids[last], self.named[here])
+        hits, misses = np.where(new, 1, hits), np.where(new, 0, misses)
+        full = hits + misses > _MOST
+        while full.any():
+            hits, misses = np.where(full, (hits + 1) >> 1, hits), np.where(full, misses >> 1, misses)
+            full = hits + misses > _MOST
+        self.hits[here], self.misses[here] = hits, misses
+        self.kind_2[here] = 1 + 8 * np.minimum(hits, 7) + np.minimum(misses, 7)
+        block, named = block[last], self.named[here].astype(np.int64)
+        context, _, n, _ = self.order_1(block, one[last])
+        weight = self.weight_1[block * _KINDS_1 + self.kind_1[context]]
+        by_0 = self.zero[block * v + named] / (self.start_0[block + 1] - self.start_0[block])
+        self.by_10[here] = weight * self.first.of(context * v + named)[1] / np.maximum(n, 1) + (1.0 - weight) * by_0
 
 
 def _streams(n: int) -> list[int]:
@@ -283,33 +287,51 @@ def _lanes(sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return block[order], length[order], (np.cumsum(length) - length)[order]
 
 
+def _segments(steps: int) -> list[tuple[int, int]]:
+    """(first step, step after the last) between learnings."""
+    out, at = [], 0
+    while at < steps:
+        out.append((at, min(steps, at + max(4, min(at, _EVERY)))))
+        at = out[-1][1]
+    return out
+
+
 def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[list[bytes]]:
     """The codes of the streams of each block of one id or more."""
     if not blocks:
         return []
     block, length, first = _lanes([len(b) for b in blocks])
-    steps, every = int(length[0]), np.concatenate(blocks).astype(np.int64)
-    model, coder = _Model(block, vocabulary), _Encoder(len(block), steps // 2 + 16)
-    for step, m in enumerate(np.searchsorted(-length, -np.arange(steps), side="left").tolist()):
-        ids = every.take(first[:m] + step)
-        model.predict(m)
-        hit = (model.ids == ids) & model.there
-        which = np.where(hit[0], 0, np.where(hit[1], 1, 2))
-        coder.put(slice(0, m), coder.size[:m] >> _U64(_BITS), *model.share(m, which))
-        coder.widen(m)
-        odd = np.flatnonzero(which == 2)
-        mine = ids[odd]
-        at, count = model.first.of(model.context_1[odd] * vocabulary + mine)
-        inside, knows = count > 0, model.knows(odd)
-        coder.put(odd, coder.size[odd] >> _U64(_BITS), np.where(inside, 0, knows), np.where(inside, knows, _TOTAL - knows))
-        coder.widen(m)
-        low, total = model.first.below.take(at) - model.below_1[odd], model.n_1[odd]
-        out = np.flatnonzero(~inside)
-        lane, at = odd[out], model.rows[odd[out]] + mine[out]
-        low[out], total[out], count[out] = model.below.take(at) - model.base[lane], model.total[lane], model.zero.take(at)
-        coder.put(odd, coder.size[odd] // total.view(_U64), low, count)
-        coder.widen(m)
-        model.learn(m, ids, which, odd, inside)
+    steps, every = int(length[0]), np.concatenate([np.zeros(2, dtype=np.int64), *blocks]).astype(np.int64)
+    live = np.searchsorted(-length, -np.arange(steps), side="left").tolist()
+    model, coder = _Model(len(blocks), vocabulary), _Encoder(len(block), steps // 2 + 16)
+    for begin, end in _segments(steps):
+        # All lanes in each step; those that have ended are left out of what is coded and learnt.
+        step, lanes = np.arange(begin, end)[:, None], slice(0, live[begin])
+        at = np.minimum(first[lanes] + step, len(every) - 3) + 2
+        ids, one, two = every[at], every[at - 1] * (step > 0), every[at - 2] * (step > 1)
+        of = np.broadcast_to(block[lanes], ids.shape)
+        slot, named, share = model.order_2(of, one, two)
+        escaped = (named != ids) | (share == 0)
+        low_2, width_2 = np.where(escaped, share, 0), np.where(escaped, _TOTAL - share, share)
+        context, below, n, knows = model.order_1(of, one)
+        place, count = (x.reshape(ids.shape) for x in model.first.of((context * vocabulary + ids).ravel()))
+        inside = count > 0
+        low_1, width_1 = np.where(inside, 0, knows), np.where(inside, knows, _TOTAL - knows)
+        at = of * vocabulary + ids
+        low = np.where(inside, model.first.below[place] - below, model.below_0[at] - model.start_0[of])
+        width = np.where(inside, count, model.zero[at])
+        total = np.where(inside, n, model.start_0[of + 1] - model.start_0[of]).view(_U64)
+        for k, m in enumerate(live[begin:end]):
+            coder.put(slice(0, m), coder.size[:m] >> _U64(_BITS), low_2[k, :m], width_2[k, :m])
+            coder.widen(m)
+            odd = np.flatnonzero(escaped[k, :m])
+            coder.put(odd, coder.size[odd] >> _U64(_BITS), low_1[k].take(odd), width_1[k].take(odd))
+            coder.widen(m)
+            coder.put(odd, coder.size[odd] // total[k].take(odd), low[k].take(odd), width[k].take(odd))
+            coder.widen(m)
+        if end < steps:
+            came = step < length[lanes]
+            model.learn(*[x[came] for x in (of, one, ids, slot, named, share)])
     codes = coder.finish()
     out: list[list[bytes]] = [[] for _ in blocks]
     for lane in np.argsort(first, kind="stable").tolist():
@@ -325,38 +347,45 @@ def decode_blocks(codes: list[list[np.ndarray]], sizes: list[int], vocabulary: i
     if len(by_lane) != len(block):
         raise IdFileError("a block has another number of streams than it should")
     steps = int(length[0])
+    live = np.searchsorted(-length, -np.arange(steps), side="left").tolist()
     every = np.zeros(int(length.sum()), dtype=np.uint32)
-    model, coder = _Model(block, vocabulary), _Decoder([by_lane[k] for k in np.argsort(np.argsort(first, kind="stable"), kind="stable")])
-    for step, m in enumerate(np.searchsorted(-length, -np.arange(steps), side="left").tolist()):
-        model.predict(m)
-        part = coder.size[:m] >> _U64(_BITS)
-        target = coder.target(slice(0, m), part, _TOTAL)
-        which = (target >= model.end[0]).astype(np.int64) + (target >= model.end[1])
-        coder.take(slice(0, m), part, *model.share(m, which))
-        coder.widen(m)
-        ids = np.where(which == 0, model.ids[0], model.ids[1])
-        odd = np.flatnonzero(which == 2)
-        knows = model.knows(odd)
-        part = coder.size[odd] >> _U64(_BITS)
-        inside = coder.target(odd, part, _TOTAL) < knows
-        coder.take(odd, part, np.where(inside, 0, knows), np.where(inside, knows, _TOTAL - knows))
-        coder.widen(m)
-        total = np.where(inside, model.n_1[odd], model.total[odd])
-        part = coder.size[odd] // total.view(_U64)
-        target = coder.target(odd, part, total)
-        mine, low, count = np.empty_like(odd), np.empty_like(odd), np.empty_like(odd)
-        of_1, of_0 = np.flatnonzero(inside), np.flatnonzero(~inside)
-        lane = odd[of_1]
-        at = np.minimum(np.searchsorted(model.first.below, model.below_1[lane] + target[of_1], side="right") - 1, len(model.first.keys) - 1)
-        mine[of_1], low[of_1], count[of_1] = model.first.keys.take(at) % vocabulary, model.first.below.take(at) - model.below_1[lane], model.first.counts.take(at)
-        lane = odd[of_0]
-        at = np.searchsorted(model.below, model.base[lane] + target[of_0], side="right") - 1
-        mine[of_0], low[of_0], count[of_0] = at - model.rows[lane], model.below.take(at) - model.base[lane], model.zero.take(at)
-        coder.take(odd, part, low, count)
-        coder.widen(m)
-        ids[odd] = mine
-        every[first[:m] + step] = ids
-        model.learn(m, ids, which, odd, inside)
+    model, coder = _Model(len(sizes), vocabulary), _Decoder([by_lane[k] for k in np.argsort(np.argsort(first, kind="stable"), kind="stable")])
+    one, two = np.zeros(len(block), dtype=np.int64), np.zeros(len(block), dtype=np.int64)
+    for begin, end in _segments(steps):
+        came = []
+        for step, m in zip(range(begin, end), live[begin:end], strict=True):
+            slot, named, share = model.order_2(block[:m], one[:m], two[:m])
+            ids = named.copy()
+            part = coder.size[:m] >> _U64(_BITS)
+            escaped = coder.target(slice(0, m), part, _TOTAL) >= share
+            coder.take(slice(0, m), part, np.where(escaped, share, 0), np.where(escaped, _TOTAL - share, share))
+            coder.widen(m)
+            odd = np.flatnonzero(escaped)
+            of = block.take(odd)
+            _, below, total, knows = model.order_1(of, one.take(odd))
+            part = coder.size[odd] >> _U64(_BITS)
+            inside = coder.target(odd, part, _TOTAL) < knows
+            coder.take(odd, part, np.where(inside, 0, knows), np.where(inside, knows, _TOTAL - knows))
+            coder.widen(m)
+            out = np.flatnonzero(~inside)
+            below[out] = model.start_0.take(of[out])
+            total[out] = model.start_0.take(of[out] + 1) - below[out]
+            part = coder.size[odd] // total.view(_U64)
+            target = below + coder.target(odd, part, total)
+            mine, low, count = np.empty_like(odd), np.empty_like(odd), np.empty_like(odd)
+            known = np.flatnonzero(inside)
+            at = np.minimum(np.searchsorted(model.first.below, target[known], side="right") - 1, len(model.first.keys) - 2)
+            mine[known], low[known], count[known] = model.first.keys.take(at) % vocabulary, model.first.below.take(at), model.first.counts.take(at)
+            at = np.searchsorted(model.below_0, target[out], side="right") - 1
+            mine[out], low[out], count[out] = at % vocabulary, model.below_0.take(at), model.zero.take(at)
+            coder.take(odd, part, low - below, count)
+            coder.widen(m)
+            ids[odd] = mine
+            every[first[:m] + step] = ids
+            came.append((block[:m], one[:m], ids, slot, named, share))
+            one, two = ids, one
+        if end < steps:
+            model.learn(*[np.concatenate(x) for x in zip(*came, strict=True)])
     ends = np.cumsum(sizes)
     return [every[b - n : b] for b, n in zip(ends.tolist(), sizes, strict=True)]
 
