@@ -301,14 +301,14 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[list[bytes]
     if not blocks:
         return []
     block, length, first = _lanes([len(b) for b in blocks])
-    steps, every = int(length[0]), np.concatenate([np.zeros(2, dtype=np.int64), *blocks]).astype(np.int64)
+    steps, every = int(length[0]), np.concatenate([np.zeros(2, dtype=np.uint32), *blocks])
     live = np.searchsorted(-length, -np.arange(steps), side="left").tolist()
     model, coder = _Model(len(blocks), vocabulary), _Encoder(len(block), steps // 2 + 16)
     for begin, end in _segments(steps):
         # All lanes in each step; those that have ended are left out of what is coded and learnt.
         step, lanes = np.arange(begin, end)[:, None], slice(0, live[begin])
         at = np.minimum(first[lanes] + step, len(every) - 3) + 2
-        ids, one, two = every[at], every[at - 1] * (step > 0), every[at - 2] * (step > 1)
+        ids, one, two = (every[at - k].astype(np.int64) * (step >= k) for k in range(3))
         of = np.broadcast_to(block[lanes], ids.shape)
         slot, named, share = model.order_2(of, one, two)
         escaped = (named != ids) | (share == 0)

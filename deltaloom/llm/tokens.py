@@ -124,7 +124,7 @@ class IdCache:
     """The ids of parts as bytes, each distinct pre-token encoded once. Emptied when it has grown beyond a bound, so
     memory does not follow the vocabulary."""
 
-    def __init__(self, encoder: Encoder, most: int = 1_000_000) -> None:
+    def __init__(self, encoder: Encoder, most: int = 400_000) -> None:
         self.encoder, self.most = encoder, most
         self.known: dict[str, bytes] = {}
 
