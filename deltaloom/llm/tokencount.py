@@ -21,12 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deltaloom.llm.text import ids_and_texts
-from deltaloom.llm.tokens import Encoder, tokenizer_path
+from deltaloom.llm.tokens import Encoder, process_cache, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
 #: A run of documents ends at so many bytes of text or so many documents, which bounds a task's memory.
 RUN_BYTES, RUN_DOCS = 24 << 20, 200_000
 _RUN_BITS = 24
+#: A bucket for so many bytes of text, so its task does not grow with the input; and at most so many, as each run deals to
+#: all of them. Beyond 512 GB of text a bucket's task reads more, some of it at a time.
+BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 8192
 #: A pre-token is common if more than this share of a run's documents hold it.
 COMMON = 0.05
 #: Sums that a task holds before it hands them on.
@@ -117,12 +120,12 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 def index(docs: DataFrame, path: str, buckets: int) -> DataFrame:
-    """(bucket, run, packed): the packed index of all documents."""
+    """(bucket, run, packed): the packed index of all documents (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, number = Encoder(path), TaskContext.get().partitionId() << _RUN_BITS
+        encoder, number = process_cache(path).encoder, TaskContext.get().partitionId() << _RUN_BITS
         now = _Run(encoder)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -133,14 +136,14 @@ def index(docs: DataFrame, path: str, buckets: int) -> DataFrame:
         if now.doc_ids:
             yield _batch(list(now.rows(number, buckets)), ["bucket", "run", "packed"])
 
-    return ids_and_texts(docs).mapInArrow(run, _INDEX)
+    return docs.mapInArrow(run, _INDEX)
 
 
 def join_pieces(dealt: DataFrame, path: str) -> DataFrame:
     """(run, packed): per run sums of pieces by document, from the buckets of a task; documents pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = process_cache(path).encoder
         pieces: dict[bytes, int] = {}
         sums: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         size = 0
@@ -213,8 +216,10 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = 102
     null. No rows give no rows.
     """
     path = path or tokenizer_path(vocabulary)
-    buckets = max(256, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    spread = F.when(F.col("bucket") < 0, F.col("run")).otherwise(F.col("bucket").cast("bigint"))
-    dealt = index(docs, path, buckets).repartition(spread)
+    plain = ids_and_texts(docs)
+    size = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()[0][0]  # one number
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, -(-size // BUCKET_BYTES)))
+    where = F.when(F.col("bucket") < 0, F.pmod("run", F.lit(buckets))).otherwise(F.col("bucket")).cast("int")
+    dealt = index(plain, path, buckets).repartitionById(buckets, where)
     found = gather(join_pieces(dealt, path).repartition("run"))
     return found.withColumn("over_limit", F.col("n_tokens") > limit)
