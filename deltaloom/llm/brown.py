@@ -63,7 +63,7 @@ class BrownModel:
 
 
 _BINS = 64
-_HELD = 1 << 21
+_HELD = 1 << 20
 #: Of a chunk: which documents have an id, the ids, numbers of words, tokens (0 for an end), keys and groups of the words.
 _CHUNK = ("u1", "<i8", "<u4", "<u4", "<u8", "<u2")
 #: Of the words a chunk asks a bucket for: keys, classes, numbers of context codes, codes, how often each.
@@ -226,25 +226,25 @@ class _Types:
 
 
 def type_bigrams(chunks: DataFrame, types: Broadcast, model: BrownModel) -> np.ndarray:
-    """How often type b (column) follows type a (row) in the training texts. Executors add up ranges of the cells, so the
+    """How often type b (column) follows type a (row) in the training texts. Executors add up bins of the cells, so the
     driver gets each cell once, of which there are as many as the parameters say."""
-    cells, names = types.value.n ** 2, {"bin": pa.int32(), "packed": pa.binary()}
-    width = -(-cells // _BINS)
+    names = {"bin": pa.int32(), "packed": pa.binary()}
+    width = -(-(types.value.n ** 2) // _BINS)
 
-    def binned(table: np.ndarray, bins: list[int]) -> pa.RecordBatch:
-        parts = [(k, table[(k - bins[0]) * width : (k - bins[0] + 1) * width]) for k in bins]
-        some = [(k, np.flatnonzero(x), x) for k, x in parts]
-        return _rows(names, [(k, pack(at.astype("<u4"), x[at].astype("<i8"))) for k, at, x in some if len(at)])
+    def binned(table: np.ndarray, k: int) -> tuple[int, bytes]:
+        at = np.flatnonzero(table)
+        return k, pack(at.astype("<u4"), table[at].astype("<i8"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(cells, dtype=np.int64)
+        table = np.zeros(width * _BINS, dtype=np.int64)
         for batch in batches:
             for packed in batch.column(0):
                 chunk = _Chunk(packed.as_py(), model)
                 of = np.concatenate([[0], types.value.of(chunk)])[chunk.tokens]
                 pairs, n = np.unique((of[:-1] * types.value.n + of[1:])[chunk.learnt], return_counts=True)
                 table[pairs] += n
-        yield binned(table, list(range(_BINS)))
+        # Neighbouring cells, as those of the most frequent words, lie in different bins.
+        yield _rows(names, [binned(table[k::_BINS], k) for k in range(_BINS)])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(width, dtype=np.int64))
@@ -252,15 +252,14 @@ def type_bigrams(chunks: DataFrame, types: Broadcast, model: BrownModel) -> np.n
             for k, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 at, n = unpack(packed.as_py(), "<u4", "<i8")
                 tables[k][at] += n
-        for k, table in tables.items():
-            yield binned(table, [k])
+        yield _rows(names, [binned(table, k) for k, table in tables.items()])
 
     schema = "bin int, packed binary"
-    out = np.zeros(width * _BINS)
+    out = np.zeros((width, _BINS))
     for row in chunks.select("packed").mapInArrow(count, schema).repartitionById(_BINS, F.col("bin")).mapInArrow(add, schema).collect():
         at, n = unpack(bytes(row["packed"]), "<u4", "<i8")
-        out[row["bin"] * width + at] = n
-    return out[:cells].reshape(types.value.n, -1)
+        out[at, row["bin"]] = n
+    return out.ravel()[: types.value.n ** 2].reshape(types.value.n, -1)
 
 
 # -- all other words ------------------------------------------------------------------------------------------------
