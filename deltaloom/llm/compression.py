@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaloom.llm.text import by_place, ids_and_texts, named, place_of, words
+from deltaloom.sources.scratch import Scratch
 
 _SYMBOLS = frozenset("#*$%&|<>")
 
@@ -150,18 +151,15 @@ def keep_good(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class Sample:
-    """Which labelled texts the limits are taken from, and how.
-
-    The ``rows`` good doc_ids of the least hash are taken, and at most ``chunks`` chunks, evenly spaced, of each; those that pass the
-    base count. The low limit of a length is the ``low`` quantile of the good ratios, as junk of repeated symbols and
-    bars compresses better than prose. Few texts that are not noise lie above the good ones, so the high limit is the
-    ``high`` quantile and ``above`` times that. Lengths (and chunks) of fewer than ``least`` good ones keep the limits
-    of the bands given.
+class Fit:
+    """How the limits follow from the labelled texts.
+
+    Every row labelled good that passes the base counts, with all of its chunks. The low limit of a length is the
+    ``low`` quantile of the good ratios, as junk of repeated symbols and bars compresses better than prose. Few texts
+    that are not noise lie above the good ones, so the high limit is the ``high`` quantile and ``above`` times that.
+    Lengths (and chunks) of fewer than ``least`` good ones keep the limits of the bands given.
     """
 
-    rows: int = 4000
-    chunks: int = 16
     low: float = 0.01
     high: float = 0.995
     above: float = 1.05
@@ -179,48 +177,88 @@ def labels_in(spark: SparkSession, sf_dir: str) -> DataFrame | None:
         return None
 
 
-def _good_ratios(docs: DataFrame, labels: DataFrame, bands: Bands, sample: Sample) -> list:
-    """(n_bytes, ratio, chunk ratios) of the sample; one row per doc_id, so ``sample.rows`` at most."""
+def _good_ratios(docs: DataFrame, labels: DataFrame, bands: Bands, fit: Fit) -> DataFrame:
+    """(kind, ratio, times) of the good rows: by the place of their length in ``fit.starts`` for whole texts, and as one
+    more kind for chunks. All rows are measured, so only measures move to meet the labels, never texts."""
 
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer = zstandard.ZstdCompressor(level=bands.level)
-        for batch in texts:
+        for batch in batches:
             out = []
-            for text in batch:
-                failed, ratio = judge(text, bands, packer)[5:7]
-                data = (text or "").encode("utf-8", "surrogatepass")
-                starts = chunk_starts(len(data), bands.chunk_bytes)
-                some = sorted({round(k) for k in np.linspace(0, len(starts) - 1, min(sample.chunks, len(starts)))})
-                out.append((failed, len(data), ratio, [chunk_ratio(data, starts[k], bands, packer) for k in some]))
-            yield pd.DataFrame(out, columns=["failed", "n_bytes", "ratio", "chunks"])
+            for doc_id, text in batch.itertuples(index=False):
+                found = words(text)
+                if len(found) < bands.min_words or 100 * repeat_words(found) > bands.max_repeat_percent * len(found):
+                    continue
+                data = text.encode("utf-8", "surrogatepass")
+                chunks = [chunk_ratio(data, k, bands, packer) for k in chunk_starts(len(data), bands.chunk_bytes)]
+                out.append((doc_id, bisect_right(fit.starts, len(data)) - 1, len(packer.compress(data)) / len(data), chunks))
+            yield pd.DataFrame(out, columns=["doc_id", "kind", "ratio", "chunks"])
 
-    run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    measured = F.pandas_udf(run, "failed boolean, n_bytes long, ratio double, chunks array<double>")
     good = named(labels, "doc_id", "quality").select(F.col("doc_id").cast("bigint").alias("good_id"), "quality").where("good_id IS NOT NULL").groupBy("good_id").agg(F.min("quality").alias("least"))
-    chosen = good.where("least = 1").orderBy(F.xxhash64("good_id"), "good_id").limit(sample.rows).select("good_id")
-    met = ids_and_texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("good_id"), "left_semi")
-    # Which texts failed is looked at here, as Spark would measure all documents, before the join, to filter by it.
-    found = met.select("doc_id", measured("text").alias("m")).groupBy("doc_id").agg(F.min("m").alias("m"))
-    return [r for r in found.select("m.*").collect() if not r["failed"]]
-
-
-def fitted(docs: DataFrame, labels: DataFrame | None, bands: Bands = Bands(), sample: Sample = Sample()) -> Bands:
+    measured = ids_and_texts(docs).where("doc_id IS NOT NULL").mapInPandas(run, "doc_id bigint, kind int, ratio double, chunks array<double>")
+    met = measured.join(good.where("least = 1"), F.col("doc_id") == F.col("good_id"), "left_semi")
+    whole = F.array(F.struct("kind", "ratio"))
+    chunks = F.transform("chunks", lambda c: F.struct(F.lit(len(fit.starts)).alias("kind"), c.alias("ratio")))
+    return met.select(F.explode(F.concat(whole, chunks)).alias("r")).groupBy("r.kind", "r.ratio").agg(F.count(F.lit(1)).alias("times"))
+
+
+#: Width of the bins that counts are first taken of; only the values of bins in which a quantile stands come to the driver.
+_BIN = 2.0**-13
+
+
+def _quantiles(found: DataFrame, least: int, shares: tuple[float, ...]) -> dict[int, list[float]]:
+    """Exact quantiles, between the two values next to them, of each kind of ``least`` rows or more of (kind, ratio,
+    times)."""
+    binned = found.withColumn("bin", F.floor(F.col("ratio") / _BIN))
+    bins: dict[int, list[tuple[int, int]]] = {}
+    for kind, k, n in binned.groupBy("kind", "bin").agg(F.sum("times")).sort("kind", "bin").collect():
+        bins.setdefault(kind, []).append((k, n))
+    places, wanted = {}, {}
+    for kind, here in bins.items():
+        ends = np.cumsum([n for _, n in here])
+        if (n := int(ends[-1])) < least:
+            continue
+        for share in shares:
+            at = int((n - 1) * share)
+            places[kind, share] = at, min(at + 1, n - 1), (n - 1) * share - at
+            for rank in places[kind, share][:2]:
+                k = int(np.searchsorted(ends, rank, side="right"))
+                wanted[kind, rank] = here[k][0], rank - int(ends[k] - here[k][1])
+    values: dict[tuple[int, int], list[tuple[float, int]]] = {}
+    chosen = sorted({(kind, k) for (kind, _), (k, _) in wanted.items()})
+    if chosen:
+        inside = F.struct("kind", "bin").isin(*[F.struct(F.lit(kind).alias("kind"), F.lit(k).cast("bigint").alias("bin")) for kind, k in chosen])
+        for kind, k, ratio, n in binned.where(inside).select("kind", "bin", "ratio", "times").sort("kind", "ratio").collect():
+            values.setdefault((kind, k), []).append((ratio, n))
+
+    def value(kind: int, rank: int) -> float:
+        k, left = wanted[kind, rank]
+        here = values[kind, k]
+        return here[int(np.searchsorted(np.cumsum([n for _, n in here]), left, side="right"))][0]
+
+    out: dict[int, list[float]] = {}
+    for (kind, _), (low, high, part) in places.items():
+        a, b = value(kind, low), value(kind, high)
+        out.setdefault(kind, []).append(a + (b - a) * part)
+    return out
+
+
+def fitted(docs: DataFrame, labels: DataFrame | None, bands: Bands = Bands(), fit: Fit = Fit()) -> Bands:
     """Bands with limits from the labelled good texts; the bands given where there are no labels."""
     if labels is None:
         return bands
-    found = _good_ratios(docs, labels, bands, sample)
+    scratch = Scratch(docs.sparkSession, "ratios")
+    found = _quantiles(scratch.save(_good_ratios(docs, labels, bands, fit), "ratios"), fit.least, (fit.low, fit.high))
+    scratch.drop()
 
-    def limits(ratios: list[float], given: tuple[float, float]) -> tuple[float, float]:
-        if len(ratios) < sample.least:
+    def limits(kind: int, given: tuple[float, float]) -> tuple[float, float]:
+        if kind not in found:
             return given
-        low, high = np.quantile(ratios, [sample.low, sample.high])
-        return float(low), float(high) * sample.above
+        low, high = found[kind]
+        return low, high * fit.above
 
-    by_length: dict[int, list[float]] = {}
-    for r in found:
-        by_length.setdefault(bisect_right(sample.starts, r["n_bytes"]) - 1, []).append(r["ratio"])
     whole = []
-    for k, start in enumerate(sample.starts):
+    for k, start in enumerate(fit.starts):
         at = bisect_right(bands.starts, start) - 1
-        whole.append((start, *limits(by_length.get(k, []), bands.whole[at][1:] if at >= 0 else (0.0, 2.0))))
-    return replace(bands, whole=tuple(whole), chunk=limits([c for r in found for c in r["chunks"]], bands.chunk))
+        whole.append((start, *limits(k, bands.whole[at][1:] if at >= 0 else (0.0, 2.0))))
+    return replace(bands, whole=tuple(whole), chunk=limits(len(fit.starts), bands.chunk))

@@ -179,6 +179,28 @@ def test_bands_from_labels_reject_littered_texts(spark, tmp_path):
     assert kept and all(r.doc_id is None or r.doc_id < 60 for r in kept)
 
 
+def test_limits_come_from_all_good_texts(spark):
+    """Every row labelled good counts, whatever their number, with each of its chunks."""
+    import zstandard
+
+    pool = invented(1, 20000).split()
+    texts = [" ".join(pool[k : k + (60 + k % 40 if k % 100 else 8000)]) for k in range(4300)] + ["la " * 300]
+    docs = spark.createDataFrame([*enumerate(texts), (7, texts[11])], "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(k, 1) for k in range(len(texts))], "doc_id long, quality int")
+    bands, pack = compression.fitted(docs, labels), zstandard.ZstdCompressor(level=3).compress
+    by_length, chunks = {}, []
+    for data in (t.encode() for t in [*texts[:-1], texts[11]]):
+        by_length.setdefault(max(s for s in (0, *bands.starts) if s <= len(data)), []).append(len(pack(data)) / len(data))
+        chunks += [len(pack(data[k : k + 2048])) / 2048 for k in compression.chunk_starts(len(data), 2048)]
+    assert len(chunks) > 16 * 43  # more than 16 in each long text
+    for start, low, high in bands.whole:
+        if len(by_length.get(start, [])) >= 20:
+            a, b = np.quantile(by_length[start], [0.01, 0.995])
+            assert (low, high) == pytest.approx((a, b * 1.05), rel=1e-12)
+    a, b = np.quantile(chunks, [0.01, 0.995])
+    assert bands.chunk == pytest.approx((a, b * 1.05), rel=1e-12)
+
+
 def slow_verdict(text, bands):
     """Whole ratio, share of bad chunks and verdict, from the bytes."""
     import zstandard
