@@ -121,6 +121,27 @@ def test_near_copies_equal_brute_force(spark):
     assert nearcopies.keep_one_of_each(docs.where("false")).count() == 0
 
 
+def test_texts_that_are_somewhat_alike_are_not_paired_up(spark):
+    """Copies of one text, each with changes of its own: all similar pairs come out of the join, and few others."""
+    from deltaloom.sources.scratch import Scratch
+
+    draw, base, texts = np.random.default_rng(3), invented(1, 150).split(), []
+    for k in range(150):
+        copy = list(base)
+        for at in draw.integers(0, len(copy), 1 + k % 4):
+            copy[at] = f"new{draw.integers(1 << 30)}"
+        texts.append(" ".join(copy))
+    plain = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "doc_id long, tie long, text string").repartition(4)
+    copies, scratch = nearcopies.NearCopies(), Scratch(spark, "t")
+    found = scratch.save(nearcopies.marks(plain, copies), "marks")
+    sets = scratch.save(nearcopies.shingles_of(plain, found, found.select("node"), copies), "sets")
+    pairs = nearcopies._prefix_pairs(found.select("node", F.col("node").alias("label")), sets, scratch, copies).collect()
+    of = {r.node: set(r.shingles) for r in sets.collect()}
+    nodes = sorted(of)
+    similar = {(a, b) for k, a in enumerate(nodes) for b in nodes[k + 1 :] if len(of[a] & of[b]) >= 0.8 * len(of[a] | of[b])}
+    assert similar and similar <= {tuple(r) for r in pairs} and len(pairs) < len(similar) + 0.02 * len(nodes) ** 2 / 2
+
+
 def repeat_words_slow(found):
     windows = [tuple(found[k : k + 3]) for k in range(len(found) - 2)]
     return len({k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)})
