@@ -353,6 +353,8 @@ def decode_blocks(codes: list[list[np.ndarray]], sizes: list[int], vocabulary: i
     one, two = np.zeros(len(block), dtype=np.int64), np.zeros(len(block), dtype=np.int64)
     for begin, end in _segments(steps):
         came = []
+        # Which key of order 1 each of the counts belongs to, so that none is searched for.
+        owner = np.repeat(np.arange(len(model.first.counts), dtype=np.int32), model.first.counts)
         for step, m in zip(range(begin, end), live[begin:end], strict=True):
             slot, named, share = model.order_2(block[:m], one[:m], two[:m])
             ids = named.copy()
@@ -374,7 +376,7 @@ def decode_blocks(codes: list[list[np.ndarray]], sizes: list[int], vocabulary: i
             target = below + coder.target(odd, part, total)
             mine, low, count = np.empty_like(odd), np.empty_like(odd), np.empty_like(odd)
             known = np.flatnonzero(inside)
-            at = np.minimum(np.searchsorted(model.first.below, target[known], side="right") - 1, len(model.first.keys) - 2)
+            at = owner.take(target[known])
             mine[known], low[known], count[known] = model.first.keys.take(at) % vocabulary, model.first.below.take(at), model.first.counts.take(at)
             at = np.searchsorted(model.below_0, target[out], side="right") - 1
             mine[out], low[out], count[out] = at % vocabulary, model.below_0.take(at), model.zero.take(at)
@@ -384,6 +386,7 @@ def decode_blocks(codes: list[list[np.ndarray]], sizes: list[int], vocabulary: i
             every[first[:m] + step] = ids
             came.append((block[:m], one[:m], ids, slot, named, share))
             one, two = ids, one
+        del owner
         if end < steps:
             model.learn(*[np.concatenate(x) for x in zip(*came, strict=True)])
     ends = np.cumsum(sizes)
