@@ -410,22 +410,36 @@ def write_ids(held: Documents, vocabulary: int, block_ids: int = BLOCK_IDS) -> b
     if vocabulary > 1 << 20 or (len(held.ids) and int(held.ids.max()) >= vocabulary):
         raise IdFileError("ids must be below the vocabulary's size, and that 2^20 at most")
     blocks = [held.ids[k : k + block_ids] for k in range(0, len(held.ids), block_ids)]
-    head = json.dumps({"vocabulary": vocabulary, "block_ids": block_ids}).encode()
-    out = [MAGIC, struct.pack("<I", len(head)), head]
-    at, directory = sum(map(len, out)), []
+    coded = []
     for block, codes in zip(blocks, encode_blocks(blocks, vocabulary), strict=True):
-        directory.append(at)
-        lengths = struct.pack(f"<{len(codes)}I", *[len(c) // 4 for c in codes])
-        out += [struct.pack(_BLOCK, len(block), len(codes), zlib.crc32(block.astype("<u4").tobytes())), lengths, *codes]
-        at += sum(map(len, out[-len(codes) - 2 :]))
-    listed = b"".join(struct.pack(_DOCUMENT, d is not None, d or 0, n) for d, n in zip(held.doc_ids, held.lengths.tolist(), strict=True))
-    where = struct.pack(f"<{len(directory)}Q", *directory)
-    out += [listed, where, struct.pack(_FOOTER, len(held.doc_ids), len(directory), at, zlib.crc32(listed + where)), MAGIC]
+        head = struct.pack(_BLOCK, len(block), len(codes), zlib.crc32(block.astype("<u4").tobytes()))
+        coded.append(b"".join([head, struct.pack(f"<{len(codes)}I", *[len(c) // 4 for c in codes]), *codes]))
+    return file_of(coded, list_documents(held.doc_ids, held.lengths), vocabulary, block_ids)
+
+
+def list_documents(doc_ids: list[int | None], lengths: np.ndarray) -> bytes:
+    return b"".join(struct.pack(_DOCUMENT, d is not None, d or 0, n) for d, n in zip(doc_ids, lengths.tolist(), strict=True))
+
+
+def listed_documents(listed: bytes) -> tuple[list[int | None], np.ndarray]:
+    """What list_documents() was given."""
+    documents = list(struct.iter_unpack(_DOCUMENT, listed))
+    return [d if there else None for there, d, _ in documents], np.array([k for _, _, k in documents], dtype=np.int64)
+
+
+def file_of(blocks: list[bytes], listed: bytes, vocabulary: int, block_ids: int = BLOCK_IDS) -> bytes:
+    """The file of these blocks and documents."""
+    head = json.dumps({"vocabulary": vocabulary, "block_ids": block_ids}).encode()
+    out = [MAGIC, struct.pack("<I", len(head)), head, *blocks]
+    directory = np.cumsum([sum(map(len, out[:3])), *map(len, blocks)]).tolist()
+    where = struct.pack(f"<{len(blocks)}Q", *directory[:-1])
+    n_docs = len(listed) // struct.calcsize(_DOCUMENT)
+    out += [listed, where, struct.pack(_FOOTER, n_docs, len(blocks), directory[-1], zlib.crc32(listed + where)), MAGIC]
     return b"".join(out)
 
 
-def read_ids(data: bytes) -> Documents:
-    """The documents of a file; raises if a checksum does not hold."""
+def parts_of(data: bytes) -> tuple[list[bytes], bytes, int]:
+    """(blocks, documents, vocabulary) of a file; raises if its directory is damaged."""
     if data[: len(MAGIC)] != MAGIC or data[-len(MAGIC) :] != MAGIC:
         raise IdFileError("not a file of ids, or a cut one")
     n_docs, n_blocks, at, checksum = struct.unpack(_FOOTER, data[-len(MAGIC) - struct.calcsize(_FOOTER) : -len(MAGIC)])
@@ -434,14 +448,21 @@ def read_ids(data: bytes) -> Documents:
         raise IdFileError("the directory is damaged")
     (n,) = struct.unpack_from("<I", data, len(MAGIC))
     vocabulary = json.loads(data[len(MAGIC) + 4 : len(MAGIC) + 4 + n])["vocabulary"]
-    documents = list(struct.iter_unpack(_DOCUMENT, tail[: n_docs * struct.calcsize(_DOCUMENT)]))
+    listed = tail[: n_docs * struct.calcsize(_DOCUMENT)]
+    places = [*struct.unpack(f"<{n_blocks}Q", tail[len(listed) :]), at]
+    return [data[a:b] for a, b in zip(places, places[1:], strict=False)], listed, vocabulary
+
+
+def read_ids(data: bytes) -> Documents:
+    """The documents of a file; raises if a checksum does not hold."""
+    found, listed, vocabulary = parts_of(data)
     codes, sizes, sums = [], [], []
-    for place in struct.unpack(f"<{n_blocks}Q", tail[n_docs * struct.calcsize(_DOCUMENT) :]):
-        size, streams, crc = struct.unpack_from(_BLOCK, data, place)
-        place += struct.calcsize(_BLOCK)
-        lengths = struct.unpack_from(f"<{streams}I", data, place)
+    for block in found:
+        size, streams, crc = struct.unpack_from(_BLOCK, block)
+        place = struct.calcsize(_BLOCK)
+        lengths = struct.unpack_from(f"<{streams}I", block, place)
         starts = np.cumsum([place + 4 * streams, *[4 * n for n in lengths]]).tolist()
-        codes.append([np.frombuffer(data, dtype=">u4", count=n, offset=start) for n, start in zip(lengths, starts, strict=False)])
+        codes.append([np.frombuffer(block, dtype=">u4", count=n, offset=start) for n, start in zip(lengths, starts, strict=False)])
         sizes.append(size)
         sums.append(crc)
     blocks = decode_blocks(codes, sizes, vocabulary)
@@ -449,4 +470,4 @@ def read_ids(data: bytes) -> Documents:
         if zlib.crc32(block.astype("<u4").tobytes()) != crc:
             raise IdFileError(f"block {k} is damaged")
     ids = np.concatenate(blocks) if blocks else np.zeros(0, dtype=np.uint32)
-    return Documents([d if there else None for there, d, _ in documents], np.array([k for _, _, k in documents], dtype=np.int64), ids)
+    return Documents(*listed_documents(listed), ids)

@@ -6,13 +6,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from deltaloom.llm.blockcoder import block_of, ids_of
 from deltaloom.llm.files import get, put
-from deltaloom.llm.idfile import Documents, read_ids, write_ids
+from deltaloom.llm.idfile import BLOCK_IDS, IdFileError, file_of, list_documents, listed_documents, parts_of
 from deltaloom.llm.text import ids_and_texts
 from deltaloom.llm.tokens import process_cache, tokenizer_path
 from deltaloom.sources.scratch import Scratch
@@ -23,62 +23,114 @@ END = 0
 FILE_IDS = 8 << 20
 
 _MANIFEST = "path string, part int, number int, n_docs bigint, n_ids bigint, bytes bigint"
+#: A row for each block of a file, and one for its documents after them.
+_PIECES = "number int, vocabulary int, ids binary, listed binary, n_ids bigint"
 
 
-def write_files(docs: DataFrame, folder: str, path: str, end: int = END, file_ids: int = FILE_IDS) -> DataFrame:
-    """Writes the ids of docs by ascending doc_id, nulls first; one row per file, in order of (part, number).
+def _batch(schema: str, *rows: tuple) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*[column.split() for column in schema.split(", ")], strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(x, kinds[t]) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=list(names))
 
-    Rows that share a doc_id are ordered by a hash of their text, so that even a doc_id with very many rows is spread.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def _pieces(docs: DataFrame, path: str, end: int, file_ids: int) -> DataFrame:
+    """The ids of docs(doc_id, text) in their order, by block and file, and each file's documents."""
 
-        cache = process_cache(path)
-        part, number = TaskContext.get().partitionId(), 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, number = process_cache(path), 0
+        size = cache.encoder.size
         doc_ids: list[int | None] = []
+        lengths: list[int] = []
         ids: list[np.ndarray] = []
+        held = waiting = 0  # ids in the file, and those of them that are in no block yet
+
+        def blocks(least: int) -> Iterator[pa.RecordBatch]:
+            nonlocal ids, waiting
+            if waiting < least:
+                return
+            flat = np.concatenate(ids)
+            for at in range(0, waiting - least + 1, BLOCK_IDS):
+                block = flat[at : at + BLOCK_IDS]
+                yield _batch(_PIECES, (number, size, block.tobytes(), None, len(block)))
+            left = flat[at + len(block) :]
+            ids, waiting = [left], len(left)
 
-        def close() -> pa.RecordBatch:
-            held = Documents(doc_ids, np.array([len(x) for x in ids], dtype=np.int64), np.concatenate(ids))
-            data = write_ids(held, cache.encoder.size)
-            where = put(folder, f"{part:06d}-{number:04d}.ids", data)
-            row = [[where], [part], [number], [len(doc_ids)], [len(held.ids)], [len(data)]]
-            types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], names=[c.split()[0] for c in _MANIFEST.split(", ")])
-
-        held = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, found in zip(batch.column(0).to_pylist(), cache.each(batch.column(1), end), strict=True):
                 doc_ids.append(doc_id)
-                ids.append(cache.ids(text.as_py(), end))
-                held += len(ids[-1])
+                lengths.append(len(found))
+                ids.append(found)
+                held, waiting = held + len(found), waiting + len(found)
+                yield from blocks(BLOCK_IDS)
                 if held >= file_ids:
-                    yield close()
-                    doc_ids, ids, held, number = [], [], 0, number + 1
+                    yield from blocks(1)
+                    yield _batch(_PIECES, (number, size, None, list_documents(doc_ids, np.array(lengths)), held))
+                    doc_ids, lengths, ids, held, waiting, number = [], [], [], 0, 0, number + 1
         if doc_ids:
-            yield close()
+            yield from blocks(1)
+            yield _batch(_PIECES, (number, size, None, list_documents(doc_ids, np.array(lengths)), held))
+
+    return docs.mapInArrow(run, _PIECES)
+
+
+def write_files(docs: DataFrame, folder: str, path: str, end: int = END, file_ids: int = FILE_IDS) -> DataFrame:
+    """Writes the ids of docs by ascending doc_id, nulls first; one row per file, in order of (part, number).
+
+    Rows that share a doc_id are ordered by a hash of their text, so that even a doc_id with very many rows is spread.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, blocks = TaskContext.get().partitionId(), []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["listed"] is None:
+                    blocks.append(row["block"])
+                    continue
+                data = file_of(blocks, row["listed"], row["vocabulary"])
+                where = put(folder, f"{part:06d}-{row['number']:04d}.ids", data)
+                yield _batch(_MANIFEST, (where, part, row["number"], len(listed_documents(row["listed"])[0]), row["n_ids"], len(data)))
+                blocks = []
 
     plain = ids_and_texts(docs).withColumn("tie", F.xxhash64("text"))
     ordered = plain.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    return ordered.mapInArrow(run, _MANIFEST)
+    coded = _pieces(ordered, path, end, file_ids).select("number", "vocabulary", block_of(docs.sparkSession, F.col("ids"), F.col("vocabulary")).alias("block"), "listed", "n_ids")
+    return coded.mapInArrow(run, _MANIFEST)
 
 
 def read_files(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document in the files of a manifest."""
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row per file, not per document
     placed = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("bigint").alias("first"))
+    pieces = "first bigint, vocabulary int, block binary, listed binary"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                found, listed, vocabulary = parts_of(get(row["path"]))
+                for block in found:
+                    yield _batch(pieces, (row["first"], vocabulary, block, None))
+                yield _batch(pieces, (row["first"], vocabulary, None, listed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
         for batch in batches:
-            for path, first in batch.itertuples(index=False):
-                held = read_ids(get(path))
-                ends = np.cumsum(held.lengths)
-                plain = held.ids.astype("<u4")
-                crcs = [zlib.crc32(plain[b - n : b].tobytes()) for b, n in zip(ends.tolist(), held.lengths.tolist(), strict=True)]
-                yield pd.DataFrame({"doc_id": pd.array(held.doc_ids, dtype="Int64"), "start": first + ends - held.lengths, "n_tokens": held.lengths, "ids_crc32": np.array(crcs, dtype=np.int64)})
-
-    return placed.repartition(max(1, manifest.count())).mapInPandas(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+            for first, ids, listed in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
+                if listed is None:
+                    held.append(ids)
+                    continue
+                whole, (doc_ids, lengths) = memoryview(b"".join(held)), listed_documents(listed)
+                ends, held = np.cumsum(lengths), []
+                if len(whole) != 4 * ends[-1]:
+                    raise IdFileError("a file has other ids than its documents")
+                crcs = [zlib.crc32(whole[4 * (b - n) : 4 * b]) for b, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+                columns = [pa.array(x, pa.int64()) for x in (doc_ids, first + ends - lengths, lengths, crcs)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    read = placed.repartition(max(1, manifest.count())).mapInArrow(blocks, pieces)
+    ids = read.select("first", ids_of(manifest.sparkSession, F.col("block"), F.col("vocabulary")).alias("ids"), "listed")
+    return ids.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def store_and_read(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, path: str | None = None) -> DataFrame:

@@ -13,10 +13,13 @@ import os
 import re
 import struct
 import sys
+from array import array
 from collections.abc import Callable
 from types import ModuleType
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: A run of white space and what follows it, up to the next white space.
@@ -24,6 +27,10 @@ _PART = re.compile(r"\s*\S+|\s+")
 #: Where no two white spaces meet, a text may be cut before any of them.
 _RUN = re.compile(r"\s\s")
 _UNCLEAR = re.compile("[\x1c-\x1f]")
+#: By byte: 1 for ASCII white space, 2 for those of _UNCLEAR, 4 for a-z and A-Z, 8 for other ASCII; 0 beyond ASCII.
+_KIND = np.array([1 if b in b" \t\n\v\f\r" else 2 if 0x1C <= b < 0x20 else 4 if chr(b).isalpha() else 8 for b in range(128)] + [0] * 128, dtype=np.uint8)
+#: So many bytes of texts are cut at a time, and the whole of the last of them.
+_AT_ONCE = 8 << 20
 #: The plain case of a part: letters, perhaps after one blank, and then perhaps marks. It cuts as PRE_TOKEN does.
 _PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -119,6 +126,11 @@ class Encoder:
             return [self._id(pre_token)]
         return [t.id for t in self._merge(pre_token.encode("utf-8", "surrogatepass").decode("latin-1").translate(_LETTERS))]
 
+    def encode_word(self, word: str) -> list[int]:
+        """encode_pre_token() of letters, perhaps after one blank, for byte-level tokenizers."""
+        written = word.replace(" ", "\u0120") if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+        return [t.id for t in self._merge(written)]
+
 
 class IdCache:
     """The ids of parts as bytes, each distinct pre-token encoded once. Emptied when it has grown beyond a bound, so
@@ -127,6 +139,9 @@ class IdCache:
     def __init__(self, encoder: Encoder, most: int = 400_000) -> None:
         self.encoder, self.most = encoder, most
         self.known: dict[str, bytes] = {}
+        # For each(): where the ids of a part are among those held, each part's one after another.
+        self.place: dict[str, int] = {}
+        self.first, self.held = array("q", [0]), array("I")
 
     def _add(self, part: str) -> bytes:
         """A pre-token is a part too, so parts and pre-tokens share one table."""
@@ -153,6 +168,72 @@ class IdCache:
         return np.frombuffer(b"".join(found), dtype="<u4")
 
 
+    def _place(self, part: str) -> int:
+        if (m := _PLAIN.fullmatch(part)) and not m[2]:
+            self.held.extend(self.encoder.encode_word(part))
+        else:
+            for pre_token in self.encoder.pre_tokens(part):
+                self.held.extend(self.encoder.encode_pre_token(pre_token))
+        at = self.place[part] = len(self.first) - 1
+        self.first.append(len(self.held))
+        return at
+
+    def each(self, texts: pa.Array, end: int) -> list[np.ndarray]:
+        """ids() of every text, closed by ``end``. The parts of many texts are found and told apart as arrays."""
+        width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+        out: list[np.ndarray] = []
+        at = 0
+        while at < len(texts):
+            here = texts[at:]
+            ends = np.frombuffer(here.buffers()[1], dtype=width)[here.offset : here.offset + len(here) + 1]
+            n = min(len(here), int(np.searchsorted(ends, int(ends[0]) + _AT_ONCE)) or 1)
+            here, ends = here[:n], ends[: n + 1]
+            data = np.frombuffer(here.buffers()[2] or b"", dtype=np.uint8)[int(ends[0]) : int(ends[-1])]
+            out += self._each(here, data, ends.astype(np.int64) - int(ends[0]), end)
+            at += n
+        return out
+
+    def _each(self, texts: pa.Array, data: np.ndarray, ends: np.ndarray, end: int) -> list[np.ndarray]:
+        """The same of texts that are the bytes of ``data`` between ``ends``."""
+        kind, odd = _KIND[data], np.full(len(texts), not self.encoder.byte_level)
+        if (unclear := np.flatnonzero(kind == 2)).size:
+            odd[np.searchsorted(ends, unclear, side="right") - 1] = True
+        for special in self.encoder.specials:
+            odd |= pc.fill_null(pc.match_substring(texts, special), False).to_numpy(zero_copy_only=False)
+        if odd.all():
+            return [self.ids(t.as_py(), end) for t in texts]
+        # A text is cut where it begins, before ASCII white space that follows none, and between an ASCII letter and a mark or digit.
+        cut = kind == 1
+        cut[1:] &= kind[:-1] != 1
+        cut[1:] |= (kind[1:] == 8) & (kind[:-1] == 4)
+        wide = np.flatnonzero(cut[1:] & (data[:-1] >= 0x80)) + 1
+        one, two, three = (data[np.maximum(wide - k, 0)] for k in (1, 2, 3))
+        joined = (two == 0xC2) & ((one == 0x85) | (one == 0xA0)) | (three == 0xE1) & (two == 0x9A) & (one == 0x80) | (three == 0xE3) & (two == 0x80) & (one == 0x80)
+        joined |= (three == 0xE2) & ((two == 0x80) & ((one <= 0x8A) | (one == 0xA8) | (one == 0xA9) | (one == 0xAF)) | (two == 0x81) & (one == 0x9F))
+        cut[wide[joined]] = False
+        cut[ends[:-1][ends[1:] > ends[:-1]]] = True
+        starts = np.flatnonzero(cut)
+        parts = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+        if len(self.place) > self.most:
+            self.place, self.first, self.held = {}, array("q", [0]), array("I")
+        listed = parts.dictionary.to_pylist()
+        places = list(map(self.place.get, listed))
+        if None in places:
+            places = [self._place(part) if at is None else at for part, at in zip(listed, places, strict=True)]
+        flat, first = np.append(np.frombuffer(self.held, dtype=np.uint32), np.uint32(end)), np.frombuffer(self.first, dtype=np.int64)
+        places = np.array([*places, len(first) - 1])
+        begin, sizes = first[places], np.append(first, len(flat))[places + 1] - first[places]
+        # The parts of each text, and after them its end.
+        texts_of = np.searchsorted(starts, ends).tolist()
+        codes = np.full(len(starts) + len(texts), len(places) - 1)
+        codes[np.arange(len(starts)) + np.repeat(np.arange(len(texts)), np.diff(texts_of))] = parts.indices.to_numpy()
+        lengths = sizes[codes]
+        upto = np.cumsum(lengths)
+        ids = flat[np.repeat(begin[codes] - upto + lengths, lengths) + np.arange(upto[-1])]
+        last = upto[np.array(texts_of[1:]) + np.arange(len(texts))].tolist()
+        return [self.ids(texts[k].as_py(), end) if odd[k] else ids[a:b] for k, (a, b) in enumerate(zip([0, *last], last, strict=False))]
+
+
 def process_cache(path: str) -> IdCache:
     """One cache per worker process and file, kept from task to task."""
     kept = sys.modules.setdefault("_deltaloom_worker", ModuleType("_deltaloom_worker")).__dict__

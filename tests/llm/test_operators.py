@@ -5,15 +5,17 @@ import io
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from deltaloom.llm import brown, chat, compression, decontaminate, exchange, idfile, idstore, licenses, mixing, nearcopies, simhash, tokencount, tokens, warc
+from deltaloom.llm import blockcoder, brown, chat, compression, decontaminate, exchange, idfile, idstore, licenses, mixing, nearcopies, simhash, tokencount, tokens, warc
 
 WORDS = "the of and quick brown fox jumps over lazy dog ontion edble thhan inre erst weak lamp river stone cloud glass field north winter".split()
 
@@ -595,6 +597,44 @@ def test_parts_keep_ids():
     assert [cache.ids(t).tolist() for t in odd] == encoder.encode(odd)
 
 
+def test_ids_of_many_texts_at_once():
+    """each() gives the ids of the library, whatever the texts before and after one are."""
+    encoder = tokens.Encoder(tokens.tokenizer_path("byte_bpe_50k.json"))
+    draw = random.Random(5)
+    signs = ["a", "Bé", ",", "7", " ", " ", "\n", "\t", "\r", "\u3000", "\xa0", "\x85", "\u1680", "\u2009", "\u2028", "\u205f", "\x1c", "日", "\0", "'s", "<|endoftext|>"]
+    texts = ["", None, *["".join(draw.choices(signs, k=draw.randrange(14))) for _ in range(5000)], *[prose(k, 300) for k in range(20)]]
+    expected = [[*ids, 0] for ids in encoder.encode([t or "" for t in texts])]
+    few = tokens.IdCache(encoder, 100)
+    for cache in (few, few, tokens.IdCache(encoder)):
+        for rows, want in ((pa.array(texts), expected), (pa.array(texts)[9:], expected[9:]), (pa.array(texts, pa.large_string()), expected), (pa.array([None, ""], pa.string()), [[0], [0]])):
+            assert [x.tolist() for x in cache.each(rows, 0)] == want
+    assert few.each(pa.array([], pa.string()), 0) == []
+
+
+def test_blocks_of_the_jvm_are_those_of_numpy(spark):
+    """The same bytes and ids, in a small part of the time."""
+    draw = np.random.default_rng(4)
+    blocks = [np.array([5]), np.array([7] * 9000), draw.integers(0, 50257, 9001), draw.integers(0, 3, 70_001), draw.zipf(1.1, idfile.BLOCK_IDS) % 50257]
+    blocks = [b.astype("<u4") for b in blocks]
+    began = time.process_time()
+    expected = [idfile.parts_of(idfile.write_ids(idfile.Documents([], np.zeros(0, dtype=np.int64), b), 50257))[0][0] for b in blocks]
+    by_numpy = time.process_time() - began
+    rows = spark.createDataFrame([(k, b.tobytes()) for k, b in enumerate([*blocks, *blocks])], "k int, ids binary").repartition(1).cache()
+    times = []
+    for _ in range(4):  # the JVM compiles the first
+        began = time.time()
+        coded = {r.k: bytes(r.block) for r in rows.select("k", blockcoder.block_of(spark, F.col("ids"), F.lit(50257)).alias("block")).collect()}
+        times.append(time.time() - began)
+    assert [coded[k] for k in range(len(blocks))] == expected
+    assert min(times) < by_numpy  # for each block twice
+    back = spark.createDataFrame(list(coded.items()), "k int, block binary").select("k", blockcoder.ids_of(spark, F.col("block"), F.lit(50257)).alias("ids"))
+    assert all(bytes(r.ids) == blocks[r.k % len(blocks)].tobytes() for r in back.collect())
+    broken = bytearray(expected[2])
+    broken[3000] ^= 1
+    with pytest.raises(Exception, match="damaged"):
+        spark.createDataFrame([(bytes(broken),)], "block binary").select(blockcoder.ids_of(spark, F.col("block"), F.lit(50257))).collect()
+
+
 def test_id_file_round_trip_and_damage(monkeypatch):
     draw = np.random.default_rng(2)
     pairs = np.cumsum(draw.integers(0, 3, 30_000)) % 997
