@@ -14,7 +14,7 @@ from deltaloom.llm.blockcoder import block_of, ids_of
 from deltaloom.llm.files import get, put
 from deltaloom.llm.idfile import BLOCK_IDS, IdFileError, file_of, list_documents, listed_documents, parts_of
 from deltaloom.llm.text import ids_and_texts
-from deltaloom.llm.tokens import process_cache, tokenizer_path
+from deltaloom.llm.tokens import drop_caches, process_cache, tokenizer_path
 from deltaloom.sources.scratch import Scratch
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -24,7 +24,7 @@ FILE_IDS = 8 << 20
 
 _MANIFEST = "path string, part int, number int, n_docs bigint, n_ids bigint, bytes bigint"
 #: A row for each block of a file, and one for its documents after them.
-_PIECES = "number int, vocabulary int, ids binary, listed binary, n_ids bigint"
+_PIECES = "part int, number int, piece int, vocabulary int, ids binary, listed binary, n_ids bigint"
 
 
 def _batch(schema: str, *rows: tuple) -> pa.RecordBatch:
@@ -37,7 +37,9 @@ def _pieces(docs: DataFrame, path: str, end: int, file_ids: int) -> DataFrame:
     """The ids of docs(doc_id, text) in their order, by block and file, and each file's documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, number = process_cache(path), 0
+        from pyspark import TaskContext
+
+        cache, part, number, piece = process_cache(path), TaskContext.get().partitionId(), 0, 0
         size = cache.encoder.size
         doc_ids: list[int | None] = []
         lengths: list[int] = []
@@ -45,13 +47,14 @@ def _pieces(docs: DataFrame, path: str, end: int, file_ids: int) -> DataFrame:
         held = waiting = 0  # ids in the file, and those of them that are in no block yet
 
         def blocks(least: int) -> Iterator[pa.RecordBatch]:
-            nonlocal ids, waiting
+            nonlocal ids, waiting, piece
             if waiting < least:
                 return
             flat = np.concatenate(ids)
             for at in range(0, waiting - least + 1, BLOCK_IDS):
                 block = flat[at : at + BLOCK_IDS]
-                yield _batch(_PIECES, (number, size, block.tobytes(), None, len(block)))
+                yield _batch(_PIECES, (part, number, piece, size, block.tobytes(), None, len(block)))
+                piece += 1
             left = flat[at + len(block) :]
             ids, waiting = [left], len(left)
 
@@ -64,11 +67,11 @@ def _pieces(docs: DataFrame, path: str, end: int, file_ids: int) -> DataFrame:
                 yield from blocks(BLOCK_IDS)
                 if held >= file_ids:
                     yield from blocks(1)
-                    yield _batch(_PIECES, (number, size, None, list_documents(doc_ids, np.array(lengths)), held))
-                    doc_ids, lengths, ids, held, waiting, number = [], [], [], 0, 0, number + 1
+                    yield _batch(_PIECES, (part, number, piece, size, None, list_documents(doc_ids, np.array(lengths)), held))
+                    doc_ids, lengths, ids, held, waiting, number, piece = [], [], [], 0, 0, number + 1, 0
         if doc_ids:
             yield from blocks(1)
-            yield _batch(_PIECES, (number, size, None, list_documents(doc_ids, np.array(lengths)), held))
+            yield _batch(_PIECES, (part, number, piece, size, None, list_documents(doc_ids, np.array(lengths)), held))
 
     return docs.mapInArrow(run, _PIECES)
 
@@ -80,45 +83,48 @@ def write_files(docs: DataFrame, folder: str, path: str, end: int = END, file_id
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, blocks = TaskContext.get().partitionId(), []
+        blocks = []
         for batch in batches:
             for row in batch.to_pylist():
                 if row["listed"] is None:
                     blocks.append(row["block"])
                     continue
                 data = file_of(blocks, row["listed"], row["vocabulary"])
-                where = put(folder, f"{part:06d}-{row['number']:04d}.ids", data)
-                yield _batch(_MANIFEST, (where, part, row["number"], len(listed_documents(row["listed"])[0]), row["n_ids"], len(data)))
+                where = put(folder, f"{row['part']:06d}-{row['number']:04d}.ids", data)
+                yield _batch(_MANIFEST, (where, row["part"], row["number"], len(listed_documents(row["listed"])[0]), row["n_ids"], len(data)))
                 blocks = []
 
     plain = ids_and_texts(docs).withColumn("tie", F.xxhash64("text"))
     ordered = plain.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    coded = _pieces(ordered, path, end, file_ids).select("number", "vocabulary", block_of(docs.sparkSession, F.col("ids"), F.col("vocabulary")).alias("block"), "listed", "n_ids")
-    return coded.mapInArrow(run, _MANIFEST)
+    block = block_of(docs.sparkSession, F.col("ids"), F.col("vocabulary")).alias("block")
+    coded = _pieces(ordered, path, end, file_ids).select("part", "number", "piece", "vocabulary", block, "listed", "n_ids")
+    # Coded blocks move once, so that no task holds two Python workers.
+    return coded.repartition("part", "number").sortWithinPartitions("part", "number", "piece").mapInArrow(run, _MANIFEST)
 
 
 def read_files(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document in the files of a manifest."""
-    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row per file, not per document
-    placed = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("bigint").alias("first"))
-    pieces = "first bigint, vocabulary int, block binary, listed binary"
+    order = Window.orderBy("part", "number")  # a row per file, not per document
+    first = F.coalesce(F.sum("n_ids").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint")
+    placed = manifest.select("path", first.alias("first"), (F.row_number().over(order) - 1).cast("int").alias("file"))
+    pieces = "first bigint, file int, piece int, vocabulary int, block binary, listed binary"
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         for batch in batches:
             for row in batch.to_pylist():
                 found, listed, vocabulary = parts_of(get(row["path"]))
-                for block in found:
-                    yield _batch(pieces, (row["first"], vocabulary, block, None))
-                yield _batch(pieces, (row["first"], vocabulary, None, listed))
+                for piece, block in enumerate(found):
+                    yield _batch(pieces, (row["first"], row["file"], piece, vocabulary, block, None))
+                yield _batch(pieces, (row["first"], row["file"], len(found), vocabulary, None, listed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
+        drop_caches()
+        held: list[pa.Buffer] = []
         for batch in batches:
-            for first, ids, listed in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
+            for first, ids, listed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 if listed is None:
-                    held.append(ids)
+                    held.append(ids.as_buffer())
                     continue
                 whole, (doc_ids, lengths) = memoryview(b"".join(held)), listed_documents(listed)
                 ends, held = np.cumsum(lengths), []
@@ -128,7 +134,10 @@ def read_files(manifest: DataFrame) -> DataFrame:
                 columns = [pa.array(x, pa.int64()) for x in (doc_ids, first + ends - lengths, lengths, crcs)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    read = placed.repartition(max(1, manifest.count())).mapInArrow(blocks, pieces)
+    files = max(1, manifest.count())
+    # A file is a task's, to read and again to decode, so that no task holds two Python workers or two files.
+    read = placed.repartitionById(files, F.col("file")).mapInArrow(blocks, pieces)
+    read = read.repartitionById(files, F.col("file")).sortWithinPartitions("piece")
     ids = read.select("first", ids_of(manifest.sparkSession, F.col("block"), F.col("vocabulary")).alias("ids"), "listed")
     return ids.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 

@@ -30,7 +30,7 @@ _UNCLEAR = re.compile("[\x1c-\x1f]")
 #: By byte: 1 for ASCII white space, 2 for those of _UNCLEAR, 4 for a-z and A-Z, 8 for other ASCII; 0 beyond ASCII.
 _KIND = np.array([1 if b in b" \t\n\v\f\r" else 2 if 0x1C <= b < 0x20 else 4 if chr(b).isalpha() else 8 for b in range(128)] + [0] * 128, dtype=np.uint8)
 #: So many bytes of texts are cut at a time, and the whole of the last of them.
-_AT_ONCE = 8 << 20
+_AT_ONCE = 4 << 20
 #: The plain case of a part: letters, perhaps after one blank, and then perhaps marks. It cuts as PRE_TOKEN does.
 _PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -240,3 +240,8 @@ def process_cache(path: str) -> IdCache:
     if path not in kept:
         kept[path] = IdCache(Encoder(path))
     return kept[path]
+
+
+def drop_caches() -> None:
+    """Frees what process_cache() keeps, for tasks that need memory for other things."""
+    sys.modules.pop("_deltaloom_worker", None)
