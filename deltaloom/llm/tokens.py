@@ -13,8 +13,8 @@ import os
 import re
 import struct
 import sys
-from array import array
 from collections.abc import Callable
+from itertools import compress
 from types import ModuleType
 
 import numpy as np
@@ -31,6 +31,8 @@ _UNCLEAR = re.compile("[\x1c-\x1f]")
 _KIND = np.array([1 if b in b" \t\n\v\f\r" else 2 if 0x1C <= b < 0x20 else 4 if chr(b).isalpha() else 8 for b in range(128)] + [0] * 128, dtype=np.uint8)
 #: So many bytes of texts are cut at a time, and the whole of the last of them.
 _AT_ONCE = 4 << 20
+#: So many parts that no cache knows are encoded as one text.
+_JOINED = 512
 #: The plain case of a part: letters, perhaps after one blank, and then perhaps marks. It cuts as PRE_TOKEN does.
 _PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -63,6 +65,8 @@ class Encoder:
         self._pattern = regex.compile(PRE_TOKEN)
         self.specials: list[str] = []
         self.byte_level = False
+        #: How many bytes of a text each id stands for, if the ids of a text are known to cover all of its bytes.
+        self.bytes_of: np.ndarray | None = None
         if path.endswith(".model"):
             import sentencepiece
 
@@ -86,6 +90,10 @@ class Encoder:
         plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in added)
         self.byte_level = cut.get("type") == "ByteLevel" and bool(cut.get("use_regex")) and not cut.get("add_prefix_space") and described.get("normalizer") is None and plain
         self.specials = [t["content"] for t in added] if self.byte_level else []
+        known = tokenizer.get_vocab() if self.byte_level else {}
+        if known and all(letter in known for letter in _LETTERS.values()):
+            self.bytes_of = np.zeros(max(known.values()) + 1, dtype=np.int64)
+            self.bytes_of[list(known.values())] = list(map(len, known))
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -126,22 +134,50 @@ class Encoder:
             return [self._id(pre_token)]
         return [t.id for t in self._merge(pre_token.encode("utf-8", "surrogatepass").decode("latin-1").translate(_LETTERS))]
 
-    def encode_word(self, word: str) -> list[int]:
-        """encode_pre_token() of letters, perhaps after one blank, for byte-level tokenizers."""
-        written = word.replace(" ", "\u0120") if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
-        return [t.id for t in self._merge(written)]
+    def encode_parts(self, parts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The parts in another order, in that order their ids one after another, and how many each has.
+
+        Between a part that ends in no white space and one that begins with ASCII white space every text is cut. So many such
+        parts are encoded as one text, whose ids are told apart by the bytes that they stand for.
+        """
+        joined: list[bytes] = []
+        alone: list[bytes] = []
+        for part in parts:
+            fits = self.bytes_of is not None and part[0] in b" \t\n\v\f\r" and not part.decode()[-1].isspace()
+            (joined if fits else alone).append(part)
+        names: list[bytes] = []
+        ids, sizes = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.int64)]
+        for k in range(0, len(joined), _JOINED):
+            here = joined[k : k + _JOINED]
+            text = b"".join(here).decode()
+            if any(s in text for s in self.specials) or _UNCLEAR.search(text):
+                alone += here
+                continue
+            found = np.array(self._encode([text])[0], dtype=np.uint32)
+            ends, upto = np.cumsum(list(map(len, here))), np.cumsum(self.bytes_of[found])
+            last = np.searchsorted(upto, ends)
+            if upto[-1:] != ends[-1:] or (upto[last] != ends).any():
+                alone += here
+                continue
+            names += here
+            ids.append(found)
+            sizes.append(np.diff(last, prepend=-1))
+        each = [[x for p in self.pre_tokens(part.decode()) for x in self.encode_pre_token(p)] for part in alone]
+        ids.append(np.array([x for found in each for x in found], dtype=np.uint32))
+        sizes.append(np.array(list(map(len, each)), dtype=np.int64))
+        return names + alone, np.concatenate(ids), np.concatenate(sizes)
 
 
 class IdCache:
     """The ids of parts as bytes, each distinct pre-token encoded once. Emptied when it has grown beyond a bound, so
-    memory does not follow the vocabulary."""
+    memory does not follow the vocabulary; each() keeps what it has met again."""
 
-    def __init__(self, encoder: Encoder, most: int = 400_000) -> None:
+    def __init__(self, encoder: Encoder, most: int = 600_000) -> None:
         self.encoder, self.most = encoder, most
         self.known: dict[str, bytes] = {}
-        # For each(): where the ids of a part are among those held, each part's one after another.
-        self.place: dict[str, int] = {}
-        self.first, self.held = array("q", [0]), array("I")
+        # For each(): the number of a part; by number where its ids begin among those held, and how often it was looked up.
+        self.place: dict[bytes, int] = {}
+        self.first, self.held, self.uses = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int32)
 
     def _add(self, part: str) -> bytes:
         """A pre-token is a part too, so parts and pre-tokens share one table."""
@@ -167,16 +203,28 @@ class IdCache:
             self.known = {}
         return np.frombuffer(b"".join(found), dtype="<u4")
 
-
-    def _place(self, part: str) -> int:
-        if (m := _PLAIN.fullmatch(part)) and not m[2]:
-            self.held.extend(self.encoder.encode_word(part))
-        else:
-            for pre_token in self.encoder.pre_tokens(part):
-                self.held.extend(self.encoder.encode_pre_token(pre_token))
-        at = self.place[part] = len(self.first) - 1
-        self.first.append(len(self.held))
-        return at
+    def _shrink(self) -> None:
+        """Keeps the parts that were looked up more than once, half of ``most`` at most. What was long ago counts less."""
+        often = np.argsort(-self.uses, kind="stable")[: self.most // 2]
+        kept = np.zeros(len(self.uses), dtype=bool)
+        kept[often] = self.uses[often] > 1
+        sizes = np.diff(self.first)
+        self.place = {part: k for k, part in enumerate(compress(self.place, kept.tolist()))}
+        self.held, self.uses = self.held[np.repeat(kept, sizes)], (self.uses[kept] + 1) >> 1
+        self.first = np.append(0, np.cumsum(sizes[kept]))
+
+    def _places(self, parts: list[bytes]) -> np.ndarray:
+        """The numbers of distinct parts; those not known are encoded."""
+        found = list(map(self.place.get, parts))
+        if None in found:
+            names, ids, sizes = self.encoder.encode_parts([part for part, at in zip(parts, found, strict=True) if at is None])
+            self.place.update(zip(names, range(len(self.uses), len(self.uses) + len(names)), strict=True))
+            self.first = np.append(self.first, len(self.held) + np.cumsum(sizes))
+            self.held, self.uses = np.append(self.held, ids), np.append(self.uses, np.zeros(len(names), dtype=np.int32))
+            found = [self.place[part] if at is None else at for part, at in zip(parts, found, strict=True)]
+        places = np.array(found, dtype=np.int64)
+        self.uses[places] += 1
+        return places
 
     def each(self, texts: pa.Array, end: int) -> list[np.ndarray]:
         """ids() of every text, closed by ``end``. The parts of many texts are found and told apart as arrays."""
@@ -202,10 +250,14 @@ class IdCache:
             odd |= pc.fill_null(pc.match_substring(texts, special), False).to_numpy(zero_copy_only=False)
         if odd.all():
             return [self.ids(t.as_py(), end) for t in texts]
-        # A text is cut where it begins, before ASCII white space that follows none, and between an ASCII letter and a mark or digit.
+        # A text is cut where it begins, before ASCII white space that follows none, and between a letter and an ASCII mark or
+        # digit, where the letter is ASCII or of U+00C0 to U+023F.
         cut = kind == 1
         cut[1:] &= kind[:-1] != 1
         cut[1:] |= (kind[1:] == 8) & (kind[:-1] == 4)
+        after = np.flatnonzero((kind[2:] == 8) & (data[1:-1] >= 0x80)) + 2
+        lead, last = data[after - 2], data[after - 1]
+        cut[after[(lead == 0xC3) & (last != 0x97) & (last != 0xB7) | (lead >= 0xC4) & (lead <= 0xC8)]] = True
         wide = np.flatnonzero(cut[1:] & (data[:-1] >= 0x80)) + 1
         one, two, three = (data[np.maximum(wide - k, 0)] for k in (1, 2, 3))
         joined = (two == 0xC2) & ((one == 0x85) | (one == 0xA0)) | (three == 0xE1) & (two == 0x9A) & (one == 0x80) | (three == 0xE3) & (two == 0x80) & (one == 0x80)
@@ -213,16 +265,12 @@ class IdCache:
         cut[wide[joined]] = False
         cut[ends[:-1][ends[1:] > ends[:-1]]] = True
         starts = np.flatnonzero(cut)
-        parts = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+        parts = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
         if len(self.place) > self.most:
-            self.place, self.first, self.held = {}, array("q", [0]), array("I")
-        listed = parts.dictionary.to_pylist()
-        places = list(map(self.place.get, listed))
-        if None in places:
-            places = [self._place(part) if at is None else at for part, at in zip(listed, places, strict=True)]
-        flat, first = np.append(np.frombuffer(self.held, dtype=np.uint32), np.uint32(end)), np.frombuffer(self.first, dtype=np.int64)
-        places = np.array([*places, len(first) - 1])
-        begin, sizes = first[places], np.append(first, len(flat))[places + 1] - first[places]
+            self._shrink()
+        places = self._places(parts.dictionary.to_numpy(zero_copy_only=False).tolist())
+        flat, places = np.append(self.held, np.uint32(end)), np.append(places, len(self.uses))
+        begin, sizes = self.first[places], np.append(self.first, len(flat))[places + 1] - self.first[places]
         # The parts of each text, and after them its end.
         texts_of = np.searchsorted(starts, ends).tolist()
         codes = np.full(len(starts) + len(texts), len(places) - 1)

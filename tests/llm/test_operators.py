@@ -611,6 +611,38 @@ def test_ids_of_many_texts_at_once():
     assert few.each(pa.array([], pa.string()), 0) == []
 
 
+def test_ids_of_parts_together():
+    """Parts that are encoded as one text have the ids that each has alone."""
+    encoder = tokens.Encoder(tokens.tokenizer_path("byte_bpe_50k.json"))
+    draw = random.Random(6)
+    signs = ["a", "Bé", "ß", "ȿ", "×", ",", "7", "'s", "日", "\u3000", "\xa0", "\x85", "\0", "<|end", "of"]
+    parts = {draw.choice([" ", "\n", "\t ", "", ""]) + "".join(draw.choices(signs, k=draw.randrange(1, 9))) for _ in range(4000)}
+    parts |= {" \x1c", " a\x1f", " ", "\r\n", *[f" {'x' * k}" for k in range(1, 300)]}
+    names, ids, sizes = encoder.encode_parts([p.encode() for p in parts])
+    assert sorted(names) == sorted(p.encode() for p in parts) and len(ids) == sum(sizes)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == encoder.encode([n.decode() for n in names])
+    encoder.bytes_of[int(ids[0])] += 1  # ids that do not tell the parts apart are not used
+    names, ids, sizes = encoder.encode_parts([p.encode() for p in parts])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == encoder.encode([n.decode() for n in names])
+    names, ids, sizes = encoder.encode_parts([b" a", b" <|endoftext|>"])
+    assert names == [b" a", b" <|endoftext|>"] and encoder.encode_parts([])[0] == []
+
+
+def test_parts_met_again_stay_known():
+    """What a cache beyond its bound gives up is what it met once: words of every text are encoded once in all."""
+    encoder, asked = tokens.Encoder(tokens.tokenizer_path("byte_bpe_50k.json")), []
+    merge, encode = encoder._merge, encoder._encode
+    encoder._merge = lambda word: asked.append(word) or merge(word)
+    encoder._encode = lambda texts: asked.extend(texts) or encode(texts)
+    cache = tokens.IdCache(encoder, 300)
+    for k in range(30):
+        fresh = [f"{'bcdfg'[j % 5]}{'aeiou'[j // 5 % 5]}é{'xyz'[j // 25 % 3]}{chr(97 + k % 26)}{chr(97 + k // 26)}" for j in range(75)]
+        text = " ".join([x for j in range(75) for x in (WORDS[j % len(WORDS)], fresh[j])])
+        assert [x.tolist() for x in cache.each(pa.array([text]), 0)] == [[*encode([text])[0], 0]]
+        assert len(cache.place) <= 300 + 2 * 75
+    assert max(Counter(re.findall("[a-zé]+", " ".join(asked).replace("\u0120", " ").replace("Ã©", "é"))).values()) <= 2  # a text's first word has no blank
+
+
 def test_blocks_of_the_jvm_are_those_of_numpy(spark):
     """The same bytes and ids, in a small part of the time."""
     draw = np.random.default_rng(4)
